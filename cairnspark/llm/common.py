@@ -54,13 +54,15 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice holds about `limit` bytes of text, however long single texts are."""
+def text_slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20, rows: int = 1000
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of at most `rows` rows and about `limit` bytes of text; a single long text stays whole."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 64
-        group = np.cumsum(sizes) // limit
+        group = np.cumsum(sizes) // limit + np.arange(batch.num_rows) // rows * (1 << 40)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:

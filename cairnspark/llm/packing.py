@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import table, text_slices
-from .tokens import Encoder
+from .tokens import encoder as open_encoder
 
 WINDOW, END_ID = 2048, 1
 
@@ -104,7 +104,7 @@ def _cut(path: str, window: int, end_id: int):
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, part, seen = open_encoder(path), TaskContext.get().partitionId(), {}
         for batch in text_slices(batches):
             out = []
             ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
@@ -196,7 +196,7 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, end_id: int =
     wanted = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = open_encoder(tokenizer)
         for batch in text_slices(batches):
             out = []
             ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sstable
+from . import langid, packing, quality, rules, secrets, sstable, urls
 
 
 def _vocabulary() -> str:
@@ -23,6 +23,34 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.by_crc(5, 0)
+    scored = quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), held_out)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("findings", lambda x: x["kind"].isin(*(r.kind for r in secrets.BASE_RULES)))
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(F.col("findings")).alias("spans"),
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _read(spark, sf_dir, "documents"), quality.by_crc(4, 2)
+    judged = langid.identify(docs, langid.train(docs, held_out))
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_distance", "word_distance"
+    )
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write(_read(spark, sf_dir, "documents"), _vocabulary())
     return sstable.read(spark, manifest).select(
@@ -30,8 +58,13 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op8_token_shards": op8_token_shards}
+    found = (op2_packing, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import shared_path, table, text_slices
-from .tokens import Encoder
+from .tokens import encoder as open_encoder
 
 MAGIC = b"CSST0001"
 FOOTER = struct.Struct("<6QI8s")
@@ -188,7 +188,7 @@ def _write(tokenizer: str, folder: str, end_id: int):
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = open_encoder(tokenizer), TaskContext.get().partitionId()
         writer = stream = first = last = None
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         for batch in text_slices(batches):

@@ -10,15 +10,23 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
 _CUT = re.compile(r"(?<=\S)(?= )")
-_GAP = re.compile(r"\s ")
+_open: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This Python worker's encoder for a vocabulary file; tasks of the same worker share its cache."""
+    if path not in _open:
+        _open[path] = Encoder(path)
+    return _open[path]
 
 
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. capacity bounds the cache, not the input."""
 
-    def __init__(self, path: str, capacity: int = 300_000) -> None:
+    def __init__(self, path: str, capacity: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -31,21 +39,26 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
+        known = self._spaced
+        heads, tails, fresh = [], [], set()
         for text in texts:
-            if _GAP.search(text):
-                head, *rest = _CUT.split(text)
-                tails.append([x[1:] for x in rest])
-            else:
-                head, *rest = text.split(" ")
-                tails.append(rest)
+            head, *tail = text.split(" ")
             heads.append(head)
-        known = self._spaced
-        if len(known) > self._capacity:
-            known.clear()
-        missing = list(set().union(*tails).difference(known))
+            tails.append(tail)
+        fresh = set().union(*tails).difference(known)
+        # where white space stands before a space, words are not cut there
+        loose = {x for x in fresh if not x or x[-1].isspace()}
+        for i, (head, tail) in enumerate(zip(heads, tails, strict=True)):
+            if head[-1:].isspace() or loose and not loose.isdisjoint(tail):
+                heads[i], *rest = _CUT.split(texts[i])
+                tails[i] = [x[1:] for x in rest]
+                fresh.update(set(tails[i]).difference(known))
+        missing = list(fresh)
         known.update(zip(missing, self._ids([" " + x for x in missing]), strict=True))
         found = [a + b"".join(map(known.__getitem__, tail)) for a, tail in zip(self._ids(heads), tails, strict=True)]
-        for x in [x for x in missing if len(x) > 64]:
+        for x in [x for x in missing if len(x) > 64 or not x or x[-1].isspace()]:
             del known[x]
+        if len(known) > self._capacity:  # the oldest quarter goes
+            for x in list(islice(known, self._capacity // 4)):
+                del known[x]
         return found
