@@ -35,7 +35,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    # nothing reads this plan's shuffle files once the table is there
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,6 +97,19 @@ def chained(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+SALTS = 64
+
+
+def band_edges(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all nodes of each bucket, for rows (node, bucket): stars in salted parts, then over the parts."""
+    rows = rows.select("node", "bucket", F.pmod("node", F.lit(SALTS)).alias("salt"))
+    parts = rows.groupBy("bucket", "salt").agg(F.min("node").alias("m"), F.count("*").alias("n"))
+    whole = parts.groupBy("bucket").agg(F.min("m").alias("top"), F.sum("n").alias("n")).where("n > 1").select("bucket", "top")
+    inner = rows.join(parts.where("n > 1").select("bucket", "salt", "m"), ["bucket", "salt"]).where("node <> m")
+    upper = parts.join(whole, "bucket").where("m <> top")
+    return inner.select(F.col("node").alias("a"), F.col("m").alias("b")).unionByName(upper.select(F.col("m").alias("a"), F.col("top").alias("b")))
+
+
 def components(edges: DataFrame, name: str = "components", done: Callable[[int], None] | None = None) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the least node reached.
 

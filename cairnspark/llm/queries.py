@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, packing, quality, rules, secrets, sstable, urls
+from . import langid, neardup, packing, quality, rules, secrets, sstable, urls
 
 
 def _vocabulary() -> str:
@@ -62,8 +62,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_packing, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls)
+    found = (op2_packing, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls, op10_near_duplicates)
     return {f.__name__: f for f in found}
 
 
