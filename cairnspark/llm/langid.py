@@ -20,6 +20,8 @@ from .docstats import text_bytes
 #: At most about so many labelled rows train, spread over the languages (a hash of the id picks them when there are more).
 MAX_TRAINING_ROWS = 8_000
 WIDTH = 2048
+#: Texts of fewer n-grams are too short for their distance to say anything.
+LEAST_NGRAMS = 64
 
 _FOLD = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -59,7 +61,7 @@ class Model:
         return best, cosine[np.arange(len(best)), best]
 
 
-def fit(languages: list[str], counts: np.ndarray, per_language: int = 4, slack: float = 0.5, rounds: int = 12) -> Model | None:
+def fit(languages: list[str], counts: np.ndarray, per_language: int = 4, slack: float = 0.4, rounds: int = 12) -> Model | None:
     """Cluster each language by spherical k-means; a text is rejected when its cosine is under `slack` times the 1st percentile
     of the training texts of that centroid."""
     if not languages:
@@ -118,8 +120,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 to 1), rejected for docs (doc_id, text).
 
     A text that is null or has no letter is 'und' with score 0 and rejected, and so is every text when there is no model.
-    Otherwise lang_pred is the language of the nearest centroid (the first of equals), and `rejected` says that the text is
-    farther from it than the centroid's limit. Repeated rows are judged one by one; other columns are not looked at.
+    Otherwise lang_pred is the language of the nearest centroid (the first of equals), and `rejected` says that the text has
+    LEAST_NGRAMS or more and is farther from it than the centroid's limit. Repeated rows are judged one by one; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +131,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             if model is None:
                 named, score, rejected = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             else:
-                best, cosine = model.nearest(ngram_counts(texts))
+                counts = ngram_counts(texts)
+                best, cosine = model.nearest(counts)
                 named = np.array(model.languages, dtype=object)[model.owner[best]]
                 named[~spoken] = "und"
                 score = np.where(spoken, np.clip(cosine, 0, 1), 0).astype(np.float64)
-                rejected = ~spoken | (cosine < model.least[best])
+                rejected = ~spoken | (cosine < model.least[best]) & (counts.sum(axis=1) >= LEAST_NGRAMS)
             columns = [batch.column("doc_id"), pa.array(named.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected"])
 
