@@ -19,8 +19,8 @@ from .docstats import CLASSES, class_counts, word_stats
 
 #: Documents of fewer words are not judged by divergence.
 LEAST_WORDS = 50
-#: The largest mean of the two distances (base 2, 0 to 1) that is kept.
-MOST_DISTANCE = 0.45
+#: The largest distances (base 2, 0 to 1) that are kept, of character classes and of common words.
+MOST_DISTANCE = (0.3, 0.5)
 COMMON_WORDS = 100
 
 
@@ -133,14 +133,13 @@ def measure(docs: DataFrame, refs: References) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _COLUMNS)
 
 
-def judge(docs: DataFrame, refs: References | None = None, most: float = MOST_DISTANCE, least_words: int = LEAST_WORDS) -> DataFrame:
+def judge(docs: DataFrame, refs: References | None = None, most: tuple[float, float] = MOST_DISTANCE, least_words: int = LEAST_WORDS) -> DataFrame:
     """The counts, base_failed, the distances and kept for each row of docs (doc_id, text, lang).
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, and
-    either shorter than the guard, without references, or within `most` of the nearest language in the mean of both
-    distances. A null or empty text has no words and fails; repeated rows are judged one by one; other columns don't matter.
+    either shorter than the guard, without references, or within `most` of the nearest language in both distances. A null or empty text has no words and fails; repeated rows are judged one by one; other columns don't matter.
     """
     measured = measure(docs, references(docs) if refs is None else refs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    near = F.coalesce((F.col("class_distance") + F.col("word_distance")) / 2 <= most, F.lit(True))
+    near = F.coalesce((F.col("class_distance") <= most[0]) & (F.col("word_distance") <= most[1]), F.lit(True))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & ((F.col("n_words") < least_words) | near))
