@@ -105,9 +105,9 @@ def _cut(path: str, window: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = open_encoder(path), TaskContext.get().partitionId(), {}
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=8 << 20, rows=4000):
             out = []
-            ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
+            ids = encoder.encode(batch.column("text"))
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 data += end
                 n = len(data) // 4
@@ -197,9 +197,9 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, end_id: int =
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = open_encoder(tokenizer)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=8 << 20, rows=4000):
             out = []
-            ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
+            ids = encoder.encode(batch.column("text"))
             for data, cuts in zip(ids, batch.column("cuts").to_pylist(), strict=True):
                 tokens = np.append(np.frombuffer(data, dtype="<u4"), end_id).astype(np.int32)
                 out += [(c["sequence_id"], c["offset"], tokens[c["start"] : c["start"] + c["length"]].tolist()) for c in cuts]

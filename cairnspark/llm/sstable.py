@@ -191,13 +191,13 @@ def _write(tokenizer: str, folder: str, end_id: int):
         encoder, shard = open_encoder(tokenizer), TaskContext.get().partitionId()
         writer = stream = first = last = None
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=8 << 20, rows=4000):
             if writer is None:
                 store, path = fs.FileSystem.from_uri(uri)
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 stream = store.open_output_stream(path)
                 writer, first = Writer(stream), batch.column("doc_id")[0].as_py()
-            texts = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
+            texts = encoder.encode(batch.column("text"))
             for last, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 writer.add(key_of(last), ids + end)
         if writer is not None:

@@ -12,7 +12,11 @@ import re
 from array import array
 from itertools import islice
 
-_CUT = re.compile(r"(?<=\S)(?= )")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_STOPPED = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]+[.,]")
 _open: dict[str, Encoder] = {}
 
 
@@ -26,39 +30,65 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. capacity bounds the cache, not the input."""
 
-    def __init__(self, path: str, capacity: int = 800_000) -> None:
+    def __init__(self, path: str, capacity: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._tokenizer.model._resize_cache(0)  # this cache takes its place
         self._capacity = capacity
         self._spaced: dict[str, bytes] = {}
+        self._stops = dict(zip(".,", self._ids([".", ","]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self._spaced
-        heads, tails, fresh = [], [], set()
-        for text in texts:
-            head, *tail = text.split(" ")
-            heads.append(head)
-            tails.append(tail)
-        fresh = set().union(*tails).difference(known)
-        # where white space stands before a space, words are not cut there
-        loose = {x for x in fresh if not x or x[-1].isspace()}
-        for i, (head, tail) in enumerate(zip(heads, tails, strict=True)):
-            if head[-1:].isspace() or loose and not loose.isdisjoint(tail):
-                heads[i], *rest = _CUT.split(texts[i])
-                tails[i] = [x[1:] for x in rest]
-                fresh.update(set(tails[i]).difference(known))
-        missing = list(fresh)
-        known.update(zip(missing, self._ids([" " + x for x in missing]), strict=True))
-        found = [a + b"".join(map(known.__getitem__, tail)) for a, tail in zip(self._ids(heads), tails, strict=True)]
-        for x in [x for x in missing if len(x) > 64 or not x or x[-1].isspace()]:
-            del known[x]
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space. A word of plain letters and a stop is two pieces, so only its letters are looked up."""
+        known, stops = self._spaced, self._stops
+        keys = [x[:-1] if x[-1:] in stops and _STOPPED.fullmatch(x) else x for x in words]
+        found = [known.get(k) for k in keys]
+        missing = list({k for k, y in zip(keys, found, strict=True) if y is None})
+        fresh = dict(zip(missing, self._ids([" " + x for x in missing]), strict=True))
+        found = [fresh[k] if y is None else y for k, y in zip(keys, found, strict=True)]
+        known.update((k, y) for k, y in fresh.items() if len(k) <= 64)
         if len(known) > self._capacity:  # the oldest quarter goes
             for x in list(islice(known, self._capacity // 4)):
                 del known[x]
+        return [y if k is x else y + stops[x[-1]] for x, k, y in zip(words, keys, found, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; a null counts as the empty text."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        coded = lists.flatten().dictionary_encode()
+        at, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        ids = self._word_ids(words)
+        # where white space stands before a space, a text can't be cut: such texts are encoded as they are
+        loose = np.fromiter((not x or x[-1].isspace() for x in words), dtype=bool, count=len(words))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        apart = np.zeros(len(sizes), dtype=bool)
+        heads = [words[i] for i in at[starts].tolist()]
+        if loose.any():
+            inner = loose[at]
+            inner[starts] = [x[-1:].isspace() for x in heads]
+            apart[owner[inner]] = True
+        rows = np.flatnonzero(apart).tolist()
+        whole = dict(zip(rows, self._ids([texts[i].as_py() for i in rows]), strict=True)) if rows else {}
+        first = self._ids(heads)
+        # all words but the heads, one after another
+        lengths = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
+        begin = np.cumsum(lengths) - lengths
+        at_tail, owner_tail = np.delete(at, starts), np.delete(owner, starts)
+        n = lengths[at_tail]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")[np.repeat(begin[at_tail] - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(owner_tail, weights=n, minlength=len(sizes)).astype(np.int64))]) * 4
+        cuts = cuts.tolist()
+        found = [whole.get(i) if i in whole else first[i] + flat[cuts[i] : cuts[i + 1]] for i in range(len(sizes))]
         return found
