@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, neardup, packing, quality, rules, secrets, sstable, urls
+from . import langid, lines, neardup, packing, quality, rules, secrets, sstable, urls
 
 
 def _vocabulary() -> str:
@@ -19,6 +19,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_read(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text"
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _vocabulary())
 
@@ -67,7 +73,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_packing, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls, op10_near_duplicates)
+    found = (op1_line_dedup, op2_packing, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls, op10_near_duplicates)
     return {f.__name__: f for f in found}
 
 
