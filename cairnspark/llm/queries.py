@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, lines, neardup, packing, quality, rules, secrets, sstable, urls
+from . import decontam, langid, lines, neardup, packing, quality, rules, secrets, sstable, urls
 
 
 def _vocabulary() -> str:
@@ -29,6 +29,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = quality.by_crc(5, 0)
     scored = quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), held_out)
@@ -73,7 +78,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_packing, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls, op10_near_duplicates)
+    found = (op1_line_dedup, op2_packing, op3_decontamination, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls, op10_near_duplicates)
     return {f.__name__: f for f in found}
 
 
