@@ -46,6 +46,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it has few rows (of ids and hashes, 16 bytes each); the join shuffles otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that table() returned, once nothing reads it any more."""
     spark = df.sparkSession

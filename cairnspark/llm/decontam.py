@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import flat_words, table, text_slices
+from .common import chained, flat_words, table, text_slices
 
 BLOCK, FEATURES, RANK = 16, 1 << 14, 64
 #: Cosine and share of an item passage's words from which a passage is checked.
@@ -58,7 +58,7 @@ def _places(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         rows = pa.array([w.tobytes() for w in word_hashes(batch.column("text"))], type=pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows], names=["doc_id", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), rows], names=["doc_id", "text_hash", "words"])
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch], words: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -209,39 +209,41 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
                     hits[doc][items[item][0]] = max(ratio, hits[doc].get(items[item][0], 0.0))
             listed = pa.array([sorted(h) for h in hits], type=pa.list_(pa.int64()))
             best = pa.array([max(h.values(), default=0.0) for h in hits], type=pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), listed, best], names=["doc_id", "item_ids", "overlap"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), listed, best]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "item_ids", "overlap"])
 
     return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> DataFrame:
-    """doc_id, item_ids (sorted ids of items that leaked into it), overlap (best share of an item, 0 to 1) for each row of docs
+    """doc_id, text_hash, item_ids (sorted ids of items that leaked into it), overlap (best share of an item, 0 to 1) for each row of docs
     (doc_id, text) against benchmark (item_id, text, and an answer column if named; else an item's last words are its answer).
 
     A null or empty text has no leak; items without words, or with a null id, are not looked for; repeated rows are judged one
     by one; other columns are not looked at. Items come to the driver in blocks of ITEMS_AT_ONCE.
     """
-    words = table(docs.select("doc_id", "text").mapInArrow(_hash, "doc_id long, words binary"), "words")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    words = table(base.mapInArrow(_hash, "doc_id long, text_hash long, words binary"), "words")
     items = benchmark.select("item_id", "text", F.col(answer).alias("answer") if answer else F.lit(None).cast("string").alias("answer"))
     items = items.where("item_id is not null and text is not null").dropDuplicates()
     total = items.count()
+    clean = words.select("doc_id", "text_hash", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     if not total:
-        return words.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
-    space, parts = latent_space(words), -(-total // ITEMS_AT_ONCE)
-    result = None
+        return clean
+    space, parts, found = latent_space(words), -(-total // ITEMS_AT_ONCE), []
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         texts = word_hashes(pa.array([r["text"] for r in rows], type=pa.string())) if rows else []
         answers = word_hashes(pa.array([r["answer"] for r in rows], type=pa.string())) if rows else []
         known = [(r["item_id"], t, a if r["answer"] else t[-ANSWER_WORDS:]) for r, t, a in zip(rows, texts, answers, strict=True) if len(t)]
-        if not known:
-            continue
-        found = words.mapInArrow(_search(known, space), "doc_id long, item_ids array<long>, overlap double")
-        result = found if result is None else result.unionByName(found)
-    if result is None:
-        return words.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
-    if parts == 1:
-        return result
-    # rows of a repeated id are one answer each block; their union is what any of them leaked
-    joined = result.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("overlap").alias("overlap"))
-    return words.select("doc_id").join(joined.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+        if known:
+            found.append(words.mapInArrow(_search(known, space), "doc_id long, text_hash long, item_ids array<long>, overlap double"))
+    if len(found) < 2:
+        return found[0] if found else clean
+    # each block of items has an answer for each row: a document's answer is what they have together
+    every = chained(found).groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("overlap").alias("overlap")
+    )
+    of = every.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "item_ids", "overlap")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+    return words.select("doc_id", "text_hash").join(of, same).drop("of_id", "of_hash")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import text_slices
 from .docstats import text_bytes
@@ -116,14 +116,17 @@ def train(docs: DataFrame, held_out: Column | None = None, max_rows: int = MAX_T
     return fit(rows["lang"].tolist(), counts)
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score (cosine, 0 to 1), rejected for docs (doc_id, text).
+def identify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (cosine, 0 to 1), rejected for docs (doc_id, text); with `carry`, a struct `row` of all columns
+    takes the place of doc_id.
 
     A text that is null or has no letter is 'und' with score 0 and rejected, and so is every text when there is no model.
     Otherwise lang_pred is the language of the nearest centroid (the first of equals), and `rejected` says that the text has
     LEAST_NGRAMS or more and is farther from it than the centroid's limit. Repeated rows are judged one by one; other columns are not looked at.
     """
 
+    named_by = "row" if carry else "doc_id"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, rows=400):
             texts = pc.fill_null(batch.column("text"), "")
@@ -137,7 +140,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 named[~spoken] = "und"
                 score = np.where(spoken, np.clip(cosine, 0, 1), 0).astype(np.float64)
                 rejected = ~spoken | (cosine < model.least[best]) & (counts.sum(axis=1) >= LEAST_NGRAMS)
-            columns = [batch.column("doc_id"), pa.array(named.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected"])
+            columns = [batch.column(named_by), pa.array(named.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays(columns, names=[named_by, "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.struct("*").alias("row") if carry else "doc_id", "text")
+    judged = T._parse_datatype_string("lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, T.StructType([rows.schema[named_by], *judged.fields]))

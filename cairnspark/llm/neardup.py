@@ -156,7 +156,7 @@ def _compare(numerator: int, denominator: int):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """Classes, groups and links of docs (doc_id, text): doc_id, class_id, group_id, n_links, a row per row of docs.
+    """Classes, groups and links of docs (doc_id, text): doc_id, class_id, group_id, n_links, text_hash, a row per row of docs.
 
     Texts are split at ASCII white space and lower-cased. class_id is the least doc_id with the same set of n-grams,
     group_id the least doc_id connected by links, n_links the number of other rows at or over the threshold, copies
@@ -202,6 +202,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
     of_node = ids.join(links, "node", "left").join(groups.join(least, "root").select("node", "group_id"), "node", "left").select(
         "node", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return shingled.select("doc_id", "node").join(of_node, "node", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return shingled.select("doc_id", "text_hash", "node").join(of_node, "node", "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash"
     )

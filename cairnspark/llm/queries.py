@@ -74,7 +74,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.join(_read(spark, sf_dir, "documents"))
+    return neardup.join(_read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

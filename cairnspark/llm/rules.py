@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import flat_words, text_slices
+from .common import flat_words, table, text_slices
 from .docstats import CLASSES, class_counts, word_stats
 
 #: Documents of fewer words are not judged by divergence.
@@ -60,6 +60,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> References:
         .mapInArrow(_counted, "lang string, is_class boolean, item string, n long")
         .groupBy("lang", "is_class", "item").agg(F.sum("n").alias("n"))
     )
+    counted = table(counted, "word-counts")
     of_words = counted.groupBy("lang", "is_class", F.when(F.col("is_class"), F.col("item")).alias("class")).agg(
         F.sum("n").alias("n"), F.count("*").alias("items")
     )
