@@ -26,7 +26,8 @@ def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75
     inverted index of the corpus is shuffled; document frequencies and the mean length are one row."""
     words = sorted({w.lower() for w in query})
     listed = docs.select("id", tokens(F.col("text")).alias("t"))
-    counts = [F.size(F.filter("t", lambda x, w=w: x == w)).cast("double").alias(f"tf{i}") for i, w in enumerate(words)]
+    count = lambda w: F.size(F.filter("t", lambda x: x == F.lit(w))).cast("double")
+    counts = [count(w).alias(f"tf{i}") for i, w in enumerate(words)]
     rows = listed.select("id", F.size("t").cast("double").alias("len"), *counts)
     totals = rows.agg(
         F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(words)))
@@ -53,13 +54,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "id", "similarity", "rank")
 
 
-def hashed_embedding(text: Column, dimension: int = 128) -> Column:
-    """Bag of words as a unit vector: each token adds one in the slot of its hash and its place; no tokens, all zero."""
-    listed = tokens(text)
-    slots = F.transform(listed, lambda t, i: F.pmod(F.pmod(F.xxhash64(t), F.lit(dimension)) + i, F.lit(dimension)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+def hashed_embedding(rows: DataFrame, ident: str, text: str, dimension: int = 128) -> DataFrame:
+    """(ident, vector): the bag of words as a unit vector. Each token adds one in the slot of its hash and its place; a text
+    without tokens is all zero. Idents are unique."""
+    placed = rows.select(ident, F.posexplode(tokens(F.col(text))).alias("i", "t"))
+    counts = placed.groupBy(ident, F.pmod(F.pmod(F.xxhash64("t"), F.lit(dimension)) + F.col("i"), F.lit(dimension)).alias("slot")).agg(F.count("*").cast("double").alias("n"))
+    found = counts.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("slots"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    value = lambda d: F.coalesce(F.try_element_at("slots", d.cast("long")) / F.col("norm"), F.lit(0.0))
+    return rows.select(ident).join(found, ident, "left").select(ident, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value).alias("vector"))
 
 
 def embed_text(kind: Column, name: Column, path: Column, body: Column) -> Column:

@@ -29,10 +29,10 @@ def lcov(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def lsif_summary(spark: SparkSession, path: str) -> DataFrame:
     """Of an LSIF dump: the last package's name and the numbers of document and symbol vertices."""
-    rows = spark.read.text(path).withColumn("v", F.from_json("value", "type string, label string, name string"))
+    rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("v", F.from_json("value", "type string, label string, name string"))
     rows = rows.where("v.type = 'vertex'")
     return rows.agg(
-        F.max_by("v.name", F.when(F.col("v.label") == "package", F.monotonically_increasing_id())).alias("package"),
+        F.max_by("v.name", F.when(F.col("v.label") == "package", F.col("n"))).alias("package"),
         F.count_if(F.col("v.label") == "document").alias("documents"), F.count_if(F.col("v.label") == "symbol").alias("symbols"),
     )
 
