@@ -13,18 +13,25 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.storage import drop_table, table
 
 
+#: Hops that one round of a frontier loop takes before its result is written.
+HOPS = 4
+
+
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth) reached over edges (src, dst) from seeds (node), seeds at depth 0, by least number of hops up to `most`."""
     steps = table(edges.select(F.col("src").alias("node"), "dst").distinct(), "steps")
     state = table(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reached")
     n, depth = state.count(), 0
     while n and (most is None or depth < most):
-        depth += 1
-        moved = steps.join(state.where(F.col("depth") == depth - 1).select("node"), "node").select(F.col("dst").alias("node")).distinct()
-        both = state.unionByName(moved.withColumn("depth", F.lit(depth).cast("long")))
+        hops = HOPS if most is None else min(HOPS, most - depth)
+        both, moved = state, state.where(F.col("depth") == depth).select("node")
+        for i in range(1, hops + 1):
+            moved = steps.join(moved, "node").select(F.col("dst").alias("node")).distinct()
+            both = both.unionByName(moved.withColumn("depth", F.lit(depth + i).cast("long")))
         following = table(both.groupBy("node").agg(F.min("depth").alias("depth")), "reached")
         drop_table(state)
         state, before, n = following, n, following.count()
+        depth += hops
         if n == before:
             break
     drop_table(steps)
