@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,38 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where it is unset (tests)."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        path = spark._jvm.org.apache.hadoop.fs.Path(named.rstrip("/"))
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
-    return _own_dir
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    # nothing reads this plan's shuffle files once the table is there
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(setting, before)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.storage import drop_table, shared_path, table  # noqa: F401  the operators import them from here
 
 
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
@@ -51,14 +19,10 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame that table() returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    conf = spark._jsc.hadoopConfiguration()
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def bounded_batches(spark: SparkSession, rows: int = 3000, size: str = "16m") -> None:
+    """Keep the Arrow batches of this session small: texts are long, and each task holds several batches outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def crc_of_id(column: str = "doc_id") -> Column:
@@ -66,10 +30,18 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+#: What a Python worker holds from one task to the next (the token cache); tasks of other operators let go of it.
+held: dict[str, object] = {}
+
+
 def text_slices(
-    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20, rows: int = 1000
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20, rows: int = 1000, hold: bool = False
 ) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most `rows` rows and about `limit` bytes of text; a single long text stays whole."""
+    batch = None
+    if held and not hold:
+        held.clear()
+        gc.collect()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -79,6 +51,9 @@ def text_slices(
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    # the worker waits for its next task; what it doesn't use is better with the executor
+    del batch
+    pa.default_memory_pool().release_unused()
 
 
 def flat_words(texts: pa.Array, pattern: str | None = None, fold: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -106,13 +81,20 @@ SALTS = 64
 
 
 def band_edges(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes of each bucket, for rows (node, bucket): stars in salted parts, then over the parts."""
-    rows = rows.select("node", "bucket", F.pmod("node", F.lit(SALTS)).alias("salt"))
-    parts = rows.groupBy("bucket", "salt").agg(F.min("node").alias("m"), F.count("*").alias("n"))
-    whole = parts.groupBy("bucket").agg(F.min("m").alias("top"), F.sum("n").alias("n")).where("n > 1").select("bucket", "top")
-    inner = rows.join(parts.where("n > 1").select("bucket", "salt", "m"), ["bucket", "salt"]).where("node <> m")
-    upper = parts.join(whole, "bucket").where("m <> top")
-    return inner.select(F.col("node").alias("a"), F.col("m").alias("b")).unionByName(upper.select(F.col("m").alias("a"), F.col("top").alias("b")))
+    """Edges (a, b) that connect all nodes of each bucket, for rows (node, bucket), which may repeat.
+
+    Most buckets hold one node, and least, greatest and count of a bucket are combined before the shuffle. Two nodes are an
+    edge at once; only the rows of larger buckets are looked up again and linked by stars in salted parts, then over the parts.
+    """
+    sums = rows.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count("*").alias("n"))
+    sums = table(sums.where("a <> b"), "buckets")
+    found = rows.join(small(sums.where("n > 2").select("bucket")), "bucket").select("bucket", "node").distinct()
+    found = table(found.withColumn("salt", F.pmod("node", F.lit(SALTS))), "bucket-rows")
+    parts = found.groupBy("bucket", "salt").agg(F.min("node").alias("m"), F.count("*").alias("n"))
+    inner = found.join(parts.where("n > 1").select("bucket", "salt", "m"), ["bucket", "salt"]).where("node <> m")
+    upper = parts.join(sums.select("bucket", "b"), "bucket").where("m <> b")
+    stars = inner.select(F.col("node").alias("a"), F.col("m").alias("b")).unionByName(upper.select(F.col("m").alias("a"), "b"))
+    return sums.where("n = 2").select("a", "b").unionByName(stars)
 
 
 def components(edges: DataFrame, name: str = "components", done: Callable[[int], None] | None = None) -> DataFrame:
@@ -122,12 +104,7 @@ def components(edges: DataFrame, name: str = "components", done: Callable[[int],
     gathered anywhere (minima are combined before the shuffle, and the join back splits hot nodes), and the number of steps
     grows with the logarithm of the component size. Each step is a table in the shared folder. Nulls are dropped.
     """
-    current = table(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        name,
-    )
+    current, written = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), False
     rounds = 0
     while True:
         # large-star: every larger neighbour of a node moves to the node's least neighbour
@@ -150,8 +127,9 @@ def components(edges: DataFrame, name: str = "components", done: Callable[[int],
         # a forest of stars is reached when no node is both a child and a parent and every child has one parent
         state = following.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
         chained_up = following.join(following.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        drop_table(current)
-        current = following
+        if written:
+            drop_table(current)
+        current, written = following, True
         if state["n"] == state["k"] and not chained_up:
             break
     if done:

@@ -170,9 +170,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
     shingled = table(base.mapInArrow(_shingle(bands, rows, words), _SHINGLED), "shingled")
     filled = shingled.where("node is not null")
     ids = filled.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("n_grams").alias("n_grams"))
-    # bands of a class come from its copies alike, so equal rows fall together before the shuffle
     exploded = filled.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = exploded.groupBy("node", "band", "hash").agg(F.lit(1).alias("one")).select("node", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = exploded.select("node", F.xxhash64("band", "hash").alias("bucket"))
     clusters = components(band_edges(buckets), "clusters")
     # one text for each class in a cluster
     members = table(ids.join(clusters, "node"), "members")

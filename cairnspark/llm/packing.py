@@ -105,7 +105,7 @@ def _cut(path: str, window: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = open_encoder(path), TaskContext.get().partitionId(), {}
-        for batch in text_slices(batches, limit=8 << 20, rows=4000):
+        for batch in text_slices(batches, limit=8 << 20, rows=4000, hold=True):
             out = []
             ids = encoder.encode(batch.column("text"))
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
@@ -197,7 +197,7 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, end_id: int =
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = open_encoder(tokenizer)
-        for batch in text_slices(batches, limit=8 << 20, rows=4000):
+        for batch in text_slices(batches, limit=8 << 20, rows=4000, hold=True):
             out = []
             ids = encoder.encode(batch.column("text"))
             for data, cuts in zip(ids, batch.column("cuts").to_pylist(), strict=True):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontam, langid, lines, neardup, packing, quality, rules, secrets, sstable, urls
+from .common import bounded_batches
 
 
 def _vocabulary() -> str:
@@ -16,6 +17,7 @@ def _vocabulary() -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -191,7 +191,7 @@ def _write(tokenizer: str, folder: str, end_id: int):
         encoder, shard = open_encoder(tokenizer), TaskContext.get().partitionId()
         writer = stream = first = last = None
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-        for batch in text_slices(batches, limit=8 << 20, rows=4000):
+        for batch in text_slices(batches, limit=8 << 20, rows=4000, hold=True):
             if writer is None:
                 store, path = fs.FileSystem.from_uri(uri)
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)

@@ -16,21 +16,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 _STOPPED = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]+[.,]")
-_open: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """This Python worker's encoder for a vocabulary file; tasks of the same worker share its cache."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. capacity bounds the cache, not the input."""
 
-    def __init__(self, path: str, capacity: int = 1_000_000) -> None:
+    def __init__(self, path: str, capacity: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

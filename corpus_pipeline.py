@@ -9,23 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnspark.llm import decontam, langid, lines, neardup, packing
-from cairnspark.llm.common import small, table
+from cairnspark.llm.common import bounded_batches, small, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification doesn't reject; it learns from the languages that documents have."""
+    bounded_batches(spark)
     judged = langid.identify(docs, langid.train(docs), carry=True)
     return judged.where(~F.col("rejected")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stay elsewhere; a document all of whose lines do goes."""
+    bounded_batches(spark)
     left = lines.dedup(docs).where((F.col("_n_lines") == 0) | (F.col("_n_dropped") < F.col("_n_lines")))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id."""
+    bounded_batches(spark)
     found = neardup.join(docs).where(F.col("doc_id").eqNullSafe(F.col("group_id")))
     kept = found.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
@@ -35,6 +38,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaked."""
+    bounded_batches(spark)
     leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("item_ids") > 0)
     leaks = table(leaks.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).distinct(), "leaks")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
@@ -44,6 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left as pieces of training sequences."""
+    bounded_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
