@@ -9,20 +9,22 @@ components, of which the first line in order of document and position stays.
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import band_edges, components, drop_table, table
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 10, 0.8, 8, 3
-#: A pair whose signatures agree in fewer places is not looked at: below it are 2 in 100,000 pairs at the threshold.
-LEAST_AGREEING = 11
+#: A pair whose signatures agree in fewer of the 24 places is not looked at: below it is one in 1,000 pairs at the threshold.
+LEAST_AGREEING = 13
 #: Up to so many node numbers (8 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 
+#: Not negative, so a negative hash is always nearer (less by XOR) than one that is not: of a line with so many shingles, that it
+#: surely has a negative one, only those have to be looked at.
 _random = random.Random(20240229)
-_POINTS = [_random.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
+_POINTS = [_random.getrandbits(31) for _ in range(BANDS * ROWS)]
+MANY_SHINGLES = 64
 
 
 def _shingle_starts(coded: Column) -> Column:
@@ -30,10 +32,10 @@ def _shingle_starts(coded: Column) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.length(coded) - (2 * SHINGLE - 1), F.lit(1)), F.lit(2))
 
 
-def _hashed(coded: DataFrame, function: Callable[[Column], Column]) -> DataFrame:
-    """(node, h) for each shingle of the lines (node, coded in UTF-16)."""
-    starts = coded.select("node", "coded", F.explode(_shingle_starts(F.col("coded"))).alias("i"))
-    return starts.select("node", function(F.substring("coded", F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
+def shingles(coded: Column) -> Column:
+    """The set of hashes (32 bits: two of 600 shingles share one in 1 of 25,000 cases) of a line's shingles; `coded` must be a stored
+    column, or each shingle encodes the line anew."""
+    return F.array_distinct(F.transform(_shingle_starts(coded), lambda i: F.hash(F.substring(coded, i, F.lit(2 * SHINGLE)))))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -44,35 +46,62 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(node, signature) for each distinct line."""
-    nearest = _hashed(lines.select("node", F.encode("line", "UTF-16BE").alias("coded")), F.hash).groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_POINTS)))
+    coded = lines.select("node", F.encode("line", "UTF-16BE").alias("coded"))
+    starts = coded.select("node", "coded", F.explode(_shingle_starts(F.col("coded"))).alias("i"))
+    hashed = starts.select("node", (F.length("coded") < 2 * MANY_SHINGLES).alias("short"), F.hash(F.substring("coded", F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
+    hashed = hashed.where("h < 0 or short")
+    nearest = hashed.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_POINTS)))
     return nearest.select("node", F.array(*(f"m{k}" for k in range(len(_POINTS)))).alias("signature"))
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """(node, bucket) for each band of each line."""
+    """(node, band, bucket) for each band of each line."""
     of = lambda b: F.xxhash64(F.lit(b), *(F.get("signature", F.lit(b * ROWS + r)) for r in range(ROWS)))
-    return signed.select("node", F.explode(F.array(*(of(b) for b in range(BANDS)))).alias("bucket"))
+    return signed.select("node", F.posexplode(F.array(*(of(b) for b in range(BANDS)))).alias("band", "bucket"))
+
+
+def _agree(x: str, y: str) -> Column:
+    """Whether two signature columns agree often enough."""
+    return sum((F.get(x, F.lit(k)) == F.get(y, F.lit(k))).cast("int") for k in range(len(_POINTS))) >= LEAST_AGREEING
+
+
+def _first_band(x: str, y: str, band: Column) -> Column:
+    """Whether no band before this one agrees too, so that a pair is looked at in one of its groups only."""
+    earlier = F.lit(False)
+    for b in range(BANDS - 1):
+        agree = F.lit(True)
+        for r in range(ROWS):
+            agree = agree & (F.get(x, F.lit(b * ROWS + r)) == F.get(y, F.lit(b * ROWS + r)))
+        earlier = earlier | ((F.lit(b) < band) & agree)
+    return ~earlier
 
 
 def promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough."""
     one = signed.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     two = signed.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    agreeing = sum((F.get("x", F.lit(k)) == F.get("y", F.lit(k))).cast("int") for k in range(len(_POINTS)))
-    return pairs.join(one, "a").join(two, "b").where(agreeing >= LEAST_AGREEING).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(_agree("x", "y")).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar enough by their full shingle sets, for texts (node, coded)."""
+def shingle_sets(pairs: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, set) for the nodes of pairs (a, b) by texts (node, coded), without those that are known."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    listed = _hashed(texts.join(wanted, "node", "left_semi"), F.xxhash64).groupBy("node").agg(F.collect_list("h").alias("set"))
-    sets = table(listed.select("node", F.array_distinct("set").alias("set")), "shingle-sets")
+    wanted = wanted if known is None else wanted.join(known.select("node"), "node", "left_anti")
+    return table(texts.join(wanted, "node", "left_semi").select("node", shingles(F.col("coded")).alias("set")), "shingle-sets")
+
+
+def _alike(common: Column, n: Column, m: Column, threshold: float) -> Column:
+    """Whether |x & y| / |x | y| is at least the threshold, to three digits and in whole numbers."""
+    t = round(threshold * 1000)
+    return common * (1000 + t) >= t * (n + m)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose lines are similar enough by their full shingle sets."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     sizes = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
-    found = table(sizes, "verified").where(F.col("common") >= threshold * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
-    drop_table(sets)
-    return found
+    return table(sizes, "verified").where(_alike(F.col("common"), F.col("n"), F.col("m"), threshold)).select("a", "b")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -82,32 +111,47 @@ def _ordered(a: str, b: str) -> list[Column]:
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) for the distinct lines that are connected to others by verified similarity.
 
-    First every band group is linked by stars. Where lines of a group are then still apart, all lines outside the group's
-    largest component are compared with every line of the group that is not in theirs, so no link is left out.
+    First every line is compared with the most frequent line of each of its band groups, which edited copies mostly come from.
+    Where lines of a group are then still apart, all lines outside the group's largest component are compared with every
+    line of the group that is not in theirs, so no link is left out. Signatures and sets are compared inside that join: what
+    it makes are links, not pairs, and a set is moved once for each group of its line.
     """
     lines = occurrences(docs)
     signed = table(signatures(lines), "signatures")
-    rows = _buckets(signed)
-    stars = table(band_edges(rows).select(*_ordered("a", "b")).distinct(), "stars")
-    shared = table(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "shared")
-    few = shared.count() <= BROADCAST_NODES
+    stars = table(band_edges(_buckets(signed)).select(*_ordered("a", "b")).distinct(), "stars")
+    shared = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = 2 * stars.count() <= BROADCAST_NODES
     found = lines.join(F.broadcast(shared) if few else shared, "node", "left_semi")
-    texts = table(found.groupBy("node").agg(F.encode(F.min("line"), "UTF-16BE").alias("coded")), "line-texts")
+    texts = found.groupBy("node").agg(F.encode(F.min("line"), "UTF-16BE").alias("coded"), F.count("*").alias("n"))
+    texts = table(texts, "line-texts")
     near = signed.join(F.broadcast(shared) if few else shared, "node", "left_semi")
-    links = verified(table(promising(stars, near), "promising"), texts, threshold)
-    first = table(components(links, "line-stars"), "line-stars")
+    placed = _buckets(near)
+    hubs = placed.join(texts.select("node", "n"), "node").groupBy("bucket").agg(
+        F.max_by("node", F.struct("n", "node")).alias("hub"), F.count("*").alias("size")
+    )
+    hubs = table(hubs.where("size > 1").select("bucket", "hub"), "hubs")
+    pairs = placed.join(hubs, "bucket").where("node <> hub").select(*_ordered("node", "hub")).distinct()
+    pairs = table(promising(pairs, near), "promising")
+    sets = shingle_sets(pairs, texts)
+    links = verified(pairs, sets, threshold)
+    first = components(links, "line-stars")
     # groups whose lines are still apart
-    placed = _buckets(near).join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    counted = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    rooted = placed.join(first, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
+    counted = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = counted.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    apart = table(placed.join(main.select("bucket", "main"), "bucket"), "apart")
-    outside = apart.where("root <> main").select("bucket", F.col("node").alias("one"), F.col("root").alias("one_root"))
-    rest = outside.join(apart.select("bucket", "node", "root"), "bucket").where("root <> one_root").select(*_ordered("one", "node")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = verified(table(promising(rest, near), "promising"), texts, threshold)
+    apart = table(rooted.join(main.select("bucket", "main"), "bucket"), "apart")
+    new = shingle_sets(apart.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, sets)
+    full = apart.join(near, "node").join(sets.unionByName(new), "node")
+    one = full.where("root <> main").select("bucket", "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("signature").alias("x"), F.col("set").alias("s"))
+    two = full.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("signature").alias("y"), F.col("set").alias("t"))
+    n, m = F.size("s"), F.size("t")
+    # the cheaper tests come first
+    alike = (F.least(n, m) * 1000 >= round(threshold * 1000) * F.greatest(n, m)) & _alike(F.size(F.array_intersect("s", "t")), n, m, threshold)
+    more = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("ra") != F.col("rb")) & _agree("x", "y") & _first_band("x", "y", one["band"]) & alike)
+    more = table(more.select("a", "b"), "rest-links")
     groups = components(links.unionByName(more), "line-links")
-    drop_table(signed)
-    drop_table(texts)
+    for used in (signed, texts, sets, new):
+        drop_table(used)
     return groups
 
 
@@ -120,8 +164,8 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     result has the columns of docs with the new text, and _n_lines (lines that are not blank) and _n_dropped. Lines are told
     apart by 64-bit hashes. A candidate at the threshold is found with a probability of 0.997.
     """
-    groups = table(similar_lines(docs, threshold), "line-groups")
-    lines = table(occurrences(docs).select("doc_id", "text_hash", "at", "node"), "occurrences")
+    groups = similar_lines(docs, threshold)
+    lines = occurrences(docs).select("doc_id", "text_hash", "at", "node")
     place = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("at"))
     of_node = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     grouped = of_node.join(groups, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first")
