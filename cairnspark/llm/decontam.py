@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into blocks of 16 words, and two neighbouring blocks are a passage. The blocks' TF-IDF matrix over hashed words
+Documents are cut into blocks of 8 words, and three neighbouring blocks are a passage. The blocks' TF-IDF matrix over hashed words
 gets a randomised SVD (single-pass Nystrom form: all rows of all documents go into A'A times a random matrix, whose sum
 over tasks is small). Passages and benchmark items are compared by cosine in the latent space; a passage that is near an
 item and shares enough of its words is checked by the longest common subsequence of words and by the item's answer.
@@ -14,13 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import chained, flat_words, table, text_slices
 
-BLOCK, FEATURES, RANK = 16, 1 << 14, 64
+BLOCK, BLOCKS, FEATURES, RANK = 8, 3, 1 << 14, 64
 #: Cosine and share of an item passage's words from which a passage is checked.
-LEAST_COSINE, LEAST_SHARED = 0.4, 0.4
+LEAST_COSINE, LEAST_SHARED = 0.5, 0.4
+#: Features in more than this share of blocks weigh nothing; of an item passage's so many rarest words two must be there (one,
+#: if it has no more).
+COMMON, RAREST, LEAST_RAREST = 0.02, 6, 2
 #: Share of an item's words in common order that is a leak, and that is one when the answer stands there too.
 LEAK, LEAK_WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
 #: Items that are compared at once; more are handled in blocks of so many.
@@ -30,16 +34,16 @@ ITEMS_AT_ONCE = 20_000
 def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     """32-bit hashes of each text's words, lower-cased and without punctuation at their ends."""
     ids, counts, vocabulary = flat_words(texts)
-    bare = [w.strip(string.punctuation) for w in vocabulary]
-    hashed = (pd.util.hash_array(np.array(bare, dtype=object), categorize=False) >> np.uint64(32)).astype(np.uint32) if bare else np.zeros(0, np.uint32)
-    full = np.array([bool(w) for w in bare], dtype=bool)
+    bare = np.array(pc.utf8_trim(pa.array(vocabulary, type=pa.string()), characters=string.punctuation).to_pylist(), dtype=object)
+    hashed = (pd.util.hash_array(bare, categorize=False) >> np.uint64(32)).astype(np.uint32) if len(bare) else np.zeros(0, np.uint32)
+    full = bare.astype(bool)
     keep = full[ids] if len(ids) else np.zeros(0, dtype=bool)
     kept = np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts))
     return np.split(hashed[ids[keep]] if len(ids) else hashed, np.cumsum(kept)[:-1])
 
 
 def blocks(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(blocks x 16 word hashes, which places are filled, text of each block) for a list of texts."""
+    """(blocks x 8 word hashes, which places are filled, text of each block) for a list of texts."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     n = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(words)), n)
@@ -52,16 +56,16 @@ def blocks(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _places(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
     """Feature of each place; FEATURES where there is no word."""
-    return np.where(filled, values & np.uint32(FEATURES - 1), FEATURES).astype(np.int32)
+    return np.where(filled, values & np.uint32(FEATURES - 1), FEATURES).astype(np.int16)
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, limit=8 << 20, rows=4000):
         rows = pa.array([w.tobytes() for w in word_hashes(batch.column("text"))], type=pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), rows], names=["doc_id", "text_hash", "words"])
 
 
-def _word_lists(batches: Iterator[pa.RecordBatch], words: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _word_lists(batches: Iterator[pa.RecordBatch], words: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in text_slices(batches, "words", 4 * words, 4000):
         yield batch, [np.frombuffer(x, dtype=np.uint32) for x in batch.column("words").to_pylist()]
 
@@ -93,37 +97,37 @@ def _omega(seed: int = 20240229) -> np.ndarray:
 
 def _ranged(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.append(idf, 0).astype(np.float32)
+        # features without weight add nothing to the sums
+        weighed = np.append(np.where(idf > 0, np.arange(FEATURES), FEATURES), FEATURES).astype(np.int16)
         start = np.vstack([_omega() * idf[:, None].astype(np.float32), np.zeros((1, RANK), dtype=np.float32)])
-        total = np.zeros((FEATURES + 1, RANK), dtype=np.float64)
+        total = np.zeros((RANK, FEATURES), dtype=np.float64)
         for _, words in _word_lists(batches):
             values, filled, _ = blocks(words)
             if not len(values):
                 continue
             places = _places(values, filled)
-            y = _rows(start, places)
-            flat = places.ravel()
+            y = np.ascontiguousarray(_rows(start, places).T)
+            flat = weighed[places.ravel()]
             order = np.argsort(flat, kind="stable")
+            order = order[: np.searchsorted(flat[order], FEATURES)]
             ordered, owner = flat[order], order // BLOCK
-            for i in range(0, len(ordered), 1 << 16):
-                part = ordered[i : i + (1 << 16)]
-                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                total[part[starts]] += np.add.reduceat(y[owner[i : i + (1 << 16)]], starts, axis=0)
-        total *= weights[:, None]
-        flat = pa.array(total[:FEATURES].astype(np.float32).ravel(), type=pa.float32())
+            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, dtype=np.int64)
+            for k in range(RANK if len(starts) else 0):
+                total[k, ordered[starts]] += np.add.reduceat(y[k][owner], starts)
+        flat = pa.array((total.T * idf[:, None]).astype(np.float32).ravel(), type=pa.float32())
         lists = pa.ListArray.from_arrays(np.arange(0, FEATURES * RANK + 1, RANK, dtype=np.int32), flat)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES, dtype=np.int64)), lists], names=["feature", "g"])
 
     return run
 
 
-def latent_space(words: DataFrame) -> np.ndarray:
+def latent_space(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """FEATURES x RANK: what a block's word counts are multiplied with for its latent coordinates (idf, singular vectors, and
-    the inverse singular values). Every row of words takes part; FEATURES x RANK numbers come to the driver."""
+    the inverse singular values), and the idf. Every row of words takes part; FEATURES x RANK numbers come to the driver."""
     counted = words.mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(FEATURES + 1)
     n[counted["feature"]] = counted["n"]
-    idf = np.log((1 + n[FEATURES]) / (1 + n[:FEATURES]))
+    idf = np.where(n[:FEATURES] > COMMON * n[FEATURES], 0.0, np.log((1 + n[FEATURES]) / (1 + n[:FEATURES])))
     sums = words.mapInArrow(_ranged(idf), "feature long, g array<float>").groupBy("feature")
     rows = sums.agg(F.array(*(F.sum(F.get("g", F.lit(k)).cast("double")) for k in range(RANK))).alias("g")).toPandas()
     g = np.zeros((FEATURES, RANK))
@@ -135,20 +139,21 @@ def latent_space(words: DataFrame) -> np.ndarray:
     keep = values > max(values.max(), 1e-12) * 1e-9
     left, s, _ = np.linalg.svd(g @ vectors[:, keep] / np.sqrt(values[keep]), full_matrices=False)  # s squared: eigenvalues of A'A
     scaled = left / np.maximum(s, s.max(initial=1e-12) * 1e-3)
-    return (scaled * idf[:, None]).astype(np.float32)
+    return (scaled * idf[:, None]).astype(np.float32), idf
 
 
 def passages(places: np.ndarray, owner: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit latent vectors of all passages, and the first block of each: two blocks, or one where a text has no more."""
-    vectors = _rows(space, places)
-    n = len(owner)
-    alone = np.ones(n, dtype=bool)
-    paired = np.flatnonzero(owner[1:] == owner[:-1])
-    alone[paired] = alone[paired + 1] = False
-    first = np.sort(np.concatenate([paired, np.flatnonzero(alone)]))
+    """Unit latent vectors of all passages, and the first block of each: three blocks, or all of a text that has no more."""
+    vectors, n = _rows(space, places), len(owner)
+    last = BLOCKS - 1
+    begins = np.r_[True, owner[1:] != owner[:-1]] if n else np.zeros(0, dtype=bool)
+    full = np.zeros(n, dtype=bool)
+    full[: max(0, n - last)] = owner[last:] == owner[: max(0, n - last)]
+    first = np.flatnonzero(full | begins)
     joined = vectors[first]
-    two = ~alone[first]
-    joined[two] += vectors[first[two] + 1]
+    for k in range(1, BLOCKS):
+        there = np.minimum(first + k, n - 1)
+        joined += vectors[there] * ((first + k < n) & (owner[there] == owner[first]))[:, None]
     norm = np.linalg.norm(joined, axis=1, keepdims=True)
     return joined / np.where(norm > 0, norm, 1), first
 
@@ -170,40 +175,53 @@ def _contains(region: np.ndarray, part: np.ndarray) -> bool:
     return any((region[i : i + len(part)] == part).all() for i in at)
 
 
-def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
+def _passage_words(values: np.ndarray, filled: np.ndarray, owner: np.ndarray, first: np.ndarray, empty: int) -> np.ndarray:
+    """The words of passages, passages x 24, with `empty` where there is none."""
+    clean, n, parts = np.where(filled, values, np.uint32(empty)), len(owner), []
+    for k in range(BLOCKS):
+        there = np.minimum(first + k, n - 1)
+        parts.append(np.where(((first + k < n) & (owner[there] == owner[first]))[:, None], clean[there], np.uint32(empty)))
+    return np.concatenate(parts, axis=1)
+
+
+def _shared(asked: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """How many of each row's asked words are there."""
+    return (asked[:, :, None] == there[:, None, :]).any(axis=2).sum(axis=1)
+
+
+def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray, idf: np.ndarray):
     """items: id, word hashes, hashes of the answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        padded = np.vstack([space, np.zeros((1, RANK), dtype=np.float32)])
+        padded = np.vstack([space, np.zeros((1, space.shape[1]), dtype=np.float32)])
         values, filled, owner = blocks([w for _, w, _ in items])
         asked, asked_first = passages(_places(values, filled), owner, padded)
-        pair = lambda v, i, j: np.concatenate([v[i], v[j]], axis=1)
-        nxt = lambda o, f: np.where((f + 1 < len(o)) & (o[np.minimum(f + 1, len(o) - 1)] == o[f]), f + 1, f)
-        asked_next = nxt(owner, asked_first)
-        asked_words, asked_filled = pair(values, asked_first, asked_next), pair(filled, asked_first, asked_next)
-        asked_filled[asked_next == asked_first, BLOCK:] = False
-        asked_size, asked_item = asked_filled.sum(axis=1), owner[asked_first]
-        for batch, words in _word_lists(batches, 500_000):
+        asked_item, none = owner[asked_first], 0xFFFFFFFF
+        asked_words = _passage_words(values, filled, owner, asked_first, none)
+        asked_size = (asked_words != none).sum(axis=1)
+        weight = np.where(asked_words != none, idf[asked_words & np.uint32(FEATURES - 1)], -1.0)
+        rare = np.take_along_axis(asked_words, np.argsort(-weight, axis=1, kind="stable")[:, :RAREST], axis=1)
+        wanted = np.minimum(LEAST_RAREST, (rare != none).sum(axis=1))
+        for batch, words in _word_lists(batches):
             hits: list[dict[int, float]] = [{} for _ in words]
             values, filled, owner = blocks(words)
             found: set[tuple[int, int, int]] = set()
             if len(values):
                 vectors, first = passages(_places(values, filled), owner, padded)
-                second = nxt(owner, first)
+                there = _passage_words(values, filled, owner, first, 0)
                 begin = np.searchsorted(owner, np.arange(len(words)))
                 for i in range(0, len(vectors), 4096):
                     row, q = np.nonzero(vectors[i : i + 4096] @ asked.T >= LEAST_COSINE)
                     for j in range(0, len(row), 8192):
                         p, k = row[j : j + 8192] + i, q[j : j + 8192]
-                        there, full = pair(values, first[p], second[p]), pair(filled, first[p], second[p])
-                        same = (asked_words[k][:, :, None] == there[:, None, :]) & full[:, None, :]
-                        shared = (same.any(axis=2) & asked_filled[k]).sum(axis=1)
-                        good = shared >= LEAST_SHARED * asked_size[k]
+                        near = _shared(rare[k], there[p]) >= wanted[k]
+                        p, k = p[near], k[near]
+                        good = _shared(asked_words[k], there[p]) >= LEAST_SHARED * asked_size[k]
                         doc = owner[first[p[good]]]
                         found.update(zip(doc.tolist(), asked_item[k[good]].tolist(), ((first[p[good]] - begin[doc]) * BLOCK).tolist(), strict=True))
             for doc, item, at in found:
                 _, text, answer = items[item]
-                region = words[doc][max(0, at - len(text)) : at + 2 * BLOCK + len(text)]
+                region = words[doc][max(0, at - len(text)) : at + BLOCKS * BLOCK + len(text)]
                 ratio = subsequence(text, region) / len(text)
                 if ratio >= LEAK or ratio >= LEAK_WITH_ANSWER and len(answer) and _contains(region, answer):
                     hits[doc][items[item][0]] = max(ratio, hits[doc].get(items[item][0], 0.0))
@@ -230,14 +248,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None)
     clean = words.select("doc_id", "text_hash", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     if not total:
         return clean
-    space, parts, found = latent_space(words), -(-total // ITEMS_AT_ONCE), []
+    (space, idf), parts, found = latent_space(words), -(-total // ITEMS_AT_ONCE), []
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         texts = word_hashes(pa.array([r["text"] for r in rows], type=pa.string())) if rows else []
         answers = word_hashes(pa.array([r["answer"] for r in rows], type=pa.string())) if rows else []
         known = [(r["item_id"], t, a if r["answer"] else t[-ANSWER_WORDS:]) for r, t, a in zip(rows, texts, answers, strict=True) if len(t)]
         if known:
-            found.append(words.mapInArrow(_search(known, space), "doc_id long, text_hash long, item_ids array<long>, overlap double"))
+            found.append(words.mapInArrow(_search(known, space, idf), "doc_id long, text_hash long, item_ids array<long>, overlap double"))
     if len(found) < 2:
         return found[0] if found else clean
     # each block of items has an answer for each row: a document's answer is what they have together
