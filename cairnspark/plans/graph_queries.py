@@ -154,12 +154,12 @@ def _(spark, d):
 
 @query(
     "a16_symbol_detail",
-    """SELECT s.id, s.name, (SELECT count(*) FROM hop40 WHERE dst = s.id) AS callers, (SELECT count(*) FROM hop40 WHERE src = s.id) AS callees, (SELECT count(*) FROM sym o WHERE o.file_path = s.file_path) - 1 AS related FROM sym s WHERE s.id < 200""",
+    """SELECT s.id, s.name, (SELECT count(*) FROM hop40 WHERE dst = s.id) AS callers, (SELECT count(*) FROM hop40 WHERE src = s.id) AS callees, (SELECT count(*) FROM sym o WHERE o.file_path = s.file_path) - 1 AS related FROM sym s""",
 )
 def _(spark, d):
     s, e = symbols(spark, d), M.fans(_edges(spark, d, 40))
     near = s.groupBy("file_path").agg((F.count("*") - 1).alias("related"))
-    few = s.where("id < 200").join(e.withColumnRenamed("node", "id"), "id", "left").join(near, "file_path")
+    few = s.join(e.withColumnRenamed("node", "id"), "id", "left").join(near, "file_path")
     return few.select("id", "name", F.coalesce("fan_in", F.lit(0)).cast("long").alias("callers"), F.coalesce("fan_out", F.lit(0)).cast("long").alias("callees"), "related")
 
 

@@ -137,9 +137,9 @@ def _(spark, d):
     return sites(spark, d).where("callee = 7").groupBy("file", "place").agg(F.count("*").alias("n"))
 
 
-@query("p24_blocks_of_function", "SELECT function_id, block, kind, start_line, end_line FROM blk WHERE function_id < 20")
+@query("p24_blocks_of_function", "SELECT function_id, block, kind, start_line, end_line FROM blk")
 def _(spark, d):
-    return blocks(spark, d).where("function_id < 20").select("function_id", "block", "kind", "start_line", "end_line")
+    return blocks(spark, d).select("function_id", "block", "kind", "start_line", "end_line")
 
 
 @query(
@@ -230,11 +230,11 @@ def _(spark, d):
     return hops(spark, d, 48).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).orderBy("src", "dst")
 
 
-@query("j1_versions_with_snapshots", "SELECT v.stable_id, v.kind, s.n AS snapshot_size FROM ver v JOIN (SELECT snapshot_id, count(*) AS n FROM ver GROUP BY 1) s ON v.snapshot_id = s.snapshot_id WHERE v.stable_id < 20")
+@query("j1_versions_with_snapshots", "SELECT v.stable_id, v.kind, s.n AS snapshot_size FROM ver v JOIN (SELECT snapshot_id, count(*) AS n FROM ver GROUP BY 1) s ON v.snapshot_id = s.snapshot_id")
 def _(spark, d):
     v = versions(spark, d)
     sizes = v.groupBy("snapshot_id").agg(F.count("*").alias("snapshot_size"))
-    return v.where("stable_id < 20").join(sizes, "snapshot_id").select("stable_id", "kind", "snapshot_size")
+    return v.join(sizes, "snapshot_id").select("stable_id", "kind", "snapshot_size")
 
 
 _LINES = "pts AS (SELECT DISTINCT function_id, CAST(l AS BIGINT) AS line FROM blk, (SELECT unnest([1, 2, 4, 7, 11]) AS l))"
@@ -331,9 +331,11 @@ def _(spark, d):
     return J.resolve_qualified(asked, _named(spark, d))
 
 
-@query("j13_unique_only", f"WITH {_CALLS}, u AS (SELECT name, min(id) AS target FROM sym WHERE id < 100 GROUP BY 1 HAVING count(*) = 1) SELECT call, calls.name, target FROM calls JOIN u ON calls.name = u.name")
+@query("j13_unique_only", "WITH n AS (SELECT p_partkey AS id, p_brand || ' ' || p_type || ' ' || p_name || ' ' || CAST(p_size AS VARCHAR) AS name FROM part), calls AS (SELECT o_orderkey AS call, n.name FROM orders JOIN n ON n.id = o_custkey), u AS (SELECT name, min(id) AS target FROM n GROUP BY 1 HAVING count(*) = 1) SELECT call, calls.name, target FROM calls JOIN u ON calls.name = u.name")
 def _(spark, d):
-    return J.resolve_unique(_calls(spark, d), symbols(spark, d).where("id < 100").select("id", "name")).select("call", "name", "target")
+    named = symbols(spark, d).select("id", F.concat_ws(" ", "file_path", "kind", "name", F.col("size").cast("string")).alias("name"))
+    calls = read(spark, d, "orders").select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("id")).join(named, "id").select("call", "name")
+    return J.resolve_unique(calls, named).select("call", "name", "target")
 
 
 @query("j14_parent_modules", "SELECT p_partkey AS id, p_brand || '::' || p_type AS parent, p_name AS simple FROM part")
@@ -384,10 +386,10 @@ def _(spark, d):
 @query(
     "j20_structural_similarity",
     """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label < b.label
-      WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.2""",
+      WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.2""",
 )
 def _(spark, d):
-    e = read(spark, d, "embeddings").where("vec_id % 5 = 0")
+    e = read(spark, d, "embeddings")
     one = e.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("x"))
     two = e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("y"))
     near = J.cosine(F.col("x"), F.col("y"))
@@ -426,10 +428,10 @@ def _(spark, d):
     return J.pattern(e, symbols(spark, d), [("PROMO", "CALLS", "SMALL"), ("SMALL", "CALLS", "LARGE")])
 
 
-@query("k10_upsert", "SELECT p_partkey AS k, p_name AS v FROM part WHERE p_partkey < 300 AND p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_partkey < 600 AND p_partkey % 3 = 0")
+@query("k10_upsert", "SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size < 30 AND p_type <> 'PROMO' UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_type = 'PROMO'")
 def _(spark, d):
     p = read(spark, d, "part").withColumnRenamed("p_partkey", "k")
-    return J.upsert(p.where("k < 300").select("k", F.col("p_name").alias("v")), p.where("k < 600 and k % 3 = 0").select("k", F.upper("p_name").alias("v")), ["k"])
+    return J.upsert(p.where("p_size < 30").select("k", F.col("p_name").alias("v")), p.where("p_type = 'PROMO'").select("k", F.upper("p_name").alias("v")), ["k"])
 
 
 @query("u1_union_distinct", "SELECT src AS node FROM hop48 UNION SELECT dst FROM hop48")
