@@ -6,6 +6,7 @@ texts, clustered by cosine in each language on the driver; every text is then co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,12 +63,16 @@ class Model:
 
 
 def fit(languages: list[str], counts: np.ndarray, per_language: int = 4, slack: float = 0.4, rounds: int = 12) -> Model | None:
-    """Cluster each language by spherical k-means; a text is rejected when its cosine is under `slack` times the 1st percentile
+    """Cluster each language by spherical k-means (counts is used up); a text is rejected when its cosine is under `slack` times the 1st percentile
     of the training texts of that centroid."""
     if not languages:
         return None
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = _unit(np.sqrt(counts) * idf)
+    # in place: the sample is the largest thing on the driver
+    x = np.sqrt(counts, out=counts)
+    x *= idf
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.where(norm > 0, norm, 1)
     names = np.array(languages)
     known, centroids, owner, least = sorted(set(languages)), [], [], []
     for k, name in enumerate(known):
@@ -111,9 +116,15 @@ def train(docs: DataFrame, held_out: Column | None = None, max_rows: int = MAX_T
     keep = F.lit(False)
     for lang, n in sizes.items():
         keep |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, share / n) * (1 << 30)))
-    rows = known.where(keep).mapInArrow(_count, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "x"])
-    counts = np.frombuffer(b"".join(rows["x"]), dtype=np.uint16).reshape(-1, WIDTH).astype(np.float32)
-    return fit(rows["lang"].tolist(), counts)
+    rows = known.where(keep).mapInArrow(_count, "doc_id long, lang string, x binary").toArrow().combine_chunks()
+    flat = b"".join(x.as_buffer() for x in rows.column("x"))
+    counts = np.frombuffer(flat, dtype=np.uint16).reshape(-1, WIDTH)
+    # the same order however Spark dealt the rows
+    ids = np.asarray(pc.fill_null(rows.column("doc_id"), -(1 << 63)))
+    order = np.lexsort((np.array([zlib.crc32(x) for x in counts], dtype=np.int64), ids))
+    languages = [rows.column("lang")[int(i)].as_py() for i in order]
+    del rows
+    return fit(languages, counts[order].astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFrame:
