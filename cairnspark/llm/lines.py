@@ -124,7 +124,8 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = lines.join(F.broadcast(shared) if few else shared, "node", "left_semi")
     texts = found.groupBy("node").agg(F.encode(F.min("line"), "UTF-16BE").alias("coded"), F.count("*").alias("n"))
     texts = table(texts, "line-texts")
-    near = signed.join(F.broadcast(shared) if few else shared, "node", "left_semi")
+    near = table(signed.join(F.broadcast(shared) if few else shared, "node", "left_semi"), "shared-signatures")
+    drop_table(signed)
     placed = _buckets(near)
     hubs = placed.join(texts.select("node", "n"), "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("n", "node")).alias("hub"), F.count("*").alias("size")
@@ -141,6 +142,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     main = counted.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     apart = table(rooted.join(main.select("bucket", "main"), "bucket"), "apart")
     new = shingle_sets(apart.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, sets)
+    drop_table(texts)
     full = apart.join(near, "node").join(sets.unionByName(new), "node")
     one = full.where("root <> main").select("bucket", "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("signature").alias("x"), F.col("set").alias("s"))
     two = full.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("signature").alias("y"), F.col("set").alias("t"))
@@ -150,7 +152,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("ra") != F.col("rb")) & _agree("x", "y") & _first_band("x", "y", one["band"]) & alike)
     more = table(more.select("a", "b"), "rest-links")
     groups = components(links.unionByName(more), "line-links")
-    for used in (signed, texts, sets, new):
+    for used in (near, sets, new):
         drop_table(used)
     return groups
 
