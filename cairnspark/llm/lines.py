@@ -25,6 +25,8 @@ BROADCAST_NODES = 500_000
 _random = random.Random(20240229)
 _POINTS = [_random.getrandbits(31) for _ in range(BANDS * ROWS)]
 MANY_SHINGLES = 64
+#: A long line that repeats one short run of characters may have few different shingles; its first ones are always looked at.
+SURE_SHINGLES = 16
 
 
 def _shingle_starts(coded: Column) -> Column:
@@ -48,32 +50,32 @@ def signatures(lines: DataFrame) -> DataFrame:
     """(node, signature) for each distinct line."""
     coded = lines.select("node", F.encode("line", "UTF-16BE").alias("coded"))
     starts = coded.select("node", "coded", F.explode(_shingle_starts(F.col("coded"))).alias("i"))
-    hashed = starts.select("node", (F.length("coded") < 2 * MANY_SHINGLES).alias("short"), F.hash(F.substring("coded", F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
-    hashed = hashed.where("h < 0 or short")
+    hashed = starts.select("node", (F.length("coded") < 2 * MANY_SHINGLES).alias("short"), (F.col("i") < 2 * SURE_SHINGLES).alias("first"), F.hash(F.substring("coded", F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
+    hashed = hashed.where("h < 0 or short or first")
     nearest = hashed.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_POINTS)))
-    return nearest.select("node", F.array(*(f"m{k}" for k in range(len(_POINTS)))).alias("signature"))
+    # with its place in each value, so that an intersection of two signatures counts where they agree
+    return nearest.select("node", F.array(*(F.hash(F.lit(k), F.col(f"m{k}")) for k in range(len(_POINTS)))).alias("signature"))
+
+
+def _band_hashes() -> Column:
+    """The bucket of each band of a signature, in order."""
+    of = lambda b: F.xxhash64(F.lit(b), *(F.get("signature", F.lit(b * ROWS + r)) for r in range(ROWS)))
+    return F.array(*(of(b) for b in range(BANDS)))
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
     """(node, band, bucket) for each band of each line."""
-    of = lambda b: F.xxhash64(F.lit(b), *(F.get("signature", F.lit(b * ROWS + r)) for r in range(ROWS)))
-    return signed.select("node", F.posexplode(F.array(*(of(b) for b in range(BANDS)))).alias("band", "bucket"))
+    return signed.select("node", F.posexplode(_band_hashes()).alias("band", "bucket"))
 
 
 def _agree(x: str, y: str) -> Column:
     """Whether two signature columns agree often enough."""
-    return sum((F.get(x, F.lit(k)) == F.get(y, F.lit(k))).cast("int") for k in range(len(_POINTS))) >= LEAST_AGREEING
+    return F.size(F.array_intersect(x, y)) >= LEAST_AGREEING
 
 
 def _first_band(x: str, y: str, band: Column) -> Column:
-    """Whether no band before this one agrees too, so that a pair is looked at in one of its groups only."""
-    earlier = F.lit(False)
-    for b in range(BANDS - 1):
-        agree = F.lit(True)
-        for r in range(ROWS):
-            agree = agree & (F.get(x, F.lit(b * ROWS + r)) == F.get(y, F.lit(b * ROWS + r)))
-        earlier = earlier | ((F.lit(b) < band) & agree)
-    return ~earlier
+    """Whether no band before this one agrees too (by all buckets of both), so that a pair is looked at in one of its groups only."""
+    return ~F.arrays_overlap(F.slice(x, F.lit(1), band), F.slice(y, F.lit(1), band))
 
 
 def promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -136,23 +138,29 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = shingle_sets(pairs, texts)
     links = verified(pairs, sets, threshold)
     first = components(links, "line-stars")
-    # groups whose lines are still apart
-    rooted = placed.join(first, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-    counted = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = counted.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    apart = table(rooted.join(main.select("bucket", "main"), "bucket"), "apart")
+    # groups whose lines are still apart; pairs with the hub are done, and of groups of the same lines that of the least band is enough
+    rooted = placed.join(hubs, "bucket").where("node <> hub").join(first, "node", "left")
+    rooted = table(rooted.select("bucket", "band", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    marks = [F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    counted = rooted.groupBy("bucket", "band", "root").agg(F.count("*").alias("n"), *marks)
+    bands = counted.groupBy("bucket", "band").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("size"), *(F.bit_xor(c).alias(c) for c in "xy")
+    )
+    main = bands.where("roots > 1").groupBy("x", "y", "size").agg(F.min(F.struct("band", "bucket", "main")).alias("least")).select("least.bucket", "least.main")
+    apart = table(rooted.join(main, "bucket"), "apart")
     new = shingle_sets(apart.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, sets)
     drop_table(texts)
-    full = apart.join(near, "node").join(sets.unionByName(new), "node")
-    one = full.where("root <> main").select("bucket", "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("signature").alias("x"), F.col("set").alias("s"))
-    two = full.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("signature").alias("y"), F.col("set").alias("t"))
+    full = apart.join(near.withColumn("buckets", _band_hashes()), "node").join(sets.unionByName(new), "node")
+    one = full.where("root <> main").select("bucket", "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("signature").alias("x"), F.col("buckets").alias("bx"), F.col("set").alias("s"))
+    two = full.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("signature").alias("y"), F.col("buckets").alias("by"), F.col("set").alias("t"))
     n, m = F.size("s"), F.size("t")
     # the cheaper tests come first
-    alike = (F.least(n, m) * 1000 >= round(threshold * 1000) * F.greatest(n, m)) & _alike(F.size(F.array_intersect("s", "t")), n, m, threshold)
-    more = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("ra") != F.col("rb")) & _agree("x", "y") & _first_band("x", "y", one["band"]) & alike)
+    near_size = F.least(n, m) * 1000 >= round(threshold * 1000) * F.greatest(n, m)
+    alike = _alike(F.size(F.array_intersect("s", "t")), n, m, threshold)
+    more = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("ra") != F.col("rb")) & near_size & _first_band("bx", "by", one["band"]) & _agree("x", "y") & alike)
     more = table(more.select("a", "b"), "rest-links")
     groups = components(links.unionByName(more), "line-links")
-    for used in (near, sets, new):
+    for used in (near, rooted, apart, sets, new):
         drop_table(used)
     return groups
 
