@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +28,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    # nothing reads this plan's shuffle files once the table is there
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of each plan that runs inside, once its result is there; no such plan may run a second time."""
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(setting, before)
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: a lost executor costs no recomputation of what came before."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    # nothing reads this plan's shuffle files once the table is there
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
