@@ -11,12 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..plans.storage import drop_table, shared_path, table  # noqa: F401  the operators import them from here
+from ..plans.storage import drop_table, shared_path, shuffles_removed, table  # noqa: F401  the operators import them from here
 
 
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df with a broadcast hint if it has few rows (of ids and hashes, 16 bytes each); the join shuffles otherwise."""
-    return F.broadcast(df) if df.count() <= rows else df
+    with shuffles_removed(df.sparkSession):
+        few = df.count() <= rows
+    return F.broadcast(df) if few else df
 
 
 def bounded_batches(spark: SparkSession, rows: int = 3000, size: str = "16m") -> None:
@@ -125,8 +127,9 @@ def components(edges: DataFrame, name: str = "components", done: Callable[[int],
         following = table(small, name)
         rounds += 1
         # a forest of stars is reached when no node is both a child and a parent and every child has one parent
-        state = following.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
-        chained_up = following.join(following.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        with shuffles_removed(following.sparkSession):
+            state = following.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
+            chained_up = following.join(following.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
         if written:
             drop_table(current)
         current, written = following, True

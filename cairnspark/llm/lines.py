@@ -127,7 +127,8 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = found.groupBy("node").agg(F.encode(F.min("line"), "UTF-16BE").alias("coded"), F.count("*").alias("n"))
     texts = table(texts, "line-texts")
     near = table(signed.join(F.broadcast(shared) if few else shared, "node", "left_semi"), "shared-signatures")
-    drop_table(signed)
+    for used in (signed, stars):
+        drop_table(used)
     placed = _buckets(near)
     hubs = placed.join(texts.select("node", "n"), "node").groupBy("bucket").agg(
         F.max_by("node", F.struct("n", "node")).alias("hub"), F.count("*").alias("size")
@@ -160,7 +161,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("ra") != F.col("rb")) & near_size & _first_band("bx", "by", one["band"]) & _agree("x", "y") & alike)
     more = table(more.select("a", "b"), "rest-links")
     groups = components(links.unionByName(more), "line-links")
-    for used in (near, rooted, apart, sets, new):
+    for used in (near, hubs, pairs, first, rooted, apart, sets, new, links, more):
         drop_table(used)
     return groups
 

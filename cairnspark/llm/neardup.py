@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import band_edges, components, flat_words, table, text_slices
+from .common import band_edges, components, drop_table, flat_words, table, text_slices
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 192
 BLOCK_CLASSES, BLOCK_GRAMS = 2048, 1_500_000
@@ -197,6 +197,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
     )
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), "groups")
+    for used in (clusters, members, texts):
+        drop_table(used)
     least = groups.join(ids, "node").groupBy("root").agg(F.min("class_id").alias("group_id"))
     of_node = ids.join(links, "node", "left").join(groups.join(least, "root").select("node", "group_id"), "node", "left").select(
         "node", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
