@@ -2,7 +2,8 @@
 
 Hosts are nodes; an edge goes from a host to each host that its pages link to, and from a host to its parent domain. Trust
 starts at hosts whose pages the rules mostly allow and follows the edges; distrust starts at hosts whose pages the rules
-mostly block and goes against them (who links to a blocked host is suspect). Both are personalised PageRanks.
+mostly block and goes against them (who links to a blocked host is suspect). Both are personalised PageRanks in which every
+seed restarts with a mass of its own, so what a host gets does not depend on how many other hosts there are.
 """
 
 from __future__ import annotations
@@ -67,15 +68,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
     """(host, trust, distrust): personalised PageRanks from seeds (host, trust, distrust); edges (src, dst, n) carry trust
-    forward and distrust backward. What a host without edges holds is not handed on. Ranks are tables every fourth round."""
+    forward and distrust backward. A seed restarts with its own mass, whatever the number of seeds. What a host without edges
+    holds is not handed on. Ranks are tables every fourth round."""
     ways = chained(
         [edges.select(F.lit("trust").alias("kind"), "src", "dst", "n"), edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")]
     )
     out = ways.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     ways = table(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total") * damping).alias("share")), "host-edges")
-    start = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, mass)")).where("mass > 0")
-    mass = start.groupBy("kind").agg(F.sum("mass").alias("total"))
-    start = table(start.join(F.broadcast(mass), "kind").select("host", "kind", (F.col("mass") / F.col("total")).alias("rank")), "seeds")
+    start = table(seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, rank)")).where("rank > 0"), "seeds")
     ranks, kept = start, []
     for i in range(rounds):
         moved = ways.join(ranks.select(F.col("host").alias("src"), "kind", "rank"), ["kind", "src"]).select(
@@ -96,7 +96,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, least: float = 1e-4)
     """page_id, host, path, rule, verdict, trust, distrust for pages (page_id, url, html).
 
     The longest rule that fits decides. Without one a page is blocked when its host's distrust is over its trust and over
-    `least`, and allowed otherwise; so are pages without a host. Null html has no links; repeated rows are judged one by one;
+    `least` (of the mass of one seed, which is 1), and allowed otherwise; so are pages without a host. Null html has no links; repeated rows are judged one by one;
     other columns don't matter; an empty table gives no rows.
     """
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

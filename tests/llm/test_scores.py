@@ -139,3 +139,18 @@ def test_urls(spark):
     assert out[9]["verdict"] == "block" and out[9]["distrust"] > out[9]["trust"]
     assert out[10]["verdict"] == "allow" and out[10]["trust"] > 0
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_url_verdicts_do_not_depend_on_the_number_of_hosts(spark):
+    copies = spark.range(1500).select(F.col("id").alias("k"))
+    small = [
+        (0, "http://linker{}.test/", '<a href="http://bad{}.net/1">x</a>'), (1, "http://bad{}.net/1", ""), (2, "http://friend{}.test/", ""),
+        (3, "http://good{}.org/fr/", '<a href="//friend{}.test/">'), (4, "http://alone{}.test/", ""),
+    ]
+    shape = spark.createDataFrame(small, "page_id long, url string, html string")
+    named = lambda c: F.replace(c, F.lit("{}"), F.col("k").cast("string")).alias(c)
+    many = shape.crossJoin(F.broadcast(copies)).select("page_id", named("url"), named("html"))
+    of = lambda df: {(r["page_id"], r["verdict"], round(r["trust"], 9), round(r["distrust"], 9)) for r in urls.judge(df).collect()}
+    one = of(shape)
+    assert {(i, v) for i, v, *_ in one} == {(0, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "allow")}
+    assert of(many) == one
