@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import chained, flat_words, table, text_slices
 
 BLOCK, BLOCKS, FEATURES, RANK = 8, 3, 1 << 14, 64
-#: Cosine and share of an item passage's words from which a passage is checked.
-LEAST_COSINE, LEAST_SHARED = 0.5, 0.4
-#: Features in more than this share of blocks weigh nothing; of an item passage's so many rarest words two must be there (one,
-#: if it has no more).
-COMMON, RAREST, LEAST_RAREST = 0.02, 6, 2
+#: Cosine and share of an item passage's words from which a passage is checked. The cosine is that of an item passage of 24 words;
+#: of a shorter one, that fills less of a document's passage, it falls with the root of its share.
+LEAST_COSINE, LEAST_SHARED = 0.4, 0.4
+#: Features in more than this share of blocks weigh nothing.
+COMMON = 0.02
 #: Share of an item's words in common order that is a leak, and that is one when the answer stands there too.
 LEAK, LEAK_WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
 #: Items that are compared at once; more are handled in blocks of so many.
@@ -121,9 +121,9 @@ def _ranged(idf: np.ndarray):
     return run
 
 
-def latent_space(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(words: DataFrame) -> np.ndarray:
     """FEATURES x RANK: what a block's word counts are multiplied with for its latent coordinates (idf, singular vectors, and
-    the inverse singular values), and the idf. Every row of words takes part; FEATURES x RANK numbers come to the driver."""
+    the inverse singular values). Every row of words takes part; FEATURES x RANK numbers come to the driver."""
     counted = words.mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(FEATURES + 1)
     n[counted["feature"]] = counted["n"]
@@ -139,7 +139,7 @@ def latent_space(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     keep = values > max(values.max(), 1e-12) * 1e-9
     left, s, _ = np.linalg.svd(g @ vectors[:, keep] / np.sqrt(values[keep]), full_matrices=False)  # s squared: eigenvalues of A'A
     scaled = left / np.maximum(s, s.max(initial=1e-12) * 1e-3)
-    return (scaled * idf[:, None]).astype(np.float32), idf
+    return (scaled * idf[:, None]).astype(np.float32)
 
 
 def passages(places: np.ndarray, owner: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def _shared(asked: np.ndarray, there: np.ndarray) -> np.ndarray:
     return (asked[:, :, None] == there[:, None, :]).any(axis=2).sum(axis=1)
 
 
-def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray, idf: np.ndarray):
+def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
     """items: id, word hashes, hashes of the answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +199,7 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray,
         asked_item, none = owner[asked_first], 0xFFFFFFFF
         asked_words = _passage_words(values, filled, owner, asked_first, none)
         asked_size = (asked_words != none).sum(axis=1)
-        weight = np.where(asked_words != none, idf[asked_words & np.uint32(FEATURES - 1)], -1.0)
-        rare = np.take_along_axis(asked_words, np.argsort(-weight, axis=1, kind="stable")[:, :RAREST], axis=1)
-        wanted = np.minimum(LEAST_RAREST, (rare != none).sum(axis=1))
+        least = (LEAST_COSINE * np.sqrt(asked_size / (BLOCKS * BLOCK))).astype(np.float32)
         for batch, words in _word_lists(batches):
             hits: list[dict[int, float]] = [{} for _ in words]
             values, filled, owner = blocks(words)
@@ -211,11 +209,9 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray,
                 there = _passage_words(values, filled, owner, first, 0)
                 begin = np.searchsorted(owner, np.arange(len(words)))
                 for i in range(0, len(vectors), 4096):
-                    row, q = np.nonzero(vectors[i : i + 4096] @ asked.T >= LEAST_COSINE)
+                    row, q = np.nonzero(vectors[i : i + 4096] @ asked.T >= least)
                     for j in range(0, len(row), 8192):
                         p, k = row[j : j + 8192] + i, q[j : j + 8192]
-                        near = _shared(rare[k], there[p]) >= wanted[k]
-                        p, k = p[near], k[near]
                         good = _shared(asked_words[k], there[p]) >= LEAST_SHARED * asked_size[k]
                         doc = owner[first[p[good]]]
                         found.update(zip(doc.tolist(), asked_item[k[good]].tolist(), ((first[p[good]] - begin[doc]) * BLOCK).tolist(), strict=True))
@@ -248,14 +244,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None)
     clean = words.select("doc_id", "text_hash", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     if not total:
         return clean
-    (space, idf), parts, found = latent_space(words), -(-total // ITEMS_AT_ONCE), []
+    space, parts, found = latent_space(words), -(-total // ITEMS_AT_ONCE), []
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         texts = word_hashes(pa.array([r["text"] for r in rows], type=pa.string())) if rows else []
         answers = word_hashes(pa.array([r["answer"] for r in rows], type=pa.string())) if rows else []
         known = [(r["item_id"], t, a if r["answer"] else t[-ANSWER_WORDS:]) for r, t, a in zip(rows, texts, answers, strict=True) if len(t)]
         if known:
-            found.append(words.mapInArrow(_search(known, space, idf), "doc_id long, text_hash long, item_ids array<long>, overlap double"))
+            found.append(words.mapInArrow(_search(known, space), "doc_id long, text_hash long, item_ids array<long>, overlap double"))
     if len(found) < 2:
         return found[0] if found else clean
     # each block of items has an answer for each row: a document's answer is what they have together

@@ -177,3 +177,24 @@ def test_pipeline_keeps_what_its_stages_keep(spark, tmp_path, odd_docs):
     pieces = cp.run(spark, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == set(range(12))
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "packing"]
+
+
+def test_leaks_without_their_rarest_words(spark):
+    # a paraphrase replaces the rare words (a quarter of an item) and keeps the rest in order
+    r = random.Random(5)
+    common = [f"frequent{k}" for k in range(400)]
+    items = []
+    for i in range(8):
+        words = [r.choice(common) for _ in range(24)]
+        for k in r.sample(range(24), 6):
+            words[k] = f"rare{i}x{k}"
+        items.append((i, words))
+    rows = [(i, " ".join(r.choice(common) for _ in range(200))) for i in range(300)]
+    for i, words in items:
+        changed = " ".join(f"other{i}y{k}" if w.startswith("rare") else w for k, w in enumerate(words))
+        rows.append((1000 + i, f"{prose(40 + i, 48)} {changed} {prose(80 + i, 40)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {x["doc_id"]: x["item_ids"] for x in decontam.find_leaks(docs, bench).collect()}
+    assert [got[1000 + i] for i, _ in items] == [[i] for i, _ in items]
+    assert not any(got[i] for i in range(300))
