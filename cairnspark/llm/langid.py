@@ -23,6 +23,10 @@ MAX_TRAINING_ROWS = 8_000
 WIDTH = 2048
 #: Texts of fewer n-grams are too short for their distance to say anything.
 LEAST_NGRAMS = 64
+#: A cluster of a smaller share of its language's texts is not a centroid of its own; its texts go to the others.
+LEAST_CLUSTER = 0.05
+#: Lengths (n-grams) at which noise is compared with the centroids, noise texts of each, and one text in so many is held out for the limits.
+NOISE_LENGTHS, NOISE_TEXTS, HELD_OUT = 2.0 ** np.arange(6, 17), 48, 5
 
 _FOLD = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -53,7 +57,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # a unit row each
     owner: np.ndarray  # language of each centroid
-    least: np.ndarray  # cosine below which a text is too far from the centroid
+    least: np.ndarray  # cosine below which a text is too far: a row for each centroid, a column for each of NOISE_LENGTHS
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Centroid and cosine for rows of n-gram counts."""
@@ -61,12 +65,44 @@ class Model:
         best = cosine.argmax(axis=1)
         return best, cosine[np.arange(len(best)), best]
 
+    def too_far(self, counts: np.ndarray, best: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Whether texts are farther from their centroid than its limit at their length, straight between two known lengths."""
+        x = np.clip(np.log2(np.maximum(counts.sum(axis=1), 1)) - np.log2(NOISE_LENGTHS[0]), 0, len(NOISE_LENGTHS) - 1)
+        low = np.minimum(x.astype(np.int64), len(NOISE_LENGTHS) - 2)
+        return cosine < self.least[best, low] * (1 - (x - low)) + self.least[best, low + 1] * (x - low)
+
+
+def _clusters(rows: np.ndarray, most: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Unit means by spherical k-means, begun by k-means++ and left without clusters that are too small."""
+    picked = [int(rng.integers(len(rows)))]
+    while len(picked) < min(most, len(rows)):
+        far = np.clip(1 - (rows @ rows[picked].T).max(axis=1), 0, None).astype(np.float64)
+        if far.sum() < 1e-9 * len(rows):
+            break
+        picked.append(int(rng.choice(len(rows), p=far / far.sum())))
+    means = rows[picked]
+    while True:
+        for _ in range(rounds):
+            at = (rows @ means.T).argmax(axis=1)
+            means = np.stack([_unit(rows[at == j].mean(axis=0)[None])[0] if (at == j).any() else means[j] for j in range(len(means))])
+        size = np.bincount((rows @ means.T).argmax(axis=1), minlength=len(means))
+        if len(means) == 1 or size.min() >= LEAST_CLUSTER * len(rows):
+            return means
+        means = np.delete(means, size.argmin(), axis=0)
+
+
+def _noise(idf: np.ndarray, centroids: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The 99th percentile of the cosines of random n-grams, centroid x length."""
+    drawn = (rng.multinomial(int(n), np.full(WIDTH, 1 / WIDTH), NOISE_TEXTS) for n in NOISE_LENGTHS)
+    return np.stack([np.quantile(_unit(np.sqrt(x) * idf) @ centroids.T, 0.99, axis=0) for x in drawn], axis=1)
 
-def fit(languages: list[str], counts: np.ndarray, per_language: int = 4, slack: float = 0.4, rounds: int = 12) -> Model | None:
-    """Cluster each language by spherical k-means (counts is used up); a text is rejected when its cosine is under `slack` times the 1st percentile
-    of the training texts of that centroid."""
+
+def fit(languages: list[str], counts: np.ndarray, per_language: int = 4, rounds: int = 12) -> Model | None:
+    """Cluster each language by spherical k-means (counts is used up). Every fifth text is held out of it, and a centroid's limit is
+    halfway between the 1st percentile of its held-out texts and noise of the text's length, or that percentile if noise is nearer."""
     if not languages:
         return None
+    rng, long = np.random.default_rng(20240229), counts.sum(axis=1) >= LEAST_NGRAMS
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     # in place: the sample is the largest thing on the driver
     x = np.sqrt(counts, out=counts)
@@ -74,30 +110,26 @@ def fit(languages: list[str], counts: np.ndarray, per_language: int = 4, slack:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     x /= np.where(norm > 0, norm, 1)
     names = np.array(languages)
-    known, centroids, owner, least = sorted(set(languages)), [], [], []
+    known, centroids, owner, low = sorted(set(languages)), [], [], []
     for k, name in enumerate(known):
-        rows = x[names == name]
-        rows = rows[np.linalg.norm(rows, axis=1) > 0]
-        if not len(rows):
+        mine = np.flatnonzero((names == name) & (norm[:, 0] > 0))
+        if not len(mine):
             continue
-        picked = [0]
-        while len(picked) < min(per_language, len(rows)):  # the row farthest from what is picked
-            picked.append(int((rows @ rows[picked].T).max(axis=1).argmin()))
-        means = rows[picked]
-        for _ in range(rounds):
-            at = (rows @ means.T).argmax(axis=1)
-            means = np.stack([_unit(rows[at == j].mean(axis=0)[None])[0] if (at == j).any() else means[j] for j in range(len(means))])
-        cosine = rows @ means.T
+        apart = np.arange(len(mine)) % HELD_OUT == HELD_OUT - 1
+        means = _clusters(x[mine[~apart]], per_language, rounds, rng)
+        # texts that are too short to be rejected say nothing about the limit
+        judged = mine[apart & long[mine]] if (apart & long[mine]).any() else mine
+        cosine = x[judged] @ means.T
         at = cosine.argmax(axis=1)
         for j in range(len(means)):
             own = cosine[at == j, j]
-            if len(own):
-                centroids.append(means[j])
-                owner.append(k)
-                least.append(slack * float(np.quantile(own, 0.01)))
+            centroids.append(means[j])
+            owner.append(k)
+            low.append(float(np.quantile(own if len(own) else cosine.max(axis=1), 0.01)))
     if not centroids:
         return None
-    return Model(known, idf, np.stack(centroids), np.array(owner), np.array(least))
+    noise, low = _noise(idf, np.stack(centroids), rng), np.array(low)[:, None]
+    return Model(known, idf, np.stack(centroids), np.array(owner), np.minimum((noise + low) / 2, low))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +165,7 @@ def identify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataF
 
     A text that is null or has no letter is 'und' with score 0 and rejected, and so is every text when there is no model.
     Otherwise lang_pred is the language of the nearest centroid (the first of equals), and `rejected` says that the text has
-    LEAST_NGRAMS or more and is farther from it than the centroid's limit. Repeated rows are judged one by one; other columns are not looked at.
+    LEAST_NGRAMS or more and is farther from it than the centroid's limit at its length. Repeated rows are judged one by one; other columns are not looked at.
     """
 
     named_by = "row" if carry else "doc_id"
@@ -150,7 +182,7 @@ def identify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataF
                 named = np.array(model.languages, dtype=object)[model.owner[best]]
                 named[~spoken] = "und"
                 score = np.where(spoken, np.clip(cosine, 0, 1), 0).astype(np.float64)
-                rejected = ~spoken | (cosine < model.least[best]) & (counts.sum(axis=1) >= LEAST_NGRAMS)
+                rejected = ~spoken | model.too_far(counts, best, cosine) & (counts.sum(axis=1) >= LEAST_NGRAMS)
             columns = [batch.column(named_by), pa.array(named.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, names=[named_by, "lang_pred", "score", "rejected"])
 

@@ -154,3 +154,27 @@ def test_url_verdicts_do_not_depend_on_the_number_of_hosts(spark):
     one = of(shape)
     assert {(i, v) for i, v, *_ in one} == {(0, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "allow")}
     assert of(many) == one
+
+
+def test_noise_and_unlearned_languages_are_rejected():
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    of = lambda sounds, n: ["".join(r.choice(sounds) for _ in range(r.randint(1, 4))) for _ in range(n)]
+    spoken = {"aa": of("the in ing er and on ti re".split(), 400), "bb": of("sch ein en ung der ver eit ge".split(), 400)}
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    learned = [(k, say(spoken[k], r.choice([20, 60, 300, 900]))) for k in ("aa", "bb") for _ in range(300)]
+    learned += [("aa", "outlier " * 200), ("bb", "%s " % ("xq" * 300))]
+    model = langid.fit([k for k, _ in learned], langid.ngram_counts(pa.array([t for _, t in learned])))
+    assert np.bincount(model.owner[model.nearest(langid.ngram_counts(pa.array([t for _, t in learned])))[0]]).min() >= 300
+
+    def rejected(texts):
+        counts = langid.ngram_counts(pa.array(texts))
+        return model.too_far(counts, *model.nearest(counts)).mean()
+
+    for n in (20, 60, 300, 900):
+        assert rejected([say(spoken[k], n) for k in ("aa", "bb") for _ in range(50)]) == 0
+        strange = of([a + b for a in "klmnpst" for b in "aiou"], 400)
+        assert rejected([say(strange, n) for _ in range(50)]) >= 0.98
+        assert rejected([say(["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n)], n) for _ in range(50)]) >= 0.98
+        assert rejected(["".join(r.choice(letters) for _ in range(6 * n)) for _ in range(50)]) >= 0.98
+        assert rejected(["".join(chr(r.randint(0xAC00, 0xD7A3)) for _ in range(3 * n)) for _ in range(50)]) >= 0.98
