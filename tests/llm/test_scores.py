@@ -178,3 +178,18 @@ def test_noise_and_unlearned_languages_are_rejected():
         assert rejected([say(["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n)], n) for _ in range(50)]) >= 0.98
         assert rejected(["".join(r.choice(letters) for _ in range(6 * n)) for _ in range(50)]) >= 0.98
         assert rejected(["".join(chr(r.randint(0xAC00, 0xD7A3)) for _ in range(3 * n)) for _ in range(50)]) >= 0.98
+
+
+def test_texts_without_common_words_are_not_kept(spark):
+    r = random.Random(4)
+    common, letters = [f"c{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)], "abcdefghijklmnopqrstuvwxyz"
+    rare = lambda: "".join(r.choice(letters) for _ in range(r.randint(5, 9)))
+    # a third of the words are common ones, as in the real tables
+    say = lambda n, share=0.35: " ".join(r.choice(common) if r.random() < share else rare() for _ in range(n))
+    sizes = (60, 200, 200, 200, 900)
+    clean = [(i, say(sizes[i % 5]), "en") for i in range(300)]
+    strange = [(1000 + i, say(sizes[1 + i % 4], 0), None) for i in range(50)]
+    docs = spark.createDataFrame(clean + strange, "doc_id long, text string, lang string")
+    kept = {x["doc_id"]: x["kept"] for x in rules.judge(docs).collect()}
+    assert all(kept[i] for i, *_ in clean)
+    assert not any(kept[i] for i, *_ in strange)
