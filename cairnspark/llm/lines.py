@@ -1,7 +1,7 @@
 """Fuzzy line dedup with DataFrame and SQL functions only.
 
-Lines become sets of hashed character shingles, and a line's signature is, for each of several random numbers, the shingle hash
-that is nearest to it by XOR: for two lines these agree with the probability of their Jaccard similarity. Bands of the
+Lines become sets of hashed character shingles, and a line's signature is, for each of several random hash functions, the least
+value of all its shingles: for two lines these agree with the probability of their Jaccard similarity. Bands of the
 signature find candidates, the full shingle sets decide, and a distributed union-find over the verified pairs makes
 components, of which the first line in order of document and position stays.
 """
@@ -15,18 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import band_edges, components, drop_table, table
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 10, 0.8, 8, 3
-#: A pair whose signatures agree in fewer of the 24 places is not looked at: below it is one in 1,000 pairs at the threshold.
-LEAST_AGREEING = 13
 #: Up to so many node numbers (8 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 
-#: Not negative, so a negative hash is always nearer (less by XOR) than one that is not: of a line with so many shingles, that it
-#: surely has a negative one, only those have to be looked at.
-_random = random.Random(20240229)
-_POINTS = [_random.getrandbits(31) for _ in range(BANDS * ROWS)]
-MANY_SHINGLES = 64
-#: A long line that repeats one short run of characters may have few different shingles; its first ones are always looked at.
-SURE_SHINGLES = 16
+#: Each place of a signature hashes the shingles anew: (factor x hash + summand) mod a prime over 2^32, which stays under 2^63.
+_PRIME, _random = 4294967311, random.Random(20240229)
+_FACTORS = [(_random.randrange(1, 1 << 30), _random.randrange(1 << 32)) for _ in range(BANDS * ROWS)]
 
 
 def _shingle_starts(coded: Column) -> Column:
@@ -50,11 +44,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     """(node, signature) for each distinct line."""
     coded = lines.select("node", F.encode("line", "UTF-16BE").alias("coded"))
     starts = coded.select("node", "coded", F.explode(_shingle_starts(F.col("coded"))).alias("i"))
-    hashed = starts.select("node", (F.length("coded") < 2 * MANY_SHINGLES).alias("short"), (F.col("i") < 2 * SURE_SHINGLES).alias("first"), F.hash(F.substring("coded", F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
-    hashed = hashed.where("h < 0 or short or first")
-    nearest = hashed.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_POINTS)))
-    # with its place in each value, so that an intersection of two signatures counts where they agree
-    return nearest.select("node", F.array(*(F.hash(F.lit(k), F.col(f"m{k}")) for k in range(len(_POINTS)))).alias("signature"))
+    hashed = starts.select("node", F.hash(F.substring("coded", F.col("i"), F.lit(2 * SHINGLE))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
+    least = hashed.groupBy("node").agg(*(F.min((F.col("h") * F.lit(a) + F.lit(b)) % F.lit(_PRIME)).alias(f"m{k}") for k, (a, b) in enumerate(_FACTORS)))
+    return least.select("node", F.array(*(F.hash(f"m{k}") for k in range(len(_FACTORS)))).alias("signature"))
 
 
 def _band_hashes() -> Column:
@@ -68,23 +60,11 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return signed.select("node", F.posexplode(_band_hashes()).alias("band", "bucket"))
 
 
-def _agree(x: str, y: str) -> Column:
-    """Whether two signature columns agree often enough."""
-    return F.size(F.array_intersect(x, y)) >= LEAST_AGREEING
-
-
 def _first_band(x: str, y: str, band: Column) -> Column:
     """Whether no band before this one agrees too (by all buckets of both), so that a pair is looked at in one of its groups only."""
     return ~F.arrays_overlap(F.slice(x, F.lit(1), band), F.slice(y, F.lit(1), band))
 
 
-def promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree often enough."""
-    one = signed.select(F.col("node").alias("a"), F.col("signature").alias("x"))
-    two = signed.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(_agree("x", "y")).select("a", "b")
-
-
 def shingle_sets(pairs: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, set) for the nodes of pairs (a, b) by texts (node, coded), without those that are known."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -115,7 +95,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     First every line is compared with the most frequent line of each of its band groups, which edited copies mostly come from.
     Where lines of a group are then still apart, all lines outside the group's largest component are compared with every
-    line of the group that is not in theirs, so no link is left out. Signatures and sets are compared inside that join: what
+    line of the group that is not in theirs, so no link is left out. Sets are compared inside that join: what
     it makes are links, not pairs, and a set is moved once for each group of its line.
     """
     lines = occurrences(docs)
@@ -135,7 +115,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     hubs = table(hubs.where("size > 1").select("bucket", "hub"), "hubs")
     pairs = placed.join(hubs, "bucket").where("node <> hub").select(*_ordered("node", "hub")).distinct()
-    pairs = table(promising(pairs, near), "promising")
+    pairs = table(pairs, "hub-pairs")
     sets = shingle_sets(pairs, texts)
     links = verified(pairs, sets, threshold)
     first = components(links, "line-stars")
@@ -151,14 +131,14 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     apart = table(rooted.join(main, "bucket"), "apart")
     new = shingle_sets(apart.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, sets)
     drop_table(texts)
-    full = apart.join(near.withColumn("buckets", _band_hashes()), "node").join(sets.unionByName(new), "node")
-    one = full.where("root <> main").select("bucket", "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("signature").alias("x"), F.col("buckets").alias("bx"), F.col("set").alias("s"))
-    two = full.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("signature").alias("y"), F.col("buckets").alias("by"), F.col("set").alias("t"))
+    full = apart.join(near.select("node", _band_hashes().alias("buckets")), "node").join(sets.unionByName(new), "node")
+    one = full.where("root <> main").select("bucket", "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("buckets").alias("bx"), F.col("set").alias("s"))
+    two = full.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("buckets").alias("by"), F.col("set").alias("t"))
     n, m = F.size("s"), F.size("t")
     # the cheaper tests come first
     near_size = F.least(n, m) * 1000 >= round(threshold * 1000) * F.greatest(n, m)
     alike = _alike(F.size(F.array_intersect("s", "t")), n, m, threshold)
-    more = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("ra") != F.col("rb")) & near_size & _first_band("bx", "by", one["band"]) & _agree("x", "y") & alike)
+    more = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("ra") != F.col("rb")) & near_size & _first_band("bx", "by", one["band"]) & alike)
     more = table(more.select("a", "b"), "rest-links")
     groups = components(links.unionByName(more), "line-links")
     for used in (near, hubs, pairs, first, rooted, apart, sets, new, links, more):
@@ -173,7 +153,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are. Of each component the line stays that is first by doc_id (nulls first), then by place; blank lines always stay, and
     so do nulls: a null text stays null. Rows with the same doc_id and text are one document and are all treated alike. The
     result has the columns of docs with the new text, and _n_lines (lines that are not blank) and _n_dropped. Lines are told
-    apart by 64-bit hashes. A candidate at the threshold is found with a probability of 0.997.
+    apart by 64-bit hashes. A pair at the threshold shares a band with a probability of 0.997 (measured recall: README).
     """
     groups = similar_lines(docs, threshold)
     lines = occurrences(docs).select("doc_id", "text_hash", "at", "node")

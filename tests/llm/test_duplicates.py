@@ -198,3 +198,15 @@ def test_leaks_without_their_rarest_words(spark):
     got = {x["doc_id"]: x["item_ids"] for x in decontam.find_leaks(docs, bench).collect()}
     assert [got[1000 + i] for i, _ in items] == [[i] for i, _ in items]
     assert not any(got[i] for i in range(300))
+
+
+def test_recall_of_short_lines_at_the_threshold(spark):
+    r, pairs = random.Random(11), []
+    for _ in range(1500):
+        s = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(59))
+        pairs.append((s[:54], s[5:]))
+        assert jaccard(char_sets(s[:54]), char_sets(s[5:])) == lines.THRESHOLD
+    docs = spark.createDataFrame([(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    found = sum(x["_n_dropped"] for x in lines.dedup(docs).select("_n_dropped").collect()) / len(pairs)
+    print("recall", found)
+    assert found >= 0.99
