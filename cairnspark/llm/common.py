@@ -58,7 +58,7 @@ def text_slices(
     pa.default_memory_pool().release_unused()
 
 
-def flat_words(texts: pa.Array, pattern: str | None = None, fold: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def coded_words(texts: pa.Array, pattern: str | None = None, fold: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """All words of a slice of texts as (index of each word in the vocabulary, words per text, vocabulary).
 
     Words are what stands between ASCII white space (or between matches of `pattern`), lower-cased when `fold` is set.
@@ -72,7 +72,13 @@ def flat_words(texts: pa.Array, pattern: str | None = None, fold: bool = True) -
     coded = words.filter(full).dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     counts = np.bincount(np.asarray(parent), minlength=len(texts)).astype(np.int64)
-    return np.asarray(coded.indices, dtype=np.int64), counts, coded.dictionary.to_pylist()
+    return np.asarray(coded.indices, dtype=np.int64), counts, coded.dictionary
+
+
+def flat_words(texts: pa.Array, pattern: str | None = None, fold: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """coded_words() with the vocabulary as a list."""
+    ids, counts, vocabulary = coded_words(texts, pattern, fold)
+    return ids, counts, vocabulary.to_pylist()
 
 
 def chained(frames: list[DataFrame]) -> DataFrame:

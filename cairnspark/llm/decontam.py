@@ -17,14 +17,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chained, flat_words, table, text_slices
+from .common import chained, coded_words, table, text_slices
 
 BLOCK, BLOCKS, FEATURES, RANK = 8, 3, 1 << 14, 64
 #: Cosine and share of an item passage's words from which a passage is checked. The cosine is that of an item passage of 24 words;
 #: of a shorter one, that fills less of a document's passage, it falls with the root of its share.
 LEAST_COSINE, LEAST_SHARED = 0.4, 0.4
-#: Features in more than this share of blocks weigh nothing.
-COMMON = 0.02
+#: Least weight of a feature, however frequent; first words of an item that are looked for as they are.
+LEAST_IDF, ANCHOR = 0.01, 8
+#: Cells of a passage's table of words, which rules most pairs out before words are compared; cells of an item's table of words.
+_CELLS, _TABLE = 256, 1 << 12
 #: Share of an item's words in common order that is a leak, and that is one when the answer stands there too.
 LEAK, LEAK_WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
 #: Items that are compared at once; more are handled in blocks of so many.
@@ -33,8 +35,8 @@ ITEMS_AT_ONCE = 20_000
 
 def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     """32-bit hashes of each text's words, lower-cased and without punctuation at their ends."""
-    ids, counts, vocabulary = flat_words(texts)
-    bare = np.array(pc.utf8_trim(pa.array(vocabulary, type=pa.string()), characters=string.punctuation).to_pylist(), dtype=object)
+    ids, counts, vocabulary = coded_words(texts)
+    bare = pc.utf8_trim(vocabulary, characters=string.punctuation).to_numpy(zero_copy_only=False)
     hashed = (pd.util.hash_array(bare, categorize=False) >> np.uint64(32)).astype(np.uint32) if len(bare) else np.zeros(0, np.uint32)
     full = bare.astype(bool)
     keep = full[ids] if len(ids) else np.zeros(0, dtype=bool)
@@ -97,8 +99,6 @@ def _omega(seed: int = 20240229) -> np.ndarray:
 
 def _ranged(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # features without weight add nothing to the sums
-        weighed = np.append(np.where(idf > 0, np.arange(FEATURES), FEATURES), FEATURES).astype(np.int16)
         start = np.vstack([_omega() * idf[:, None].astype(np.float32), np.zeros((1, RANK), dtype=np.float32)])
         total = np.zeros((RANK, FEATURES), dtype=np.float64)
         for _, words in _word_lists(batches):
@@ -107,16 +107,17 @@ def _ranged(idf: np.ndarray):
                 continue
             places = _places(values, filled)
             y = np.ascontiguousarray(_rows(start, places).T)
-            flat = weighed[places.ravel()]
+            flat = places.ravel()
             order = np.argsort(flat, kind="stable")
             order = order[: np.searchsorted(flat[order], FEATURES)]
             ordered, owner = flat[order], order // BLOCK
             starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, dtype=np.int64)
             for k in range(RANK if len(starts) else 0):
                 total[k, ordered[starts]] += np.add.reduceat(y[k][owner], starts)
-        flat = pa.array((total.T * idf[:, None]).astype(np.float32).ravel(), type=pa.float32())
-        lists = pa.ListArray.from_arrays(np.arange(0, FEATURES * RANK + 1, RANK, dtype=np.int32), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES, dtype=np.int64)), lists], names=["feature", "g"])
+        used = np.flatnonzero(total.any(axis=0))
+        flat = pa.array((total.T[used] * idf[used, None]).astype(np.float32).ravel(), type=pa.float32())
+        lists = pa.ListArray.from_arrays(np.arange(0, len(used) * RANK + 1, RANK, dtype=np.int32), flat)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), lists], names=["feature", "g"])
 
     return run
 
@@ -127,7 +128,7 @@ def latent_space(words: DataFrame) -> np.ndarray:
     counted = words.mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(FEATURES + 1)
     n[counted["feature"]] = counted["n"]
-    idf = np.where(n[:FEATURES] > COMMON * n[FEATURES], 0.0, np.log((1 + n[FEATURES]) / (1 + n[:FEATURES])))
+    idf = np.maximum(np.log((1 + n[FEATURES]) / (1 + n[:FEATURES])), LEAST_IDF)
     sums = words.mapInArrow(_ranged(idf), "feature long, g array<float>").groupBy("feature")
     rows = sums.agg(F.array(*(F.sum(F.get("g", F.lit(k)).cast("double")) for k in range(RANK))).alias("g")).toPandas()
     g = np.zeros((FEATURES, RANK))
@@ -189,17 +190,53 @@ def _shared(asked: np.ndarray, there: np.ndarray) -> np.ndarray:
     return (asked[:, :, None] == there[:, None, :]).any(axis=2).sum(axis=1)
 
 
+def _tables(words: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(words), _TABLE), dtype=bool)
+    for table_of, own in zip(out, words, strict=True):
+        table_of[own & (_TABLE - 1)] = True
+    return out
+
+
+def _rolled(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` words."""
+    out = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
+    for k in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)]
+    return out
+
+
+def _anchored(words: list[np.ndarray], anchors: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
+    """(text, item, place) where the first words of an item stand as they are; anchors: sorted hashes and items by number of words."""
+    flat, ends = np.concatenate(words), np.cumsum([len(w) for w in words])
+    for width, (hashes, of) in anchors.items():
+        rolled = _rolled(flat, width)
+        first, last = np.searchsorted(hashes, rolled), np.searchsorted(hashes, rolled, side="right")
+        for i in np.flatnonzero(last > first).tolist():
+            doc = int(np.searchsorted(ends, i, side="right"))
+            for item in of[first[i] : last[i]].tolist():
+                yield doc, item, i - int(ends[doc]) + len(words[doc])
+
+
 def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
     """items: id, word hashes, hashes of the answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         padded = np.vstack([space, np.zeros((1, space.shape[1]), dtype=np.float32)])
-        values, filled, owner = blocks([w for _, w, _ in items])
+        texts = [w for _, w, _ in items]
+        values, filled, owner = blocks(texts)
         asked, asked_first = passages(_places(values, filled), owner, padded)
         asked_item, none = owner[asked_first], 0xFFFFFFFF
         asked_words = _passage_words(values, filled, owner, asked_first, none)
         asked_size = (asked_words != none).sum(axis=1)
         least = (LEAST_COSINE * np.sqrt(asked_size / (BLOCKS * BLOCK))).astype(np.float32)
+        item_tables, lists = _tables(texts), [w.tolist() for w in texts]
+        # the last cell stays empty, for places without a word
+        cell = np.where(asked_words != none, asked_words & np.uint32(_CELLS - 1), _CELLS).astype(np.int32)
+        anchors = {}
+        for width in {min(ANCHOR, len(w)) for w in texts}:
+            of = np.array([i for i, w in enumerate(texts) if min(ANCHOR, len(w)) == width])
+            hashes = np.array([_rolled(texts[i][:width], width)[0] for i in of])
+            anchors[width] = np.sort(hashes), of[np.argsort(hashes, kind="stable")]
         for batch, words in _word_lists(batches):
             hits: list[dict[int, float]] = [{} for _ in words]
             values, filled, owner = blocks(words)
@@ -209,16 +246,29 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
                 there = _passage_words(values, filled, owner, first, 0)
                 begin = np.searchsorted(owner, np.arange(len(words)))
                 for i in range(0, len(vectors), 4096):
-                    row, q = np.nonzero(vectors[i : i + 4096] @ asked.T >= least)
+                    row, q = np.divmod(np.flatnonzero(vectors[i : i + 4096] @ asked.T >= least), len(asked))
+                    part = there[i : i + 4096]
+                    held_words = np.zeros((len(part), _CELLS + 1), dtype=np.uint8)
+                    held_words[np.arange(len(part))[:, None], part & np.uint32(_CELLS - 1)] = 1
+                    held_words, start = held_words.ravel(), row.astype(np.int32) * np.int32(_CELLS + 1)
                     for j in range(0, len(row), 8192):
                         p, k = row[j : j + 8192] + i, q[j : j + 8192]
+                        may = held_words.take(start[j : j + 8192, None] + cell[k]).sum(axis=1, dtype=np.uint8) >= LEAST_SHARED * asked_size[k]
+                        p, k = p[may], k[may]
                         good = _shared(asked_words[k], there[p]) >= LEAST_SHARED * asked_size[k]
                         doc = owner[first[p[good]]]
                         found.update(zip(doc.tolist(), asked_item[k[good]].tolist(), ((first[p[good]] - begin[doc]) * BLOCK).tolist(), strict=True))
+                found.update(_anchored(words, anchors))
             for doc, item, at in found:
                 _, text, answer = items[item]
                 region = words[doc][max(0, at - len(text)) : at + BLOCKS * BLOCK + len(text)]
-                ratio = subsequence(text, region) / len(text)
+                known = region[item_tables[item][region & np.uint32(_TABLE - 1)]]  # other words are in no common subsequence
+                # the subsequence is no longer than the item's words that stand there
+                standing = set(known.tolist())
+                most = sum(w in standing for w in lists[item]) / len(text)
+                if most < LEAK_WITH_ANSWER or most < LEAK and not (len(answer) and _contains(region, answer)):
+                    continue
+                ratio = subsequence(text, known) / len(text)
                 if ratio >= LEAK or ratio >= LEAK_WITH_ANSWER and len(answer) and _contains(region, answer):
                     hits[doc][items[item][0]] = max(ratio, hits[doc].get(items[item][0], 0.0))
             listed = pa.array([sorted(h) for h in hits], type=pa.list_(pa.int64()))
@@ -233,8 +283,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None)
     """doc_id, text_hash, item_ids (sorted ids of items that leaked into it), overlap (best share of an item, 0 to 1) for each row of docs
     (doc_id, text) against benchmark (item_id, text, and an answer column if named; else an item's last words are its answer).
 
-    A null or empty text has no leak; items without words, or with a null id, are not looked for; repeated rows are judged one
-    by one; other columns are not looked at. Items come to the driver in blocks of ITEMS_AT_ONCE.
+    A null or empty text has no leak; long texts are searched whole; items without words, or with a null id, are not looked for, and
+    of items that fit equally well all are named; repeated rows are judged one by one; other columns are not looked at; an
+    empty table gives no rows. Items come to the driver in blocks of ITEMS_AT_ONCE.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     words = table(base.mapInArrow(_hash, "doc_id long, text_hash long, words binary"), "words")

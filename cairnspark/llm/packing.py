@@ -48,10 +48,6 @@ def _fill(counts: np.ndarray, room: int, taken: int) -> tuple[int, list[tuple[in
         if bits >> room & 1:
             break
     best = total = bits.bit_length() - 1
-    for power in powers_below(room + taken):
-        if best + taken != room + taken and power >= taken and bits >> (power - taken) & 1:
-            best = total = power - taken
-            break
     used: dict[int, int] = {}
     for length, n, before in reversed(steps):
         if not before >> total & 1:
@@ -60,10 +56,6 @@ def _fill(counts: np.ndarray, room: int, taken: int) -> tuple[int, list[tuple[in
     return best, sorted(used.items(), reverse=True)
 
 
-def powers_below(window: int) -> list[int]:
-    return [1 << b for b in range(window.bit_length() - 1, -1, -1)]
-
-
 def plan(histogram: dict[int, int], window: int = WINDOW, max_slack: int | None = None) -> np.ndarray:
     """Rows (length, first rank, pieces per sequence, first sequence, offset) in order of length and rank.
 

@@ -31,6 +31,13 @@ from .tokens import encoder as open_encoder
 MAGIC = b"CSST0001"
 FOOTER = struct.Struct("<6QI8s")
 BLOCK_BYTES, BITS_PER_KEY, END_ID = 128 << 10, 10, 2
+#: Bytes of text for each shard.
+SHARD_BYTES = 16 << 20
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a Hadoop URI; Arrow knows S3 by one name only."""
+    return fs.FileSystem.from_uri(f"s3{uri[3:]}" if uri.startswith(("s3a:", "s3n:")) else uri)
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -125,7 +132,7 @@ class Reader:
     """Opens one shard by its footer; get() reads one block, scan() all of them in order."""
 
     def __init__(self, uri: str) -> None:
-        store, path = fs.FileSystem.from_uri(uri)
+        store, path = _store(uri)
         self._file = store.open_input_file(path)
         self._unpack = zstandard.ZstdDecompressor().decompress
         end = self._file.size()
@@ -193,7 +200,7 @@ def _write(tokenizer: str, folder: str, end_id: int):
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         for batch in text_slices(batches, limit=8 << 20, rows=4000, hold=True):
             if writer is None:
-                store, path = fs.FileSystem.from_uri(uri)
+                store, path = _store(uri)
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 stream = store.open_output_stream(path)
                 writer, first = Writer(stream), batch.column("doc_id")[0].as_py()
@@ -215,12 +222,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     """Tokenize docs (doc_id, text) into shards of ascending id; returns the manifest, a row per shard.
 
     A null or empty text is its end id alone, a null id sorts first, repeated ids stay apart (ordered by a hash of the text),
-    other columns are not looked at; an empty table gives no shard. A task writes a file of its own name and only files of
+    other columns are not looked at; an empty table gives no shard; a long text is one entry, whole. A shard holds about
+    SHARD_BYTES of text. A task writes a file of its own name and only files of
     finished tasks are in the manifest, so a task that runs twice does no harm.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "shards")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        shards = -(-(docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // SHARD_BYTES) or 1
     ordered = (
         docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
         .repartitionByRange(shards, "doc_id", "tie")

@@ -36,7 +36,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._tokenizer.model._resize_cache(0)  # this cache takes its place
         self._capacity = capacity
         self._spaced: dict[str, bytes] = {}

@@ -210,3 +210,48 @@ def test_recall_of_short_lines_at_the_threshold(spark):
     found = sum(x["_n_dropped"] for x in lines.dedup(docs).select("_n_dropped").collect()) / len(pairs)
     print("recall", found)
     assert found >= 0.99
+
+
+def test_recall_of_lines_of_all_lengths(spark):
+    # n shingles on each side, a ninth of them the other's only: a similarity of exactly 0.8
+    r, pairs = random.Random(12), []
+    for n, count in ((9, 300), (18, 300), (27, 300), (90, 300), (117, 300), (180, 300), (450, 200), (1800, 60)):
+        for _ in range(count):
+            s = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n + n // 9 + 9))
+            pairs.append((n, s[: n + 9], s[n // 9 :]))
+            assert n > 200 or jaccard(char_sets(pairs[-1][1]), char_sets(pairs[-1][2])) == lines.THRESHOLD
+    docs = spark.createDataFrame([(i, f"{a}\n{b}") for i, (_, a, b) in enumerate(pairs)], "doc_id long, text string")
+    found = {x["doc_id"]: x["_n_dropped"] for x in lines.dedup(docs).select("doc_id", "_n_dropped").collect()}
+    of = lambda n: [found[i] for i, p in enumerate(pairs) if p[0] == n]
+    recall = {n: sum(of(n)) / len(of(n)) for n in {p[0] for p in pairs}}
+    print("recall", recall)
+    assert all(x >= 0.95 for x in recall.values()) and sum(found.values()) / len(pairs) >= 0.98
+
+
+def test_repetitive_lines_meet_short_ones(spark):
+    # few distinct shingles in a long line, which looks at the least hashes only
+    rows = [(i, (f"word{i} and " * 200)[: 400 + 40 * i]) for i in range(20)] + [(100 + i, (f"word{i} and " * 4)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = {x["doc_id"]: x["_n_dropped"] for x in lines.dedup(docs).collect()}
+    sets = {i: char_sets(t) for i, t in rows}
+    for i, t in rows:
+        assert dropped[i] == int(any(j < i and jaccard(sets[i], sets[j]) >= lines.THRESHOLD for j, _ in rows))
+
+
+def test_blocks_do_not_change_line_dedup(spark, monkeypatch):
+    # a bucket of lines that share a long part and differ from its most frequent line, in pairs of similar ones
+    tail = prose(5, 60)
+    heads = [prose(100 + i, 25) for i in range(12)]
+    rows = [(i, f"{heads[i % 12]} {tail} {'x' * (i // 12)}") for i in range(36)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda: sorted((r["doc_id"], r["_n_dropped"]) for r in lines.dedup(docs).collect())
+    whole = key()
+    monkeypatch.setattr(lines, "BLOCK", 3)
+    assert key() == whole and sum(n for _, n in whole) == 24
+
+
+def test_line_dedup_replaces_own_columns(spark):
+    docs = spark.createDataFrame([(1, "a line\na line", 9, "z")], "doc_id long, text string, _n_lines long, n_dropped string")
+    out = lines.dedup(docs)
+    assert out.columns == ["doc_id", "text", "n_dropped", "_n_lines", "_n_dropped"]
+    assert [tuple(r) for r in out.collect()] == [(1, "a line", "z", 2, 1)]

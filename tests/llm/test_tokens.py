@@ -17,7 +17,6 @@ from cairnspark.llm.tokens import Encoder
 @pytest.fixture(scope="module")
 def exact(vocabulary):
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     return lambda texts: [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -30,6 +29,14 @@ def test_cached_ids_are_exact(vocabulary, exact):
         got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts[i : i + 200]))]
         assert got == exact(texts[i : i + 200])
     assert encoder.encode(pa.array([None], type=pa.string())) == [b""]
+    marked = encoder.encode(pa.array(["x <|endoftext|> y"]))[0]
+    assert np.frombuffer(marked, "<u4").tolist() == [87, 220, 50256, 331]
+
+
+def test_windows_are_filled_as_far_as_lengths_allow():
+    # 20 + 19 + 12 + 12 = 63 is the fullest, not 32
+    rows = packing.plan({20: 1, 12: 2, 19: 1}, 64)
+    assert {int(r[3]) for r in rows} == {0} and all(r[4] >= 0 for r in rows)
 
 
 @pytest.mark.parametrize("seed", range(6))
