@@ -46,7 +46,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     # nothing reads this plan's shuffle files once the table is there
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        # ids and hashes hardly repeat: dictionaries would be built and thrown away
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
