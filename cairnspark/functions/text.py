@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Fixed words that are no search terms.
-STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "what", "where", "when", "how", "does", "are", "who")
+STOP_WORDS = (
+    "a", "an", "and", "are", "be", "been", "bug", "by", "calls", "fix", "for", "from", "how", "in", "into", "is", "of", "on", "show", "that", "the", "these",
+    "this", "those", "to", "was", "were", "what", "whats", "when", "where", "who", "why", "with",
+)
 
 
 def terms(text: Column, most: int = 8) -> Column:
-    """Search terms in order: identifiers of three letters or more, or with an underscore; no stop words, each once."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z_][a-z0-9_]*"), 0)
-    kept = F.filter(words, lambda w: ((F.length(w) >= 3) | w.contains("_")) & ~w.isin(*STOP_WORDS))
-    return F.slice(F.array_distinct(kept), 1, most)
+    """Search terms in order, as they are spelled: identifiers of three letters or more, or with an underscore; no stop words, and
+    each once in either case."""
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), 0)
+    kept = F.filter(words, lambda w: ((F.length(w) >= 3) | w.contains("_")) & ~F.lower(w).isin(*STOP_WORDS))
+    named = F.array(F.struct(kept.alias("words"), F.transform(kept, F.lower).alias("lower")))
+    once = F.transform(named, lambda n: F.filter(n["words"], lambda w, i: F.array_position(n["lower"], F.lower(w)) == i + 1))
+    return F.slice(F.get(once, F.lit(0)), 1, most)
 
 
 def tokens(text: Column) -> Column:
@@ -44,9 +50,14 @@ def wikilinks(text: Column) -> Column:
 
 
 def tags(text: Column) -> Column:
-    """#tags in order, each once, without hex colours of three or six digits."""
-    found = F.regexp_extract_all(text, F.lit(r"(?:^|\s)#([A-Za-z0-9_/-]+)"), 1)
-    return F.array_distinct(F.filter(found, lambda t: ~t.rlike("^([0-9a-fA-F]{3}|[0-9a-fA-F]{6})$")))
+    """Tags of the front matter (a list, or parted by commas), then #tags of the text without hex colours of three or six digits; in
+    order, each once."""
+    listed = F.regexp_replace(F.coalesce(F.try_element_at(frontmatter(text), F.lit("tags")), F.lit("")), r"^\[|\]$", "")
+    named = F.transform(F.split(listed, ","), lambda t: F.regexp_replace(F.trim(t), "^[\"']|[\"']$", ""))
+    words = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}#]+|[^\p{L}\p{N}#]+$", ""))
+    inline = F.transform(F.filter(words, lambda w: w.startswith("#") & (F.length(w) > 1)), lambda w: F.substring(w, 2, 1 << 30))
+    inline = F.filter(inline, lambda t: ~t.rlike("^([0-9a-fA-F]{3}|[0-9a-fA-F]{6})$"))
+    return F.array_distinct(F.concat(F.filter(named, lambda t: t != ""), inline))
 
 
 def simple_name(name: Column) -> Column:
@@ -59,29 +70,43 @@ def parent_module(path: Column) -> Column:
     return F.when(path.contains("::"), F.regexp_replace(path, "::[^:]*$", "")).otherwise("")
 
 
+#: Fixed names of symbol kinds and their keys.
+KINDS = {
+    "Function": "fn", "Method": "method", "Class": "struct", "Interface": "trait", "Enum": "enum", "Module": "mod", "Union": "union", "Namespace": "namespace",
+    "TypeAlias": "type_alias", "Unknown": "unknown",
+}
+
+
 def normalized_kind(kind: Column) -> Column:
-    """Kinds of symbols by their usual spellings (fixed values); others become 'unknown'."""
-    spelled = {
-        "fn": ("fn", "function", "func"), "method": ("method",), "struct": ("struct", "class"), "trait": ("trait", "interface"), "enum": ("enum",),
-        "module": ("mod", "module", "package"), "union": ("union",), "namespace": ("namespace", "ns"), "type_alias": ("type", "typealias", "type_alias"),
-    }
-    out = F.lit("unknown")
-    for name, ways in spelled.items():
-        out = F.when(F.lower(F.trim(kind)).isin(*ways), name).otherwise(out)
+    """The key of a symbol kind by its name or its key; null for others."""
+    out = F.lit(None).cast("string")
+    for name, key in KINDS.items():
+        out = F.when(kind.isin(name, key), key).otherwise(out)
     return out
 
 
+#: Fixed phrases by which a question is told; the first intent that has one of its phrases counts.
+INTENTS = {
+    "callers": ("who calls", "who uses", "callers of", "who references", "who invokes", "dependencies of", "dependents of", "who depends on"),
+    "callees": ("who is called by", "callees of", "calls from", "outgoing calls", "called by"),
+    "cfg": ("cfg for", "control flow", "cfg of", "show cfg"),
+    "blast_zone": ("blast zone", "blast-zone", "hot paths", "hotpaths", "hot path"),
+    "cycles": ("cycles", "circular", "cyclic", "strongly connected"),
+    "impact": ("impact of", "affected by", "what breaks", "what changes"),
+    "complex": ("complex", "high complexity", "most complex", "complicated"),
+    "search": ("search", "semantic", "find code", "look for"),
+}
+
+
 def intent(question: Column) -> Column:
-    """What a question asks for, by the first test that holds (fixed words)."""
-    q = F.lower(question)
-    return (
-        F.when(q.rlike(r"\b(who calls|callers|references|used)\b"), "refs")
-        .when(q.rlike(r"\b(cycle|cycles|recursion)\b"), "cycles")
-        .when(q.rlike(r"\b(impact|affect|affects|break)\b"), "impact")
-        .when(q.rlike(r"\b(complex|hotspot|hotspots)\b"), "complexity")
-        .when(q.rlike(r"\b(where|find|locate|defined)\b"), "find")
-        .otherwise("search")
-    )
+    """What a question asks for; "find" without any of the phrases."""
+    q, out = F.lower(question), F.lit("find")
+    for name, phrases in reversed(INTENTS.items()):
+        found = F.lit(False)
+        for phrase in phrases:
+            found = found | q.contains(phrase)
+        out = F.when(found, name).otherwise(out)
+    return out
 
 
 def project_name(url: Column) -> Column:
@@ -104,8 +129,8 @@ def estimated_tokens(text: Column) -> Column:
 def language_of(path: Column) -> Column:
     """Language by file extension, case sensitive; null if unknown. The table is fixed."""
     known = {
-        "rs": "rust", "py": "python", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "java": "java", "js": "javascript",
-        "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "cu": "cuda", "cuh": "cuda",
+        "rs": "rust", "py": "python", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "hip": "cpp", "java": "java", "js": "javascript",
+        "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "cu": "cuda", "cuh": "cuda",
     }
     ext = F.regexp_extract(path, r"[^/]\.([A-Za-z0-9]+)$", 1)
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), ext)

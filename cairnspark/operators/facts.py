@@ -5,11 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Fixed types of entities, and the pairs of types that each relation may join ("*": any type).
+ENTITY_TYPES = ("Agent", "User", "Project", "Task", "Decision", "Preference", "Artifact", "SourceDocument", "Claim", "Failure", "Verification", "Event")
+RELATIONS = {
+    "assigned_to": ["Task Agent"],
+    "authored_by": ["Artifact Agent", "Artifact User", "SourceDocument Agent", "SourceDocument User"],
+    "mentions": ["SourceDocument *"],
+    "links_to": ["SourceDocument *"],
+    "derived_from": ["Claim SourceDocument", "Decision SourceDocument"],
+    "decided_by": ["Decision Agent", "Decision User"],
+    "depends_on": [
+        "Task Task", "Task Decision", "Task Artifact", "Decision Task", "Decision Decision", "Decision Artifact", "Artifact Task", "Artifact Decision", "Artifact Artifact",
+    ],
+    "supersedes": ["Decision Decision", "Claim Claim", "Preference Preference"],
+    "invalidated_by": [
+        "Claim Failure", "Claim Verification", "Claim Decision", "Decision Failure", "Decision Verification", "Decision Decision", "Verification Failure",
+        "Verification Verification", "Verification Decision",
+    ],
+    "verified_by": ["Claim Verification", "Artifact Verification", "Task Verification"],
+    "caused_by": [
+        "Failure Event", "Failure Decision", "Failure Failure", "Event Event", "Event Decision", "Event Failure", "Decision Event", "Decision Decision", "Decision Failure",
+    ],
+    "relates_to": ["* *"],
+    "observed_in": ["* SourceDocument", "* Event"],
+}
+#: Fixed properties that a relation must have.
+NEEDS = {"caused_by": ["mechanism", "evidence"]}
+
+
+def ontology() -> list[tuple[str, str, str]]:
+    """All allowed (subject_type, predicate, object_type)."""
+    any_of = lambda name: ENTITY_TYPES if name == "*" else (name,)
+    return [(s, relation, o) for relation, pairs in RELATIONS.items() for pair in pairs for s in any_of(pair.split()[0]) for o in any_of(pair.split()[1])]
+
+
 def validated(facts: DataFrame, allowed: DataFrame, needs: dict[str, list[str]]) -> DataFrame:
     """facts (subject_type, predicate, object_type, confidence, properties map) with status and reason.
 
     allowed (subject_type, predicate, object_type) are the pairs a relation may join, a small table of configuration; needs
-    lists the properties a predicate must have.
+    lists the properties a predicate must have. relates_to may join whatever there is.
     """
     pairs = allowed.select("subject_type", "predicate", "object_type", F.lit(True).alias("_ok"))
     known = allowed.select("predicate").distinct().withColumn("_known", F.lit(True))
@@ -19,13 +53,22 @@ def validated(facts: DataFrame, allowed: DataFrame, needs: dict[str, list[str]])
             missing = missing | ((F.col("predicate") == predicate) & F.coalesce(F.col("properties").getItem(name), F.lit("")).eqNullSafe(""))
     bad = ~F.coalesce(F.col("confidence").between(0, 1), F.lit(True))
     reason = (
-        F.when(F.col("_known").isNull(), "unknown relation").when(F.col("_ok").isNull(), "types not allowed")
+        F.when(F.col("_known").isNull(), "unknown relation").when(F.col("_ok").isNull() & (F.col("predicate") != "relates_to"), "types not allowed")
         .when(missing, "property missing").when(bad, "confidence out of range")
     )
     found = facts.join(F.broadcast(pairs), ["subject_type", "predicate", "object_type"], "left").join(F.broadcast(known), "predicate", "left")
     return found.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "accepted").otherwise("rejected")).drop("_ok", "_known")
 
 
+def updated(facts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """facts (id, status and others) with the newest decision (id, status, reason, at) on each: status, reason, reviewed_at. Of equal
+    times the greatest status counts; facts without a decision keep their status, and decisions on unknown facts are not looked at."""
+    newest = decisions.groupBy("id").agg(F.max_by(F.struct("status", "reason", "at"), F.struct("at", "status", "reason")).alias("_d"))
+    rest = [c for c in facts.columns if c not in ("id", "status", "reason", "reviewed_at")]
+    joined = facts.join(newest, "id", "left")
+    return joined.select("id", *rest, F.coalesce("_d.status", "status").alias("status"), F.col("_d.reason").alias("reason"), F.col("_d.at").alias("reviewed_at"))
+
+
 def conflicts(facts: DataFrame) -> DataFrame:
     """(subject_type, subject_key, predicate) with several facts and several objects: n, n_objects, objects in order."""
     keys = ["subject_type", "subject_key", "predicate"]

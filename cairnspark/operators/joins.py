@@ -26,7 +26,7 @@ def best_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: st
 
 def innermost(spans: DataFrame, holders: DataFrame, key: str) -> DataFrame:
     """For spans (key, ref, s, e) the smallest holder (key, holder, hs, he) that contains them; the least holder of equals."""
-    inside = spans.join(holders, key).where("hs <= s and e <= he")
+    inside = range_join(spans, holders, [key], "s", "hs", "he", 1024).where("e <= he")
     return first_by(inside, [key, "ref"], [F.col("he") - F.col("hs"), F.col("holder")])
 
 
@@ -129,15 +129,34 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
     return old.unionByName(new.join(old.select(*keys).distinct(), list(keys), "left_anti"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, tables: int = 12, bucket: float = 0.6) -> DataFrame:
-    """Approximate pairs of unit vectors (id, part, vec as ML vector) of different parts with a cosine at or over the threshold, by
-    random projection buckets; cosine() over all pairs of a checked small side is the exact way."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hash", bucketLength=bucket, numHashTables=tables, seed=7).fit(vectors)
-    near = (2 - 2 * threshold) ** 0.5
-    found = model.approxSimilarityJoin(vectors, vectors, near, "distance").where("datasetA.part < datasetB.part")
-    return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("distance") ** 2 / 2).alias("cosine"))
+def similar_in_blocks(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """All pairs (a, b, cosine) of vectors (id, part, vec) of different parts, the lesser part first, with a cosine at or over the threshold.
+
+    Every vector meets every other one, so work grows with the square of their number: vectors are cut into blocks, and two
+    blocks at a time are one product of matrices. Zero and null vectors are similar to none.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = vectors.where("vec is not null").select("id", "part", F.col("vec").cast("array<double>").alias("vec"))
+    n = max(1, -(-rows.count() // block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, part, ident = np.stack(f["vec"].to_numpy()), np.unique(f["part"].to_numpy(), return_inverse=True)[1], f["id"].to_numpy()
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
+        one, two = np.flatnonzero(f["own"] == f["lo"]), np.flatnonzero(f["own"] == f["hi"])
+        near = x[one] @ x[two].T
+        i, j = np.nonzero((near >= threshold) & (part[one][:, None] != part[two][None, :]))
+        value, i, j = near[i, j], one[i], two[j]
+        turned = part[i] > part[j]
+        # inside one block each pair comes both ways
+        keep = ~turned if f["lo"].iloc[0] == f["hi"].iloc[0] else np.ones(len(i), dtype=bool)
+        return pd.DataFrame({"a": ident[np.where(turned, j, i)], "b": ident[np.where(turned, i, j)], "cosine": value})[keep]
+
+    return dealt.groupBy("lo", "hi").applyInPandas(run, "a long, b long, cosine double")
 
 
 def cosine(x: Column, y: Column) -> Column:

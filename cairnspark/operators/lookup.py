@@ -81,7 +81,9 @@ def chunks(rows: DataFrame, path_part: str | None = None, kind: str | None = Non
 
 def node_at(nodes: DataFrame, positions: DataFrame) -> DataFrame:
     """For positions (file, pos): the smallest node (file, node, byte_start, byte_end) with byte_start <= pos < byte_end."""
-    inside = positions.join(nodes, "file").where("byte_start <= pos and pos < byte_end")
+    from .joins import range_join
+
+    inside = range_join(positions, nodes, ["file"], "pos", "byte_start", "byte_end", 1024).where("pos < byte_end")
     return first_by(inside, ["file", "pos"], [F.col("byte_end") - F.col("byte_start"), F.col("node")])
 
 

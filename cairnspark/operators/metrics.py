@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -43,6 +43,21 @@ def symbol_metrics(symbols: DataFrame, edges: DataFrame, blocks: DataFrame) -> D
     return rows.select("id", F.greatest("size", F.lit(1)).alias("loc"), "fan_in", "fan_out", (F.col("n") + 1).alias("cyclomatic"))
 
 
+#: Fixed kinds of blocks that depend on a condition.
+CONDITIONAL = ("if", "match", "while", "for", "loop")
+
+
+def features(metrics: DataFrame, blocks: DataFrame, edges: DataFrame, versions: DataFrame) -> DataFrame:
+    """The nine features of each symbol of metrics (id, loc, fan_in, fan_out, cyclomatic), in one wide join: blocks (function_id, kind),
+    edges (function_id), versions (stable_id, snapshot_id). What a symbol doesn't have counts as 0."""
+    flow = blocks.groupBy(F.col("function_id").alias("id")).agg(F.count("*").alias("blocks"), F.count_if(F.col("kind").isin(*CONDITIONAL)).alias("_conditional"))
+    hops = edges.groupBy(F.col("function_id").alias("id")).agg(F.count("*").alias("edges"))
+    past = versions.groupBy(F.col("stable_id").alias("id")).agg(F.countDistinct("snapshot_id").alias("lifetime"), F.count("*").alias("churn"))
+    rows = metrics.join(flow, "id", "left").join(hops, "id", "left").join(past, "id", "left").fillna(0, ["blocks", "_conditional", "edges", "lifetime", "churn"])
+    density = F.when(F.col("blocks") > 0, F.col("_conditional") / F.col("blocks")).otherwise(0.0)
+    return rows.select("id", "loc", "fan_in", "fan_out", F.col("cyclomatic").alias("complexity"), "blocks", "edges", density.alias("density"), "lifetime", "churn")
+
+
 def hotspots(metrics: DataFrame, limit: int, least_loc: int | None = None, least_in: int | None = None) -> DataFrame:
     for column, least in (("loc", least_loc), ("fan_in", least_in)):
         metrics = metrics if least is None else metrics.where(F.col(column) >= least)
@@ -57,35 +72,44 @@ def linear_score(weights: Mapping[str, float] = WEIGHTS) -> Column:
     return total
 
 
-def ranked(rows: DataFrame, score: str, ident: str, parts: int = 64) -> DataFrame:
-    """Unique ranks from 1 by score downward, ties by ident, without ordering the table in one task.
+def numbered(rows: DataFrame, order: Sequence[Column], name: str, parts: int = 64) -> DataFrame:
+    """Unique numbers from 1 in a full order, without ordering the table in one task.
 
     Rows are range-partitioned by the order, numbered inside their part, and moved by the sizes of the parts before.
     """
-    order = [F.desc(score), F.col(ident)]
     dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    inner = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    inner = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = inner.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # one row for each part
-    return inner.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("rank", (F.col("_nth") + F.col("_before")).cast("long")).drop("_part", "_nth", "_before")
+    return inner.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+
+
+def ranked(rows: DataFrame, score: str, ident: str, parts: int = 64) -> DataFrame:
+    """Unique ranks from 1 by score downward, ties by ident."""
+    return numbered(rows, [F.desc(score), F.col(ident)], "rank", parts)
 
 
 def greedy_batches(files: DataFrame, limit: int) -> DataFrame:
     """Batches of whole files in order (project, seq, size): a new one begins where the next file would pass `limit`.
 
-    What a batch holds depends on all before it in its project, so each project runs as one ordered pass; its state is one sum.
+    What a batch holds depends on all before it in its project, so a project's files pass in order through one task, which holds a
+    sum and no files.
     """
     import pandas as pd
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        batch, room, out = 0, limit, []
-        for size in group["size"]:
-            if size > room and room < limit:
-                batch, room = batch + 1, limit
-            room -= size
-            out.append(batch)
-        return group.assign(batch=out)[["project", "seq", "size", "batch"]]
-
-    return files.select("project", "seq", "size").groupBy("project").applyInPandas(run, "project long, seq long, size long, batch long")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, batch, room = None, 0, limit
+        for frame in frames:
+            out = []
+            for project, size in zip(frame["project"], frame["size"], strict=True):
+                if project != at:
+                    at, batch, room = project, 0, limit
+                if size > room and room < limit:
+                    batch, room = batch + 1, limit
+                room -= size
+                out.append(batch)
+            yield frame.assign(batch=out)[["project", "seq", "size", "batch"]]
+
+    ordered = files.select("project", "seq", "size").repartition("project").sortWithinPartitions("project", "seq")
+    return ordered.mapInPandas(run, "project long, seq long, size long, batch long")

@@ -20,22 +20,22 @@ HOPS = 4
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth) reached over edges (src, dst) from seeds (node), seeds at depth 0, by least number of hops up to `most`."""
     steps = table(edges.select(F.col("src").alias("node"), "dst").distinct(), "steps")
-    state = table(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reached")
-    n, depth = state.count(), 0
-    while n and (most is None or depth < most):
-        hops = HOPS if most is None else min(HOPS, most - depth)
-        both, moved = state, state.where(F.col("depth") == depth).select("node")
+    frontier = table(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reached")
+    known, depth = [frontier], 0
+    while not frontier.isEmpty() and (most is None or depth < most):
+        hops, moved, found = HOPS if most is None else min(HOPS, most - depth), frontier.select("node"), []
         for i in range(1, hops + 1):
             moved = steps.join(moved, "node").select(F.col("dst").alias("node")).distinct()
-            both = both.unionByName(moved.withColumn("depth", F.lit(depth + i).cast("long")))
-        following = table(both.groupBy("node").agg(F.min("depth").alias("depth")), "reached")
-        drop_table(state)
-        state, before, n = following, n, following.count()
+            found.append(moved.withColumn("depth", F.lit(depth + i).cast("long")))
+        new = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("depth").alias("depth"))
+        new = table(new.join(reduce(DataFrame.unionByName, known).select("node"), "node", "left_anti"), "reached")
+        known.append(new)
         depth += hops
-        if n == before:
-            break
+        # what the last hop added is all that can lead on
+        frontier = new.where(F.col("depth") == depth)
     drop_table(steps)
-    return state
+    return reduce(DataFrame.unionByName, known)
+
 
 
 def flipped(edges: DataFrame) -> DataFrame:
@@ -85,16 +85,17 @@ def _colours(edges: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches each node, itself included."""
     edges = table(edges, "core-edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    current = table(nodes.withColumn("colour", F.col("node")), "colours")
+    current = table(nodes.withColumn("colour", F.col("node")).withColumn("changed", F.lit(True)), "colours")
     while True:
-        moved = current.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
-        better = current.join(moved, "node", "left").withColumn("better", F.col("new") < F.col("colour"))
+        # only a node whose colour changed can change others
+        moved = current.where("changed").select("node", "colour").join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+        better = current.drop("changed").join(moved, "node", "left").withColumn("better", F.col("new") < F.col("colour"))
         following = table(better.select("node", F.least("colour", "new").alias("colour"), F.coalesce("better", F.lit(False)).alias("changed")), "colours")
         busy = not following.where("changed").isEmpty()
         drop_table(current)
-        current = following.drop("changed")
+        current = following
         if not busy:
-            return current
+            return current.drop("changed")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -15,10 +15,7 @@ _SITES = """sites AS (SELECT * FROM (SELECT l_partkey AS caller, lead(l_partkey)
   FROM lineitem) WHERE callee IS NOT NULL)"""
 _VIEWS = {
     "sites": _SITES,
-    "hop40": "hop40 AS (SELECT DISTINCT caller AS src, callee AS dst FROM sites WHERE weight >= 40)",
-    "hop48": "hop48 AS (SELECT DISTINCT caller AS src, callee AS dst FROM sites WHERE weight >= 48)",
-    "hop49": "hop49 AS (SELECT DISTINCT caller AS src, callee AS dst FROM sites WHERE weight >= 49)",
-    "hop50": "hop50 AS (SELECT DISTINCT caller AS src, callee AS dst FROM sites WHERE weight >= 50)",
+    "hop": "hop AS (SELECT DISTINCT caller AS src, callee AS dst FROM sites)",
     "sym": "sym AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind, p_brand AS file_path, CAST(p_size AS BIGINT) AS size, p_retailprice AS price FROM part)",
     "ver": "ver AS (SELECT CAST(dayofyear(ts) AS BIGINT) AS snapshot_id, user_id AS stable_id, event_type AS kind, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_id, value FROM events)",
     "blk": """blk AS (SELECT conv_id AS function_id, turn AS block, role AS kind, text,

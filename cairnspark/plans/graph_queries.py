@@ -9,108 +9,108 @@ from .catalog import query
 from .model import blocks, hops, read, sites, symbols, versions
 
 
-def _edges(spark, d, least):
-    return hops(spark, d, least).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+def _edges(spark, d):
+    return hops(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
 
 
 def _node(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "node long")
 
 
-def _least(spark, d, least):
+def _least(spark, d):
     """The least caller of a graph, as a one-row table."""
-    return _edges(spark, d, least).agg(F.min("src").alias("node"))
+    return _edges(spark, d).agg(F.min("src").alias("node"))
 
 
-_START = "start AS (SELECT min(src) AS node FROM hop48)"
-_FORWARD = f"WITH RECURSIVE {_START}, r AS (SELECT node FROM start UNION SELECT h.dst FROM r JOIN hop48 h ON h.src = r.node)"
-_BACK = f"WITH RECURSIVE {_START}, r AS (SELECT node FROM start UNION SELECT h.src FROM r JOIN hop48 h ON h.dst = r.node)"
+_START = "start AS (SELECT min(src) AS node FROM hop)"
+_FORWARD = f"WITH RECURSIVE {_START}, r AS (SELECT node FROM start UNION SELECT h.dst FROM r JOIN hop h ON h.src = r.node)"
+_BACK = f"WITH RECURSIVE {_START}, r AS (SELECT node FROM start UNION SELECT h.src FROM r JOIN hop h ON h.dst = r.node)"
 
 
 @query("a1_reachable", f"{_FORWARD} SELECT s.id, s.file_path, s.name FROM r JOIN sym s ON s.id = r.node WHERE r.node NOT IN (SELECT node FROM start)")
 def _(spark, d):
-    start = _least(spark, d, 48)
-    found = A.reach(_edges(spark, d, 48), start).where("depth > 0").select(F.col("node").alias("id"))
+    start = _least(spark, d)
+    found = A.reach(_edges(spark, d), start).where("depth > 0").select(F.col("node").alias("id"))
     return symbols(spark, d).join(found, "id").select("id", "file_path", "name")
 
 
 @query("a2_reverse_reachable", f"{_BACK} SELECT s.id, s.file_path, s.name FROM r JOIN sym s ON s.id = r.node WHERE r.node NOT IN (SELECT node FROM start)")
 def _(spark, d):
-    found = A.reach(A.flipped(_edges(spark, d, 48)), _least(spark, d, 48)).where("depth > 0").select(F.col("node").alias("id"))
+    found = A.reach(A.flipped(_edges(spark, d)), _least(spark, d)).where("depth > 0").select(F.col("node").alias("id"))
     return symbols(spark, d).join(found, "id").select("id", "file_path", "name")
 
 
-@query("a3_dead_code", f"{_FORWARD} SELECT s.id, s.file_path, s.name, 'unreachable from the entry' AS reason FROM (SELECT src AS node FROM hop48 UNION SELECT dst FROM hop48) u JOIN sym s ON s.id = u.node WHERE u.node NOT IN (SELECT node FROM r)")
+@query("a3_dead_code", f"{_FORWARD} SELECT s.id, s.file_path, s.name, 'unreachable from the entry' AS reason FROM (SELECT src AS node FROM hop UNION SELECT dst FROM hop) u JOIN sym s ON s.id = u.node WHERE u.node NOT IN (SELECT node FROM r)")
 def dead_code(spark, d):
-    found = A.dead(_edges(spark, d, 48), _least(spark, d, 48)).select(F.col("node").alias("id"))
+    found = A.dead(_edges(spark, d), _least(spark, d)).select(F.col("node").alias("id"))
     return symbols(spark, d).join(found, "id").select("id", "file_path", "name", F.lit("unreachable from the entry").alias("reason"))
 
 
 @query(
     "a4_k_hop_callees",
-    """WITH RECURSIVE r AS (SELECT CAST(5 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT h.dst, r.depth + 1 FROM r JOIN hop40 h ON h.src = r.node WHERE r.depth < 3)
+    """WITH RECURSIVE r AS (SELECT CAST(5 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT h.dst, r.depth + 1 FROM r JOIN hop h ON h.src = r.node WHERE r.depth < 3)
       SELECT node, min(depth) AS depth FROM r GROUP BY 1 HAVING min(depth) > 0""",
 )
 def _(spark, d):
-    return A.reach(_edges(spark, d, 40), _node(spark, 5), 3).where("depth > 0")
+    return A.reach(_edges(spark, d), _node(spark, 5), 3).where("depth > 0")
 
 
 @query(
     "a5_impact",
-    """WITH RECURSIVE r AS (SELECT CAST(7 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT h.src, r.depth + 1 FROM r JOIN hop48 h ON h.dst = r.node WHERE r.depth < 4)
+    """WITH RECURSIVE r AS (SELECT CAST(7 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT h.src, r.depth + 1 FROM r JOIN hop h ON h.dst = r.node WHERE r.depth < 4)
       SELECT s.name, s.file_path, min(depth) AS depth FROM r JOIN sym s ON s.id = r.node WHERE r.depth > 0 AND r.node <> 7 GROUP BY 1, 2""",
 )
 def _(spark, d):
-    hit = A.reach(A.flipped(_edges(spark, d, 48)), _node(spark, 7), 4).where("depth > 0")
+    hit = A.reach(A.flipped(_edges(spark, d)), _node(spark, 7), 4).where("depth > 0")
     named = hit.join(symbols(spark, d), hit["node"] == F.col("id"))
     return named.groupBy("name", "file_path").agg(F.min("depth").alias("depth"))
 
 
 @query(
     "a6_affected",
-    """WITH RECURSIVE r AS (SELECT CAST(5 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT h.dst, r.depth + 1 FROM r JOIN hop48 h ON h.src = r.node WHERE r.depth < 4)
+    """WITH RECURSIVE r AS (SELECT CAST(5 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT h.dst, r.depth + 1 FROM r JOIN hop h ON h.src = r.node WHERE r.depth < 4)
       SELECT s.name, s.file_path, min(depth) AS depth FROM r JOIN sym s ON s.id = r.node WHERE r.depth > 0 AND r.node <> 5 GROUP BY 1, 2""",
 )
 def _(spark, d):
-    hit = A.reach(_edges(spark, d, 48), _node(spark, 5), 4).where("depth > 0")
+    hit = A.reach(_edges(spark, d), _node(spark, 5), 4).where("depth > 0")
     named = hit.join(symbols(spark, d), hit["node"] == F.col("id"))
     return named.groupBy("name", "file_path").agg(F.min("depth").alias("depth"))
 
 
 @query(
     "a7_blast_score",
-    """WITH RECURSIVE r AS (SELECT CAST(7 AS BIGINT) AS node, 0 AS depth UNION SELECT h.src, r.depth + 1 FROM r JOIN hop49 h ON h.dst = r.node WHERE r.depth < 60),
+    """WITH RECURSIVE r AS (SELECT CAST(7 AS BIGINT) AS node, 0 AS depth UNION SELECT h.src, r.depth + 1 FROM r JOIN hop h ON h.dst = r.node WHERE r.depth < 60),
       m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1), c AS (SELECT count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS transitive, count(DISTINCT file_path) FILTER (depth > 0) AS files FROM m JOIN sym ON sym.id = m.node)
       SELECT direct, transitive, CAST(direct + transitive * 0.5 AS DOUBLE) AS score, CAST(round(100.0 * files / (SELECT count(DISTINCT file_path) FROM sym), 6) AS DOUBLE) AS risk,
       CASE WHEN direct + transitive * 0.5 >= 20 THEN 'HIGH' WHEN direct + transitive * 0.5 >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM c""",
 )
 def _(spark, d):
     files = symbols(spark, d).select(F.col("id").alias("node"), F.col("file_path").alias("file"))
-    out = A.blast(_edges(spark, d, 49), files, _node(spark, 7))
+    out = A.blast(_edges(spark, d), files, _node(spark, 7))
     return out.withColumns({"score": F.col("score").cast("double"), "risk": F.col("risk").cast("double")})
 
 
-_SCC = """WITH RECURSIVE c AS (SELECT src, dst FROM hop49 UNION SELECT c.src, h.dst FROM c JOIN hop49 h ON h.src = c.dst),
+_SCC = """WITH RECURSIVE c AS (SELECT src, dst FROM hop UNION SELECT c.src, h.dst FROM c JOIN hop h ON h.src = c.dst),
   m AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS scc FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY 1)"""
 
 
 @query("a8_cycles", f"{_SCC} SELECT node, scc FROM m")
 def _(spark, d):
-    return A.cycles(_edges(spark, d, 49))
+    return A.cycles(_edges(spark, d))
 
 
 @query(
     "a9_condensation",
-    f"{_SCC}, n AS (SELECT u.node, coalesce(m.scc, u.node) AS scc FROM (SELECT src AS node FROM hop49 UNION SELECT dst FROM hop49) u LEFT JOIN m ON m.node = u.node) "
-    "SELECT DISTINCT a.scc AS src, b.scc AS dst FROM hop49 h JOIN n a ON a.node = h.src JOIN n b ON b.node = h.dst WHERE a.scc <> b.scc",
+    f"{_SCC}, n AS (SELECT u.node, coalesce(m.scc, u.node) AS scc FROM (SELECT src AS node FROM hop UNION SELECT dst FROM hop) u LEFT JOIN m ON m.node = u.node) "
+    "SELECT DISTINCT a.scc AS src, b.scc AS dst FROM hop h JOIN n a ON a.node = h.src JOIN n b ON b.node = h.dst WHERE a.scc <> b.scc",
 )
 def _(spark, d):
-    return A.condense(_edges(spark, d, 49))[1]
+    return A.condense(_edges(spark, d))[1]
 
 
-@query("a10_slice_statistics", f"{_FORWARD}, b AS (SELECT node FROM start UNION SELECT h.src FROM b JOIN hop48 h ON h.dst = b.node) SELECT 'forward' AS direction, count(*) - 1 AS control_dependencies, CAST(0 AS BIGINT) AS data_dependencies FROM r UNION ALL SELECT 'backward', count(*) - 1, 0 FROM b")
+@query("a10_slice_statistics", f"{_FORWARD}, b AS (SELECT node FROM start UNION SELECT h.src FROM b JOIN hop h ON h.dst = b.node) SELECT 'forward' AS direction, count(*) - 1 AS control_dependencies, CAST(0 AS BIGINT) AS data_dependencies FROM r UNION ALL SELECT 'backward', count(*) - 1, 0 FROM b")
 def _(spark, d):
-    e, start = _edges(spark, d, 48), _least(spark, d, 48)
+    e, start = _edges(spark, d), _least(spark, d)
     one = A.reach(e, start).where("depth > 0").agg(F.lit("forward").alias("direction"), F.count("*").alias("control_dependencies"), F.lit(0).cast("long").alias("data_dependencies"))
     two = A.reach(A.flipped(e), start).where("depth > 0").agg(F.lit("backward").alias("direction"), F.count("*").alias("control_dependencies"), F.lit(0).cast("long").alias("data_dependencies"))
     return one.unionByName(two)
@@ -118,12 +118,12 @@ def _(spark, d):
 
 @query(
     "a11_simple_paths",
-    """WITH RECURSIVE s AS (SELECT src AS node FROM hop50 GROUP BY 1), p AS (SELECT [node] AS path FROM s UNION ALL SELECT list_append(p.path, h.dst) FROM p JOIN hop50 h ON h.src = p.path[-1] WHERE NOT list_contains(p.path, h.dst) AND len(p.path) < 5)
-      SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS length FROM p WHERE len(path) > 1 AND (len(path) = 5 OR path[-1] NOT IN (SELECT src FROM hop50))""",
+    """WITH RECURSIVE s AS (SELECT min(src) AS node FROM hop), p AS (SELECT [node] AS path FROM s UNION ALL SELECT list_append(p.path, h.dst) FROM p JOIN hop h ON h.src = p.path[-1] WHERE NOT list_contains(p.path, h.dst) AND len(p.path) < 4)
+      SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS length FROM p WHERE len(path) > 1 AND (len(path) = 4 OR path[-1] NOT IN (SELECT src FROM hop))""",
 )
 def _(spark, d):
-    e = _edges(spark, d, 50)
-    found = A.simple_paths(e, e.select(F.col("src").alias("node")).distinct(), 4)
+    e = _edges(spark, d)
+    found = A.simple_paths(e, _least(spark, d), 3)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.size("path").cast("long").alias("length"))
 
 
@@ -135,29 +135,29 @@ def _(spark, d):
 
 @query(
     "a13_decayed_search",
-    """WITH seed AS (SELECT id AS node, 1.0::DOUBLE AS score FROM sym WHERE name = 'red widget'), l1 AS (SELECT h.dst AS node, max(score * 0.7) AS score FROM seed JOIN hop40 h ON h.src = seed.node GROUP BY 1),
-      l2 AS (SELECT h.dst AS node, max(score * 0.7) AS score FROM l1 JOIN hop40 h ON h.src = l1.node GROUP BY 1) SELECT node, round(max(score), 6) AS score FROM (SELECT * FROM seed UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1""",
+    """WITH seed AS (SELECT id AS node, 1.0::DOUBLE AS score FROM sym WHERE name = 'red widget'), l1 AS (SELECT h.dst AS node, max(score * 0.7) AS score FROM seed JOIN hop h ON h.src = seed.node GROUP BY 1),
+      l2 AS (SELECT h.dst AS node, max(score * 0.7) AS score FROM l1 JOIN hop h ON h.src = l1.node GROUP BY 1) SELECT node, round(max(score), 6) AS score FROM (SELECT * FROM seed UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1""",
 )
 def _(spark, d):
     seeds = symbols(spark, d).where("name = 'red widget'").select(F.col("id").alias("node"), F.lit(1.0).alias("score"))
-    return A.decayed(_edges(spark, d, 40), seeds, 2).select("node", F.round("score", 6).alias("score"))
+    return A.decayed(_edges(spark, d), seeds, 2).select("node", F.round("score", 6).alias("score"))
 
 
 @query(
     "a14_k_hop_references",
-    """WITH RECURSIVE r AS (SELECT CAST(5 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT h.src, r.depth + 1 FROM r JOIN hop40 h ON h.dst = r.node WHERE r.depth < 2)
+    """WITH RECURSIVE r AS (SELECT CAST(5 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT h.src, r.depth + 1 FROM r JOIN hop h ON h.dst = r.node WHERE r.depth < 2)
       SELECT node, min(depth) AS depth FROM r GROUP BY 1 HAVING min(depth) > 0""",
 )
 def _(spark, d):
-    return A.reach(A.flipped(_edges(spark, d, 40)), _node(spark, 5), 2).where("depth > 0")
+    return A.reach(A.flipped(_edges(spark, d)), _node(spark, 5), 2).where("depth > 0")
 
 
 @query(
     "a16_symbol_detail",
-    """SELECT s.id, s.name, (SELECT count(*) FROM hop40 WHERE dst = s.id) AS callers, (SELECT count(*) FROM hop40 WHERE src = s.id) AS callees, (SELECT count(*) FROM sym o WHERE o.file_path = s.file_path) - 1 AS related FROM sym s""",
+    """SELECT s.id, s.name, (SELECT count(*) FROM hop WHERE dst = s.id) AS callers, (SELECT count(*) FROM hop WHERE src = s.id) AS callees, (SELECT count(*) FROM sym o WHERE o.file_path = s.file_path) - 1 AS related FROM sym s""",
 )
 def _(spark, d):
-    s, e = symbols(spark, d), M.fans(_edges(spark, d, 40))
+    s, e = symbols(spark, d), M.fans(_edges(spark, d))
     near = s.groupBy("file_path").agg((F.count("*") - 1).alias("related"))
     few = s.join(e.withColumnRenamed("node", "id"), "id", "left").join(near, "file_path")
     return few.select("id", "name", F.coalesce("fan_in", F.lit(0)).cast("long").alias("callers"), F.coalesce("fan_out", F.lit(0)).cast("long").alias("callees"), "related")
@@ -210,27 +210,27 @@ def _(spark, d):
 
 _FILES = """fm AS (SELECT b.file_path, b.symbol_count, b.loc, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, round(0.1 * b.loc + 0.5 * coalesce(i.n, 0) + 0.3 * coalesce(o.n, 0), 6) AS complexity FROM
   (SELECT file_path, count(*) AS symbol_count, CAST(sum(size) AS BIGINT) AS loc FROM sym GROUP BY 1) b
-  LEFT JOIN (SELECT t.file_path, count(*) AS n FROM hop40 h JOIN sym f ON f.id = h.src JOIN sym t ON t.id = h.dst WHERE f.file_path <> t.file_path GROUP BY 1) i ON i.file_path = b.file_path
-  LEFT JOIN (SELECT f.file_path, count(*) AS n FROM hop40 h JOIN sym f ON f.id = h.src JOIN sym t ON t.id = h.dst WHERE f.file_path <> t.file_path GROUP BY 1) o ON o.file_path = b.file_path)"""
+  LEFT JOIN (SELECT t.file_path, count(*) AS n FROM hop h JOIN sym f ON f.id = h.src JOIN sym t ON t.id = h.dst WHERE f.file_path <> t.file_path GROUP BY 1) i ON i.file_path = b.file_path
+  LEFT JOIN (SELECT f.file_path, count(*) AS n FROM hop h JOIN sym f ON f.id = h.src JOIN sym t ON t.id = h.dst WHERE f.file_path <> t.file_path GROUP BY 1) o ON o.file_path = b.file_path)"""
 
 
 @query("g8_file_metrics", f"WITH {_FILES} SELECT file_path, symbol_count, loc, fan_in, fan_out, CAST(complexity AS DOUBLE) AS complexity FROM fm")
 def _(spark, d):
-    return M.file_metrics(symbols(spark, d), _edges(spark, d, 40))
+    return M.file_metrics(symbols(spark, d), _edges(spark, d))
 
 
 @query("o2_hotspots", f"WITH {_FILES} SELECT file_path, CAST(complexity AS DOUBLE) AS complexity FROM fm WHERE loc >= 100 AND fan_in >= 5 ORDER BY complexity DESC, file_path LIMIT 20")
 def _(spark, d):
-    return M.hotspots(M.file_metrics(symbols(spark, d), _edges(spark, d, 40)), 20, 100, 5).select("file_path", "complexity")
+    return M.hotspots(M.file_metrics(symbols(spark, d), _edges(spark, d)), 20, 100, 5).select("file_path", "complexity")
 
 
-_SYMBOL = """sm AS (SELECT s.id, greatest(s.size, 1) AS loc, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, coalesce(b.n, 0) + 1 AS cyclomatic FROM sym s LEFT JOIN (SELECT dst, count(*) AS n FROM hop40 GROUP BY 1) i ON i.dst = s.id
-  LEFT JOIN (SELECT src, count(*) AS n FROM hop40 GROUP BY 1) o ON o.src = s.id LEFT JOIN (SELECT function_id, count(*) AS n FROM blk WHERE kind <> 'assistant' GROUP BY 1) b ON b.function_id = s.id)"""
+_SYMBOL = """sm AS (SELECT s.id, greatest(s.size, 1) AS loc, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, coalesce(b.n, 0) + 1 AS cyclomatic FROM sym s LEFT JOIN (SELECT dst, count(*) AS n FROM hop GROUP BY 1) i ON i.dst = s.id
+  LEFT JOIN (SELECT src, count(*) AS n FROM hop GROUP BY 1) o ON o.src = s.id LEFT JOIN (SELECT function_id, count(*) AS n FROM blk WHERE kind <> 'assistant' GROUP BY 1) b ON b.function_id = s.id)"""
 
 
 def _symbol_metrics(spark, d):
     ends = blocks(spark, d).withColumn("terminator", F.when(F.col("kind") == "assistant", "Fallthrough").otherwise("return"))
-    out = M.symbol_metrics(symbols(spark, d).select("id", "size"), _edges(spark, d, 40), ends)
+    out = M.symbol_metrics(symbols(spark, d).select("id", "size"), _edges(spark, d), ends)
     return out.select("id", "loc", F.col("fan_in").cast("long").alias("fan_in"), F.col("fan_out").cast("long").alias("fan_out"), "cyclomatic")
 
 
@@ -239,39 +239,44 @@ def _(spark, d):
     return _symbol_metrics(spark, d)
 
 
-_M2 = "round(loc * 0.1 + fan_in * 0.2 + fan_out * 0.15 + cyclomatic * 0.25, 6)"
+_FEATURES = _SYMBOL + """, ft AS (SELECT sm.id, CAST(loc AS DOUBLE) AS loc, CAST(fan_in AS DOUBLE) AS fan_in, CAST(fan_out AS DOUBLE) AS fan_out, CAST(cyclomatic AS DOUBLE) AS complexity, CAST(coalesce(f.n, 0) AS DOUBLE) AS blocks, CAST(greatest(coalesce(f.n, 0) - 1, 0) AS DOUBLE) AS edges,
+  CASE WHEN f.n > 0 THEN CAST(f.c AS DOUBLE) / f.n ELSE 0 END AS density, CAST(coalesce(v.days, 0) AS DOUBLE) AS lifetime, CAST(coalesce(v.n, 0) AS DOUBLE) AS churn FROM sm LEFT JOIN (SELECT function_id, count(*) AS n, count(*) FILTER (kind = 'user') AS c FROM blk GROUP BY 1) f ON f.function_id = sm.id
+  LEFT JOIN (SELECT stable_id, count(DISTINCT snapshot_id) AS days, count(*) AS n FROM ver GROUP BY 1) v ON v.stable_id = sm.id)"""
+_M2 = "round(" + " + ".join(f"{name} * CAST({weight} AS DOUBLE)" for name, weight in M.WEIGHTS.items()) + ", 6)"
 
 
-@query("m2_linear_score", f"WITH {_SYMBOL} SELECT id, CAST({_M2} AS DOUBLE) AS score FROM sm")
+def _features(spark, d):
+    raw = blocks(spark, d)
+    flow = raw.select("function_id", F.when(F.col("kind") == "user", "if").otherwise("body").alias("kind"))
+    following = F.lead("block").over(Window.partitionBy("function_id").orderBy("block"))
+    edges = raw.select("function_id", following.alias("target")).where("target is not null")
+    return M.features(_symbol_metrics(spark, d), flow, edges, versions(spark, d))
+
+
+@query("m1_features", f"WITH {_FEATURES} SELECT id, loc, fan_in, fan_out, complexity, blocks, edges, round(density, 9) AS density, lifetime, churn FROM ft")
 def _(spark, d):
-    weights = {"loc": 0.1, "fan_in": 0.2, "fan_out": 0.15, "cyclomatic": 0.25}
-    return _symbol_metrics(spark, d).select("id", F.round(M.linear_score(weights), 6).alias("score"))
+    return _features(spark, d).select("id", *(F.col(c).cast("double").alias(c) for c in M.WEIGHTS if c != "density"), F.round("density", 9).alias("density"))
 
 
-@query("w1_rank", f"WITH {_SYMBOL} SELECT id, CAST({_M2} AS DOUBLE) AS score, row_number() OVER (ORDER BY {_M2} DESC, id) AS rank FROM sm")
+@query("m2_linear_score", f"WITH {_FEATURES} SELECT id, {_M2} AS score FROM ft")
 def _(spark, d):
-    weights = {"loc": 0.1, "fan_in": 0.2, "fan_out": 0.15, "cyclomatic": 0.25}
-    scored = _symbol_metrics(spark, d).select("id", F.round(M.linear_score(weights), 6).alias("score"))
-    return M.ranked(scored, "score", "id")
+    return _features(spark, d).select("id", F.round(M.linear_score(), 6).alias("score"))
 
 
-@query("o1_top_candidates", f"WITH {_SYMBOL} SELECT id, CAST({_M2} AS DOUBLE) AS score FROM sm ORDER BY score DESC, id LIMIT 30")
+@query("w1_rank", f"WITH {_FEATURES} SELECT id, {_M2} AS score, row_number() OVER (ORDER BY {_M2} DESC, id) AS rank FROM ft")
 def _(spark, d):
-    weights = {"loc": 0.1, "fan_in": 0.2, "fan_out": 0.15, "cyclomatic": 0.25}
-    return _symbol_metrics(spark, d).select("id", F.round(M.linear_score(weights), 6).alias("score")).orderBy(F.desc("score"), "id").limit(30)
+    return M.ranked(_features(spark, d).select("id", F.round(M.linear_score(), 6).alias("score")), "score", "id")
 
 
-@query("o3_cross_project_hotspots", f"WITH {_SYMBOL} SELECT s.kind AS project, sm.id, fan_in * cyclomatic AS heat FROM sm JOIN sym s ON s.id = sm.id ORDER BY heat DESC, sm.id LIMIT 25")
+@query("o1_top_candidates", f"WITH {_FEATURES} SELECT id, {_M2} AS score FROM ft ORDER BY score DESC, id LIMIT 30")
 def _(spark, d):
-    heat = _symbol_metrics(spark, d).join(symbols(spark, d).select("id", F.col("kind").alias("project")), "id")
-    return heat.select("project", "id", (F.col("fan_in") * F.col("cyclomatic")).alias("heat")).orderBy(F.desc("heat"), "id").limit(25)
+    return _features(spark, d).select("id", F.round(M.linear_score(), 6).alias("score")).orderBy(F.desc("score"), "id").limit(30)
 
 
-@query("m1_features", """SELECT s.stable_id, count(*) AS n, count(DISTINCT s.snapshot_id) AS lifetime, count(*) - count(DISTINCT s.snapshot_id) AS churn, coalesce(max(p.size), 0) AS loc FROM ver s LEFT JOIN sym p ON p.id = s.stable_id GROUP BY 1""")
+@query("o3_cross_project_hotspots", f"WITH {_SYMBOL} SELECT s.kind AS project, sm.id, fan_in * cyclomatic AS heat FROM sm JOIN sym s ON s.id = sm.id ORDER BY heat DESC, sm.id LIMIT 25")
 def _(spark, d):
-    v = versions(spark, d).groupBy("stable_id").agg(F.count("*").alias("n"), F.countDistinct("snapshot_id").alias("lifetime"))
-    loc = symbols(spark, d).select(F.col("id").alias("stable_id"), F.col("size").alias("loc"))
-    return v.join(loc, "stable_id", "left").select("stable_id", "n", "lifetime", (F.col("n") - F.col("lifetime")).alias("churn"), F.coalesce("loc", F.lit(0)).alias("loc"))
+    heat = _symbol_metrics(spark, d).join(symbols(spark, d).select("id", F.col("kind").alias("project")), "id")
+    return heat.select("project", "id", (F.col("fan_in") * F.col("cyclomatic")).alias("heat")).orderBy(F.desc("heat"), "id").limit(25)
 
 
 @query("g11_project_summary", "SELECT count(*) AS symbols, count(DISTINCT file_path) AS files, count(*) FILTER (kind = 'PROMO') AS promo, arg_max(kind, (n, kind)) AS primary_kind FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS n FROM sym)")
@@ -313,9 +318,9 @@ def _(spark, d):
     return symbols(spark, d).groupBy("name").agg(F.array_join(ids, ",").alias("ids"))
 
 
-@query("g21_dead_code_of_entries", """WITH RECURSIVE r AS (SELECT DISTINCT src AS node FROM hop48 WHERE src % 100 = 0 UNION SELECT h.dst FROM r JOIN hop48 h ON h.src = r.node) SELECT node FROM (SELECT src AS node FROM hop48 UNION SELECT dst FROM hop48) WHERE node NOT IN (SELECT node FROM r)""")
+@query("g21_dead_code_of_entries", """WITH RECURSIVE r AS (SELECT DISTINCT src AS node FROM hop WHERE src % 100 = 0 UNION SELECT h.dst FROM r JOIN hop h ON h.src = r.node) SELECT node FROM (SELECT src AS node FROM hop UNION SELECT dst FROM hop) WHERE node NOT IN (SELECT node FROM r)""")
 def _(spark, d):
-    e = _edges(spark, d, 48)
+    e = _edges(spark, d)
     return A.dead(e, e.where("src % 100 = 0").select(F.col("src").alias("node")).distinct())
 
 

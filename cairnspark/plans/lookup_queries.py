@@ -210,24 +210,33 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", L.normal_path(raw).alias("path"), L.climbs(raw).alias("climbs"))
 
 
-@query("s2_skip_reason", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'internal' WHEN page_id % 4 = 1 THEN 'unsupported' WHEN page_id % 4 = 2 THEN 'excluded' END AS reason FROM pages")
+_PATH = "'a/' || (CASE page_id % 6 WHEN 0 THEN 'target/' WHEN 1 THEN 'gen/' WHEN 2 THEN 'venv/' WHEN 3 THEN 'build/' ELSE '' END) || 'x' || page_id || (CASE page_id % 7 WHEN 0 THEN '.rs' WHEN 1 THEN '.txt' WHEN 2 THEN '.sqlite3' WHEN 3 THEN '.cjs' WHEN 4 THEN '.hip' WHEN 5 THEN '.RS' ELSE '.py' END)"
+
+
+def _paths(spark, d):
+    """Paths of several folders and languages, one for each page."""
+    return read(spark, d, "pages").select("page_id", F.expr(_PATH).alias("path"))
+
+
+@query(
+    "s2_skip_reason",
+    f"""SELECT page_id, CASE WHEN regexp_matches(path, '/(target|venv)/') OR path LIKE '%.sqlite3' THEN 'internal' WHEN NOT regexp_matches(path, '[.](rs|cjs|hip|py)$') THEN 'unsupported' WHEN path LIKE '%/gen/%' THEN 'excluded' END AS reason
+      FROM (SELECT page_id, {_PATH} AS path FROM pages)""",
+)
 def _(spark, d):
-    kind = F.col("page_id") % 4
-    path = F.when(kind == 0, "a/target/x.rs").when(kind == 1, "a/x.txt").when(kind == 2, "a/gen/x.rs").otherwise("a/x.rs")
-    return read(spark, d, "pages").select("page_id", skip_reason(path, exclude=["*/gen/*"]).alias("reason"))
+    return _paths(spark, d).select("page_id", skip_reason(F.col("path"), exclude=["*/gen/*"]).alias("reason"))
 
 
-@query("s3_language", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'rust' WHEN 1 THEN 'cpp' END AS language FROM pages")
+@query("s3_language", f"SELECT page_id, CASE regexp_extract(path, '[.]([^.]*)$', 1) WHEN 'rs' THEN 'rust' WHEN 'cjs' THEN 'javascript' WHEN 'hip' THEN 'cpp' WHEN 'py' THEN 'python' END AS language FROM (SELECT page_id, {_PATH} AS path FROM pages)")
 def _(spark, d):
-    path = F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".rs").when(F.col("page_id") % 3 == 1, ".hpp").otherwise(".RS"))
-    return read(spark, d, "pages").select("page_id", X.language_of(path).alias("language"))
+    return _paths(spark, d).select("page_id", X.language_of(F.col("path")).alias("language"))
 
 
-@query("s24_ordered_edges", "SELECT src, dst FROM hop48 ORDER BY src, dst")
+@query("s24_ordered_edges", "SELECT src, dst FROM hop ORDER BY src, dst")
 def _(spark, d):
     from .model import hops
 
-    return hops(spark, d, 48).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).orderBy("src", "dst")
+    return hops(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).orderBy("src", "dst")
 
 
 @query("j1_versions_with_snapshots", "SELECT v.stable_id, v.kind, s.n AS snapshot_size FROM ver v JOIN (SELECT snapshot_id, count(*) AS n FROM ver GROUP BY 1) s ON v.snapshot_id = s.snapshot_id")
@@ -271,12 +280,12 @@ def _(spark, d):
 
 
 def _reified(spark, d):
-    s = sites(spark, d).where("weight >= 48").groupBy("caller", "callee", "file").agg(F.count("*").alias("n"))
+    s = sites(spark, d).groupBy("caller", "callee", "file").agg(F.count("*").alias("n"))
     call = F.xxhash64("caller", "callee", "file")
     return s.select(F.col("caller").alias("from_id"), call.alias("to_id"), F.lit("CALLER").alias("edge_type")).unionByName(s.select(call.alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLS").alias("edge_type")))
 
 
-@query("j8_two_hop_calls", "SELECT caller, callee, count(*) AS n FROM (SELECT DISTINCT caller, callee, file FROM sites WHERE weight >= 48) GROUP BY 1, 2")
+@query("j8_two_hop_calls", "SELECT caller, callee, count(*) AS n FROM (SELECT DISTINCT caller, callee, file FROM sites) GROUP BY 1, 2")
 def _(spark, d):
     return J.call_pairs(_reified(spark, d)).groupBy("caller", "callee").agg(F.count("*").alias("n"))
 
@@ -346,13 +355,13 @@ def _(spark, d):
 
 @query(
     "j15_orphans",
-    """SELECT p_partkey AS id, 'no caller' AS problem FROM part WHERE p_partkey NOT IN (SELECT dst FROM hop49) UNION ALL SELECT p_partkey, 'no callee' FROM part WHERE p_partkey NOT IN (SELECT src FROM hop49)
+    """SELECT p_partkey AS id, 'no caller' AS problem FROM part WHERE p_partkey NOT IN (SELECT dst FROM hop) UNION ALL SELECT p_partkey, 'no callee' FROM part WHERE p_partkey NOT IN (SELECT src FROM hop)
       UNION ALL SELECT o_orderkey, 'no target' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
 )
 def _(spark, d):
     from .model import hops
 
-    h = hops(spark, d, 49)
+    h = hops(spark, d)
     lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.lit(-1).cast("long").alias("to_id"), F.lit("REFERENCES").alias("edge_type"))
     calls = h.select(F.lit(-1).cast("long").alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLER").alias("edge_type"))
     made = h.select(F.col("caller").alias("from_id"), F.lit(-1).cast("long").alias("to_id"), F.lit("CALLS").alias("edge_type"))
@@ -390,10 +399,8 @@ def _(spark, d):
 )
 def _(spark, d):
     e = read(spark, d, "embeddings")
-    one = e.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("x"))
-    two = e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("y"))
-    near = J.cosine(F.col("x"), F.col("y"))
-    return one.join(two, F.col("la") < F.col("lb")).where(near >= 0.2).select("a", "b", F.round(near, 4).alias("cosine"))
+    found = J.similar_in_blocks(e.select(F.col("vec_id").alias("id"), F.col("label").alias("part"), F.col("embedding").alias("vec")), 0.2)
+    return found.select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 @query("j21_parent_snapshot", "SELECT c.child, max(s.snapshot_id) AS parent FROM (SELECT DISTINCT snapshot_id + 1 AS child FROM ver) c JOIN (SELECT DISTINCT snapshot_id FROM ver) s ON s.snapshot_id < c.child GROUP BY 1")
@@ -404,27 +411,27 @@ def _(spark, d):
     return latest_parent(v, v.select((F.col("snapshot_id") + 1).alias("child")).distinct())
 
 
-@query("j23_chain", "SELECT DISTINCT b.dst AS node FROM hop48 a JOIN hop48 c ON a.dst = c.dst JOIN hop48 b ON c.src = b.src WHERE a.src = 5")
+@query("j23_chain", "SELECT DISTINCT b.dst AS node FROM hop a JOIN hop c ON a.dst = c.dst JOIN hop b ON c.src = b.src WHERE a.src = 5")
 def _(spark, d):
     from .model import hops
 
-    e = hops(spark, d, 48).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLS").alias("edge_type"))
+    e = hops(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLS").alias("edge_type"))
     return J.chain(e, spark.range(5, 6).select(F.col("id").alias("node")), [(">", "CALLS"), ("<", "CALLS"), (">", "CALLS")])
 
 
-@query("j24_expand", "SELECT 'out' AS direction, dst AS other FROM hop40 WHERE src = 9 UNION ALL SELECT 'in', src FROM hop40 WHERE dst = 9")
+@query("j24_expand", "SELECT 'out' AS direction, dst AS other FROM hop WHERE src = 9 UNION ALL SELECT 'in', src FROM hop WHERE dst = 9")
 def _(spark, d):
     from .model import hops
 
-    e = hops(spark, d, 40).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLS").alias("edge_type"))
+    e = hops(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLS").alias("edge_type"))
     return J.neighbours(e, 9).select("direction", "other")
 
 
-@query("j25_pattern", "SELECT a.src AS n0, a.dst AS n1, b.dst AS n2 FROM hop49 a JOIN hop49 b ON a.dst = b.src JOIN sym x ON x.id = a.src AND x.kind = 'PROMO' JOIN sym y ON y.id = a.dst AND y.kind = 'SMALL' JOIN sym z ON z.id = b.dst AND z.kind = 'LARGE'")
+@query("j25_pattern", "SELECT a.src AS n0, a.dst AS n1, b.dst AS n2 FROM hop a JOIN hop b ON a.dst = b.src JOIN sym x ON x.id = a.src AND x.kind = 'PROMO' JOIN sym y ON y.id = a.dst AND y.kind = 'SMALL' JOIN sym z ON z.id = b.dst AND z.kind = 'LARGE'")
 def _(spark, d):
     from .model import hops
 
-    e = hops(spark, d, 49).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLS").alias("edge_type"))
+    e = hops(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLS").alias("edge_type"))
     return J.pattern(e, symbols(spark, d), [("PROMO", "CALLS", "SMALL"), ("SMALL", "CALLS", "LARGE")])
 
 
@@ -434,11 +441,11 @@ def _(spark, d):
     return J.upsert(p.where("p_size < 30").select("k", F.col("p_name").alias("v")), p.where("p_type = 'PROMO'").select("k", F.upper("p_name").alias("v")), ["k"])
 
 
-@query("u1_union_distinct", "SELECT src AS node FROM hop48 UNION SELECT dst FROM hop48")
+@query("u1_union_distinct", "SELECT src AS node FROM hop UNION SELECT dst FROM hop")
 def _(spark, d):
     from .model import hops
 
-    h = hops(spark, d, 48)
+    h = hops(spark, d)
     return h.select(F.col("caller").alias("node")).union(h.select("callee")).distinct()
 
 
@@ -448,9 +455,9 @@ def _(spark, d):
     return s.groupBy("name").agg(F.array_join(F.sort_array(F.collect_set("project")), ",").alias("projects"))
 
 
-@query("u3_difference", "SELECT src AS node FROM hop48 EXCEPT SELECT dst FROM hop48")
+@query("u3_difference", "SELECT src AS node FROM hop EXCEPT SELECT dst FROM hop")
 def _(spark, d):
     from .model import hops
 
-    h = hops(spark, d, 48)
+    h = hops(spark, d)
     return h.select(F.col("caller").alias("node")).subtract(h.select("callee"))

@@ -57,9 +57,9 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hops(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    """Distinct calls (caller, callee) of at least a weight."""
-    return sites(spark, sf_dir).where(F.col("weight") >= least).select("caller", "callee").distinct()
+def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct calls (caller, callee)."""
+    return sites(spark, sf_dir).select("caller", "callee").distinct()
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:

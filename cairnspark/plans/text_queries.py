@@ -24,8 +24,8 @@ _STOP = "('" + "','".join(X.STOP_WORDS) + "')"
 
 @query(
     "x2_terms",
-    f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'), 1) AS i FROM conversations),
-      f AS (SELECT conv_id, turn, w, min(i) AS i FROM w WHERE (len(w) >= 3 OR contains(w, '_')) AND w NOT IN {_STOP} GROUP BY 1, 2, 3),
+    f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), 1) AS i FROM conversations),
+      f AS (SELECT conv_id, turn, arg_min(w, i) AS w, min(i) AS i FROM w WHERE (len(w) >= 3 OR contains(w, '_')) AND lower(w) NOT IN {_STOP} GROUP BY conv_id, turn, lower(w)),
       n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM f) SELECT conv_id, turn, string_agg(w, ' ' ORDER BY k) AS terms FROM n WHERE k <= 8 GROUP BY 1, 2""",
 )
 def _(spark, d):
@@ -60,10 +60,16 @@ def _(spark, d):
     return out.where("links <> ''")
 
 
-@query("x6_tags", "SELECT doc_id, lang AS tags FROM documents WHERE lang IS NOT NULL")
+@query(
+    "x6_tags",
+    """SELECT doc_id, concat_ws(' ', CASE WHEN doc_id % 2 = 0 THEN 'top ' || source ELSE NULL END, CASE WHEN doc_id % 2 = 0 AND lang IN ('top', source) THEN NULL ELSE lang END, CASE WHEN doc_id % 3 = 0 THEN 'n' || (doc_id % 5) END) AS tags
+      FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""",
+)
 def _(spark, d):
-    docs = read(spark, d, "documents").where("lang is not null")
-    text = F.concat(F.lit("#fff and #"), F.col("lang"), F.lit(" #a1b2c3 #"), F.col("lang"))
+    docs = read(spark, d, "documents").where("lang is not null and source is not null")
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\ntags: [top, "), F.col("source"), F.lit("]\n---\n"))).otherwise("")
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" see #n"), (F.col("doc_id") % 5).cast("string"), F.lit("."))).otherwise("")
+    text = F.concat(head, F.lit("#fff and (#"), F.col("lang"), F.lit("), #a1b2c3 #"), F.col("lang"), more)
     return docs.select("doc_id", F.array_join(X.tags(text), " ").alias("tags"))
 
 
@@ -77,10 +83,13 @@ def _(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), X.simple_name(F.concat_ws("::", "p_brand", "p_name")).alias("simple"))
 
 
-@query("x9_kinds", "SELECT event_type AS kind, CASE event_type WHEN 'click' THEN 'fn' WHEN 'view' THEN 'struct' ELSE 'unknown' END AS normal, count(*) AS n FROM events GROUP BY 1, 2")
+_KIND = "CASE event_type WHEN 'click' THEN 'Function' WHEN 'view' THEN 'mod' WHEN 'signup' THEN 'TypeAlias' WHEN 'error' THEN 'Class' ELSE 'func' END"
+
+
+@query("x9_kinds", f"SELECT kind, CASE kind WHEN 'Function' THEN 'fn' WHEN 'mod' THEN 'mod' WHEN 'TypeAlias' THEN 'type_alias' WHEN 'Class' THEN 'struct' END AS normal, count(*) AS n FROM (SELECT {_KIND} AS kind FROM events) GROUP BY 1, 2")
 def _(spark, d):
-    kind = F.when(F.col("event_type") == "click", " Function ").when(F.col("event_type") == "view", "CLASS").otherwise(F.col("event_type"))
-    return read(spark, d, "events").groupBy(F.col("event_type").alias("kind"), X.normalized_kind(kind).alias("normal")).agg(F.count("*").alias("n"))
+    rows = read(spark, d, "events").select(F.expr(_KIND).alias("kind"))
+    return rows.groupBy("kind", X.normalized_kind(F.col("kind")).alias("normal")).agg(F.count("*").alias("n"))
 
 
 @query("x10_dot_text", """SELECT doc_id, replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') AS label FROM documents""")
@@ -93,16 +102,17 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.substring("text", 11, 40).alias("part"))
 
 
-@query(
-    "x12_intent",
-    """SELECT conv_id, turn, CASE WHEN regexp_matches(q, '\\b(who calls|callers|references|used)\\b') THEN 'refs' WHEN regexp_matches(q, '\\b(cycle|cycles|recursion)\\b') THEN 'cycles'
-      WHEN regexp_matches(q, '\\b(impact|affect|affects|break)\\b') THEN 'impact' WHEN regexp_matches(q, '\\b(complex|hotspot|hotspots)\\b') THEN 'complexity' WHEN regexp_matches(q, '\\b(where|find|locate|defined)\\b') THEN 'find' ELSE 'search' END AS intent
-      FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'find ' WHEN 1 THEN 'who calls ' WHEN 2 THEN 'impact of ' WHEN 3 THEN 'any cycle in ' ELSE '' END || role AS q FROM conversations)""",
-)
+_ASKED = "CASE turn % 8 WHEN 0 THEN 'Who calls ' WHEN 1 THEN 'callees of ' WHEN 2 THEN 'show CFG of ' WHEN 3 THEN 'blast-zone ' WHEN 4 THEN 'what breaks with ' WHEN 5 THEN 'most complex ' WHEN 6 THEN 'look for ' ELSE '' END || role || ' ' || substring(text, 1, 60)"
+
+
+def _intent_sql():
+    whens = " ".join("WHEN " + " OR ".join(f"contains(q, '{p}')" for p in phrases) + f" THEN '{name}'" for name, phrases in X.INTENTS.items())
+    return f"SELECT conv_id, turn, CASE {whens} ELSE 'find' END AS intent FROM (SELECT conv_id, turn, lower({_ASKED}) AS q FROM conversations)"
+
+
+@query("x12_intent", _intent_sql())
 def _(spark, d):
-    turn = F.col("turn") % 5
-    q = F.concat(F.when(turn == 0, "find ").when(turn == 1, "who calls ").when(turn == 2, "impact of ").when(turn == 3, "any cycle in ").otherwise(""), F.col("role"))
-    return read(spark, d, "conversations").select("conv_id", "turn", X.intent(q).alias("intent"))
+    return read(spark, d, "conversations").select("conv_id", "turn", X.intent(F.expr(_ASKED)).alias("intent"))
 
 
 @query("x14_project_names", "SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '([^/:]+)$', 1) AS raw, trim(regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '([^/:]+)$', 1), '[^A-Za-z0-9_.-]+', '-', 'g'), '-') AS name FROM pages")
@@ -197,13 +207,26 @@ def _facts(spark, d):
     )
 
 
+_TYPES, _RELATIONS = [*K.ENTITY_TYPES, "Alien"], [*K.RELATIONS, "eats"]
+_listed = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_CLAIMS = f"""claims AS (SELECT o_orderkey AS id, {_listed(_TYPES)}[o_orderkey % 13 + 1] AS subject_type, {_listed(_RELATIONS)}[o_custkey % 14 + 1] AS predicate, {_listed(_TYPES)}[o_orderkey // 13 % 13 + 1] AS object_type,
+  o_totalprice / 400000 AS confidence, CASE WHEN o_orderkey % 2 = 0 THEN 'm' ELSE '' END AS mechanism FROM orders), pairs AS (SELECT * FROM (VALUES {", ".join(f"('{s}', '{p}', '{o}')" for s, p, o in K.ontology())}) p(s, p, o))"""
+
+
 @query(
     "v1_ontology",
-    f"""WITH {_FACTS} SELECT id, CASE WHEN predicate <> 'prefers' THEN 'unknown relation' WHEN object_type <> 'priority' THEN 'types not allowed' WHEN note = '' THEN 'property missing' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence out of range' END AS reason FROM facts""",
+    f"""WITH {_CLAIMS} SELECT id, CASE WHEN predicate = 'eats' THEN 'unknown relation' WHEN predicate <> 'relates_to' AND NOT EXISTS (SELECT 1 FROM pairs WHERE s = subject_type AND p = predicate AND o = object_type) THEN 'types not allowed'
+      WHEN predicate = 'caused_by' AND mechanism = '' THEN 'property missing' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence out of range' END AS reason FROM claims""",
 )
 def _(spark, d):
-    allowed = spark.createDataFrame([("customer", "prefers", "priority")], "subject_type string, predicate string, object_type string")
-    return K.validated(_facts(spark, d), allowed, {"prefers": ["note"]}).select("id", "reason")
+    k = F.col("o_orderkey")
+    of = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    claims = read(spark, d, "orders").select(
+        k.alias("id"), of(_TYPES, k % 13).alias("subject_type"), of(_RELATIONS, F.col("o_custkey") % 14).alias("predicate"), of(_TYPES, F.floor(k / 13) % 13).alias("object_type"),
+        (F.col("o_totalprice") / 400000).alias("confidence"), F.create_map(F.lit("mechanism"), F.when(k % 2 == 0, "m").otherwise(""), F.lit("evidence"), F.lit("e")).alias("properties"),
+    )
+    allowed = spark.createDataFrame(K.ontology(), "subject_type string, predicate string, object_type string")
+    return K.validated(claims, allowed, K.NEEDS).select("id", "reason")
 
 
 @query("g15_conflicts", f"WITH {_FACTS} SELECT subject_key, predicate, count(*) AS n, count(DISTINCT object_key) AS n_objects, string_agg(DISTINCT object_key, ',' ORDER BY object_key) AS objects FROM facts GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT object_key) > 1")
@@ -278,15 +301,15 @@ def _(spark, d):
     return lcov(numbered_lines(files))[0]
 
 
-@query("k3_wide_records", "SELECT record_type, count(*) AS n, count(name) AS names, count(caller) AS callers FROM (SELECT 'symbol' AS record_type, id, name, NULL AS caller FROM sym UNION ALL SELECT 'call', NULL, NULL, src FROM hop48) GROUP BY 1")
+@query("k3_wide_records", "SELECT record_type, count(*) AS n, count(name) AS names, count(caller) AS callers FROM (SELECT 'symbol' AS record_type, id, name, NULL AS caller FROM sym UNION ALL SELECT 'call', NULL, NULL, src FROM hop) GROUP BY 1")
 def _(spark, d):
-    wide = E.records(symbol=symbols(spark, d).select("id", "name"), call=hops(spark, d, 48).select("caller"))
+    wide = E.records(symbol=symbols(spark, d).select("id", "name"), call=hops(spark, d).select("caller"))
     return wide.groupBy("record_type").agg(F.count("*").alias("n"), F.count("name").alias("names"), F.count("caller").alias("callers"))
 
 
 @query("k2_json_lines")
 def _(spark, d):
-    return E.json_lines("2.0.0", symbol=symbols(spark, d).select("id", "name"), call=hops(spark, d, 48))
+    return E.json_lines("2.0.0", symbol=symbols(spark, d).select("id", "name"), call=hops(spark, d))
 
 
 @query("k1_file_json")
@@ -296,10 +319,10 @@ def _(spark, d):
 
 @query(
     "k4_dot",
-    """SELECT section, line FROM (SELECT 0 AS section, 'digraph {' AS line UNION ALL SELECT 3, '}' UNION ALL SELECT 1, '  "' || n || '";' FROM (SELECT CAST(src AS VARCHAR) AS n FROM hop50 UNION SELECT CAST(dst AS VARCHAR) FROM hop50) UNION ALL SELECT 2, '  "' || CAST(src AS VARCHAR) || '" -> "' || CAST(dst AS VARCHAR) || '";' FROM hop50)""",
+    """SELECT section, line FROM (SELECT 0 AS section, 'digraph {' AS line UNION ALL SELECT 3, '}' UNION ALL SELECT 1, '  "' || n || '";' FROM (SELECT CAST(src AS VARCHAR) AS n FROM hop UNION SELECT CAST(dst AS VARCHAR) FROM hop) UNION ALL SELECT 2, '  "' || CAST(src AS VARCHAR) || '" -> "' || CAST(dst AS VARCHAR) || '";' FROM hop)""",
 )
 def _(spark, d):
-    h = hops(spark, d, 50)
+    h = hops(spark, d)
     return E.dot_lines(h.select(F.col("caller").cast("string").alias("caller"), F.col("callee").cast("string").alias("callee")))
 
 
@@ -313,8 +336,8 @@ def _(spark, d):
     return E.lsif(symbols(spark, d), "demo").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("k11_delete_file", "SELECT (SELECT count(*) FROM sym WHERE file_path <> 'Brand#7') AS entities, (SELECT count(*) FROM hop40 WHERE src NOT IN (SELECT id FROM sym WHERE file_path = 'Brand#7') AND dst NOT IN (SELECT id FROM sym WHERE file_path = 'Brand#7')) AS edges")
+@query("k11_delete_file", "SELECT (SELECT count(*) FROM sym WHERE file_path <> 'Brand#7') AS entities, (SELECT count(*) FROM hop WHERE src NOT IN (SELECT id FROM sym WHERE file_path = 'Brand#7') AND dst NOT IN (SELECT id FROM sym WHERE file_path = 'Brand#7')) AS edges")
 def _(spark, d):
-    edges = hops(spark, d, 40).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"))
+    edges = hops(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"))
     rest, kept = E.delete_file("Brand#7", symbols(spark, d), edges)
     return rest.agg(F.count("*").alias("entities")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("edges"))))
