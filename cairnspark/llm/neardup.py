@@ -155,7 +155,7 @@ def _compare(numerator: int, denominator: int):
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, keep_root: bool = False) -> DataFrame:
     """Classes, groups and links of docs (doc_id, text): doc_id, class_id, group_id, n_links, text_hash, a row per row of docs.
 
     Texts are split at ASCII white space and lower-cased. class_id is the least doc_id with the same set of n-grams,
@@ -163,7 +163,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
     included. A text without words links to nothing and is its own class and group (so a null id stays null). Repeated rows
     are copies of each other; ids need not be unique; other columns are not looked at; an empty table gives no rows. A pair
     at the threshold becomes a candidate with probability `recall`, and more similar pairs with a higher one. Node numbers
-    are 64-bit hashes of n-gram sets.
+    are 64-bit hashes of n-gram sets. Long texts are taken whole. With keep_root there is also root, the number of the group
+    (null without words), which tells groups apart whose least ids are the same.
     """
     bands, rows = choose_bands(threshold, recall)
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -200,9 +201,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
     for used in (clusters, members, texts):
         drop_table(used)
     least = groups.join(ids, "node").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    of_node = ids.join(links, "node", "left").join(groups.join(least, "root").select("node", "group_id"), "node", "left").select(
-        "node", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    of_node = ids.join(links, "node", "left").join(groups.join(least, "root").select("node", "root", "group_id"), "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return shingled.select("doc_id", "text_hash", "node").join(of_node, "node", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash"
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash", *(["root"] if keep_root else [])
     )

@@ -255,3 +255,16 @@ def test_line_dedup_replaces_own_columns(spark):
     out = lines.dedup(docs)
     assert out.columns == ["doc_id", "text", "n_dropped", "_n_lines", "_n_dropped"]
     assert [tuple(r) for r in out.collect()] == [(1, "a line", "z", 2, 1)]
+
+
+def test_pipeline_join_of_documents_without_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    base = prose(1, 150)
+    rows = [(None, base, 3), (None, edited(base, 7, 1), 3), (4, base, 1), (4, base, 2), (4, prose(9, 80), 1), (None, "", 1), (None, "", 1)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.ngram_join(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert sorted((r["doc_id"], r["text"] == rows[4][1]) for r in kept if r["doc_id"] is not None) == [(4, True)]
+    assert sorted(len(r["text"]) > 0 for r in kept if r["doc_id"] is None) == [False, False, True]
