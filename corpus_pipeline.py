@@ -22,18 +22,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stay elsewhere; a document all of whose lines do goes."""
     bounded_batches(spark)
-    left = lines.dedup(docs).where((F.col("_n_lines") == 0) | (F.col("_n_dropped") < F.col("_n_lines")))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    left = lines.deduped(docs).where((F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return left.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
+    """One document of each group of near duplicates: the one with the least doc_id (nulls first), then the least hash of its text.
+
+    Of rows with that id and text the one with the least hash of its other columns stays. Documents without words all stay.
+    """
     bounded_batches(spark)
-    found = neardup.join(docs).where(F.col("doc_id").eqNullSafe(F.col("group_id")))
-    kept = found.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["text_hash"] == kept["kept_hash"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    found = neardup.join(docs, keep_root=True)
+    first = F.min(F.struct(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))).alias("of")
+    kept = table(found.where("root is not null").groupBy("root").agg(first).select("of.*", F.lit(True).alias("grouped")), "kept")
+    wordless = found.where("root is null").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), F.lit(False).alias("grouped")).distinct()
+    others = F.xxhash64(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), others.alias("others"))
+    both = kept.unionByName(wordless)
+    joined = rows.join(both, rows["doc_id"].eqNullSafe(both["kept_id"]) & (rows["text_hash"] == both["kept_hash"]))
+    one = joined.where("grouped").groupBy("kept_id", "kept_hash").agg(F.min_by("row", "others").alias("row"))
+    return one.select("row.*").unionByName(joined.where(~F.col("grouped")).select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
