@@ -48,7 +48,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The longest rule that fits (the first of equally long ones), as struct(rule, verdict); null if none fits."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule in sorted(rules, key=lambda r: len(r.spelled)):
+    for rule in sorted(reversed(rules), key=lambda r: len(r.spelled)):
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         found = F.when(fits, F.struct(F.lit(rule.spelled).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(found)
     return found

@@ -193,3 +193,109 @@ def test_texts_without_common_words_are_not_kept(spark):
     kept = {x["doc_id"]: x["kept"] for x in rules.judge(docs).collect()}
     assert all(kept[i] for i, *_ in clean)
     assert not any(kept[i] for i, *_ in strange)
+
+
+def test_trees_are_walked_and_split_as_one_by_one():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 4)).astype(np.float32)
+    x[:, 3] = r.integers(0, 3, 300)
+    y = (x[:, 1] + 0.3 * x[:, 3] > 0.4).astype(float)
+    forest = quality.fit(x, y, trees=7, depth=3)
+
+    def walked(row):
+        total = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.predict(x), [walked(row) for row in x])
+    # one stump: the split of most gain among all values between bins, each tried by itself
+    stump = quality.fit(x, y, trees=1, depth=1)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(j, t):
+        left = x[:, j] <= t
+        if h[left].sum() < 1 or h[~left].sum() < 1:
+            return 0.0
+        return sum(g[s].sum() ** 2 / (h[s].sum() + 2.0) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 2.0)
+
+    tried = [gain(j, t) for j in range(4) for t in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1]).astype(np.float32))]
+    assert gain(stump.feature[0, 0], stump.threshold[0, 0]) == pytest.approx(max(tried))
+    left = x[:, stump.feature[0, 0]] <= stump.threshold[0, 0]
+    assert stump.leaf[0] == pytest.approx([-0.15 * g[s].sum() / (h[s].sum() + 2.0) for s in (left, ~left)])
+
+
+def test_distances_as_by_definition():
+    r = np.random.default_rng(6)
+    p, q = r.integers(0, 9, (20, 7)).astype(float), r.integers(1, 9, (3, 7)).astype(float)
+    p[p.sum(axis=1) == 0, 0] = 1
+    p, q = p / p.sum(axis=1, keepdims=True), q / q.sum(axis=1, keepdims=True)
+
+    def plain(a, b):
+        m = [(u + v) / 2 for u, v in zip(a, b, strict=True)]
+        part = lambda c: sum(u * np.log2(u / w) for u, w in zip(c, m, strict=True) if u > 0)
+        return max((part(a) + part(b)) / 2, 0.0) ** 0.5
+
+    assert np.allclose(rules.distances(p, q), [[plain(a, b) for b in q] for a in p])
+
+
+def test_host_ranks_by_plain_iteration(spark):
+    r = random.Random(8)
+    hosts = [f"h{i}" for i in range(30)]
+    edges = {(r.choice(hosts), r.choice(hosts)): float(r.randint(1, 4)) for _ in range(90)}
+    edges = {(a, b): n for (a, b), n in edges.items() if a != b}
+    seeds = {"h0": (1.0, 0.0), "h1": (0.0, 1.0), "h2": (1.0, 0.0), "h3": (0.0, 1.0), "h4": (0.0, 0.0)}
+
+    def plain(kind):
+        ways = edges if kind == 0 else {(b, a): n for (a, b), n in edges.items()}
+        out = Counter()
+        for (a, _), n in ways.items():
+            out[a] += n
+        rank = {h: s[kind] for h, s in seeds.items()}
+        for _ in range(12):
+            following = {h: 0.15 * s[kind] for h, s in seeds.items()}
+            for (a, b), n in ways.items():
+                following[b] = following.get(b, 0.0) + 0.85 * rank.get(a, 0.0) * n / out[a]
+            rank = following
+        return rank
+
+    got = urls.propagate(
+        spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n double"),
+        spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"),
+    )
+    got = {x["host"]: (x["trust"], x["distrust"]) for x in got.collect()}
+    trust, distrust = plain(0), plain(1)
+    for h in hosts:
+        assert got.get(h, (0.0, 0.0)) == pytest.approx((trust.get(h, 0.0), distrust.get(h, 0.0)), abs=1e-12)
+
+
+def test_equal_rules_and_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", None)] * 3 + [(None, None, None)], "page_id long, url string, html string")
+    tied = [urls.Rule("allow", "net", "/"), urls.Rule("block", "net", "/")]
+    out = urls.judge(pages, tied).where("page_id = 1").collect()
+    assert len(out) == 3 and {r["verdict"] for r in out} == {"allow"}
+
+
+def test_secrets_of_an_empty_table_and_repeated_rows(spark, no_docs):
+    assert secrets.scan(no_docs).count() == 0
+    twice = spark.createDataFrame([(1, "token=abcdefgh1")] * 2, "doc_id long, text string")
+    assert [len(r["findings"]) for r in secrets.scan(twice).collect()] == [1, 1]
+
+
+def test_nearest_centroid_one_by_one():
+    r = random.Random(9)
+    say = lambda sounds: " ".join("".join(r.choice(sounds) for _ in range(3)) for _ in range(80))
+    learned = [("aa", say("the in ing er".split())) for _ in range(60)] + [("bb", say("sch ein ung ver".split())) for _ in range(60)]
+    counts = langid.ngram_counts(pa.array([t for _, t in learned]))
+    model = langid.fit([k for k, _ in learned], counts)
+    best, cosine = model.nearest(counts)
+    for i in range(0, 120, 7):
+        row = [float(c) ** 0.5 * float(w) for c, w in zip(counts[i], model.idf, strict=True)]
+        norm = sum(v * v for v in row) ** 0.5
+        each = [sum(v * float(c) for v, c in zip(row, centre, strict=True)) / norm for centre in model.centroids]
+        assert cosine[i] == pytest.approx(max(each), rel=1e-4) and each[best[i]] == pytest.approx(max(each), rel=1e-4)
+        assert model.languages[model.owner[best[i]]] == learned[i][0]
