@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import search as S, text as X
 from ..operators import context as C, facts as K
+from ..sources import python_code as P
 from .catalog import ORACLES, query
 from .model import hops, read, symbols
 
@@ -169,3 +170,47 @@ def _(spark, d):
     docs = read(spark, d, "documents")
     hits = S.bm25(docs.select(F.col("doc_id").alias("id"), "text"), ["the", "with"])
     return hits.join(docs.select(F.col("doc_id").alias("id"), "source", "lang"), "id").select("id", "source", "lang", "score")
+
+
+def _python_files(spark, d):
+    """A small Python file for each part; one in three doesn't parse."""
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    function = F.concat(F.lit("def f"), k, F.lit("(x):\n    if x:\n        return f"), s, F.lit("(x)\n    return x\n"))
+    method = F.concat(F.lit("class C"), k, F.lit(":\n    def f"), k, F.lit("(self):\n        y = f"), s, F.lit("(1)\n"))
+    broken = F.concat(F.lit("def f"), k, F.lit("(:\n"))
+    kind = F.col("p_size") % 3
+    return read(spark, d, "part").select(k.alias("file"), F.when(kind == 0, function).when(kind == 1, method).otherwise(broken).alias("content"))
+
+
+_PARSED = "t AS (SELECT p_partkey AS k, p_size AS s FROM part WHERE p_size % 3 <> 2)"
+
+
+@query(
+    "s5_references",
+    f"""WITH {_PARSED} SELECT CAST(a.k AS VARCHAR) AS file, 'f' || a.s AS name, CAST(3 AS BIGINT) AS line, CAST(CASE WHEN a.s % 3 = 0 THEN 15 ELSE 12 END AS BIGINT) AS col,
+      CAST(b.k AS VARCHAR) AS symbol_file, CASE WHEN b.s % 3 = 1 THEN 'C' || b.k || '.' ELSE '' END || 'f' || b.k AS symbol FROM t a JOIN t b ON a.s = b.k WHERE a.k <> b.k""",
+)
+def _(spark, d):
+    files = _python_files(spark, d)
+    return P.references(files, P.facts(files))
+
+
+@query(
+    "p19_tree_kinds",
+    f"""WITH {_PARSED}, n AS (SELECT unnest(CASE WHEN s % 3 = 0 THEN ['FunctionDef', 'If', 'Return', 'Call', 'Return'] ELSE ['ClassDef', 'FunctionDef', 'Assign', 'Call'] END) AS kind,
+      unnest(CASE WHEN s % 3 = 0 THEN [true, false, false, false, false] ELSE [true, false, false, false] END) AS is_root FROM t)
+      SELECT kind, count(*) AS n, count(CASE WHEN is_root THEN 1 END) AS roots FROM n GROUP BY kind""",
+)
+def _(spark, d):
+    return P.nodes(_python_files(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(F.col("parent").isNull(), 1)).alias("roots"))
+
+
+@query(
+    "p21_printed_tree",
+    f"""WITH {_PARSED}, n AS (SELECT k, unnest(CASE WHEN s % 3 = 0 THEN ['FunctionDef f' || k || ' [1-4]', '  If [2-3]', '    Return [3-3]', '      Call [3-3]', '  Return [4-4]']
+      ELSE ['ClassDef C' || k || ' [1-3]', '  FunctionDef f' || k || ' [2-3]', '    Assign [3-3]', '      Call [3-3]'] END) AS line,
+      unnest(CASE WHEN s % 3 = 0 THEN [0, 1, 2, 3, 4] ELSE [0, 1, 2, 3] END) AS node FROM t)
+      SELECT CAST(k AS VARCHAR) AS file, CAST(node AS BIGINT) AS node, line FROM n""",
+)
+def _(spark, d):
+    return P.printed(P.nodes(_python_files(spark, d)))

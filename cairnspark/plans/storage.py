@@ -13,12 +13,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a local one only where it is unset and all tasks run on this machine (tests)."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         path = spark._jvm.org.apache.hadoop.fs.Path(named.rstrip("/"))
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
     return _own_dir

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.facts import reconciled
@@ -12,6 +14,22 @@ from ..operators.joins import upsert
 MUTATIONS = ("create", "modify", "remove", "any", "other")
 
 
+def event_files(spark: SparkSession, folder: str, schema: str, files: int = 1000) -> DataFrame:
+    """A stream of the event files (JSON lines) of a folder: those that are there come first, in micro-batches of `files` files,
+    then what arrives."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
+
+
+def of_projects(streams: dict[str, DataFrame]) -> DataFrame:
+    """One stream of the events of several projects, with the project's name as `project`."""
+    return reduce(DataFrame.unionByName, (events.withColumn("project", F.lit(name)) for name, events in sorted(streams.items())))
+
+
+def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what has arrived to a Parquet table, each event once, also where a batch runs again."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def mutations(events: DataFrame) -> DataFrame:
     return events.where(F.lower("kind").isin(*MUTATIONS))
 
@@ -57,4 +75,6 @@ def keep_states(stream: DataFrame, path: str, checkpoint: str, key: str, order:
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["MUTATIONS", "batch_form", "debounced", "debounced_replay", "keep_states", "mutations", "reconciled", "windowed"]
+__all__ = [
+    "MUTATIONS", "append", "batch_form", "debounced", "debounced_replay", "event_files", "keep_states", "mutations", "of_projects", "reconciled", "windowed",
+]

@@ -111,3 +111,40 @@ def test_states_are_kept(spark, tmp_path, rows):
     spark.createDataFrame([("b", 3, None), ("c", 3, "h9")], first.schema).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert rows(spark.read.parquet(str(tmp_path / "out" / "version=1"))) == [("a", 2, "h2"), ("c", 3, "h9")]
+
+
+def test_projects_are_appended_once(spark, tmp_path, rows):
+    schema = "path string, kind string"
+    put = lambda project, part, *names: spark.createDataFrame([(n, "modify") for n in names], schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/{project}")
+    put("one", 0, "a", "b")
+    put("two", 0, "a")
+
+    def run():
+        streams = {p: W.event_files(spark, f"file://{tmp_path}/{p}", schema, files=1) for p in ("one", "two")}
+        W.append(W.of_projects(streams), f"file://{tmp_path}/log", f"file://{tmp_path}/ck-log").awaitTermination()
+        return rows(spark.read.parquet(f"file://{tmp_path}/log").select("project", "path"))
+
+    assert run() == [("one", "a"), ("one", "b"), ("two", "a")]
+    put("two", 1, "c")
+    assert run() == [("one", "a"), ("one", "b"), ("two", "a"), ("two", "c")] == run()
+
+
+def test_keys_of_one_stretch_of_time(spark):
+    at = dt.datetime(2024, 1, 1)
+    sessions = spark.createDataFrame([("b", at), ("a", at), ("a", at), ("c", at + dt.timedelta(minutes=5))], "key string, end timestamp")
+    assert sorted(r["keys"] for r in W.batch_form(sessions).collect()) == [["a", "b"], ["c"]]
+
+
+def test_tree_of_python(spark, rows):
+    text = "import os\n\n@wrap\ndef f(a):\n    for x in a:\n        x.g(os)\n\nclass K:\n    def g(self):\n        return f(self.g)\n"
+    deep = "x = " + "-" * 3000 + "1\n"
+    files = spark.createDataFrame([("m.py", text), ("bad.py", "def ("), ("none.py", None), ("empty.py", "")], "file string, content string")
+    tree = P.nodes(files)
+    assert [r["line"] for r in P.printed(tree).orderBy("node").collect()] == [
+        "Import [1-1]", "FunctionDef f [4-6]", "  For [5-6]", "    Call [6-6]", "ClassDef K [8-10]", "  FunctionDef g [9-10]", "    Return [10-10]", "      Call [10-10]",
+    ]
+    assert [r["kind"] for r in P.children(tree, "m.py", None).collect()] == ["Import", "FunctionDef", "ClassDef"]
+    assert [r["name"] for r in P.children(tree, "m.py", 4).collect()] == ["g"]
+    found = P.references(files, P.facts(files)).select("name", "line", "col", "symbol")
+    assert rows(found) == [("f", 10, 15, "f"), ("g", 6, 10, "K.g")]
+    assert P._nodes("deep.py", deep) in ([], [("deep.py", 0, None, 0, "Assign", None, 1, 0, 1, len(deep) - 1)])
