@@ -112,34 +112,27 @@ def components(edges: DataFrame, name: str = "components", done: Callable[[int],
     gathered anywhere (minima are combined before the shuffle, and the join back splits hot nodes), and the number of steps
     grows with the logarithm of the component size. Each step is a table in the shared folder. Nulls are dropped.
     """
-    current, written = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), False
-    rounds = 0
+    linked = edges.where("a is not null and b is not null and a <> b")
+    current, rounds = table(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name), 0
     while True:
         # large-star: every larger neighbour of a node moves to the node's least neighbour
-        both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        ).distinct()
-        # small-star: every smaller neighbour of a node, and the node itself, moves to its least neighbour
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(small_least, "a")
-            .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-            .unionByName(small_least.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
-        following = table(small, name)
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # small-star: every smaller neighbour of a node, and by its least neighbour's row the node itself, moves to the least one
+        nearest = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a")
+        following = table(large.join(nearest, "a").select(moved, F.col("m").alias("b")).distinct(), name)
         rounds += 1
-        # a forest of stars is reached when no node is both a child and a parent and every child has one parent
-        with shuffles_removed(following.sparkSession):
-            state = following.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
-            chained_up = following.join(following.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        if written:
-            drop_table(current)
-        current, written = following, True
-        if state["n"] == state["k"] and not chained_up:
+        drop_table(current)
+        current = following
+        # a forest of stars is reached when every child has one parent and no node is both a child and a parent
+        up = current.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        down = current.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        ends = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        with shuffles_removed(current.sparkSession):
+            unsettled = ends.where("up > 1 or up = 1 and down = 1").count()
+        if not unsettled:
             break
     if done:
         done(rounds)
