@@ -191,10 +191,11 @@ def deduped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
     parts = F.split("row.text", "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
+    # a line that is not blank is the start of the text or a line feed, blanks and what is not blank
+    n_lines = F.coalesce(F.regexp_count("row.text", F.lit(r"(?:^|\n)[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]")), F.lit(0)).cast("long")
     return joined.select(
         "row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"),
-        F.when(F.col("row.text").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
