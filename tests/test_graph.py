@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from cairnspark.operators import joins as J, metrics as M, temporal as T, traversal as A
+from cairnspark.operators import answers as N, joins as J, metrics as M, temporal as T, traversal as A
 
 DIAMOND = [("main", "a"), ("main", "b"), ("a", "shared"), ("b", "shared")]
 
@@ -108,3 +108,27 @@ def test_orphans_and_compare(spark, rows):
     one = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k long, v string")
     two = spark.createDataFrame([(2, "b"), (3, "x"), (4, "y")], "k long, v string")
     assert [(r[0], r[3]) for r in sorted(J.compared(one, two, ["k"], "v").collect())] == [(1, "missing"), (2, "ok"), (3, "changed"), (4, "extra")]
+
+
+def test_asked_names_and_routes(spark, rows):
+    asked = [(1, "Who calls 'Run'?"), (2, 'callees of ""'), (3, ""), (4, None), (5, "find \"A b\" now"), (6, "who calls x")]
+    questions = spark.createDataFrame(asked, "ask long, question string")
+    named = {r["ask"]: r["name"] for r in questions.select("ask", N.asked_name(questions["question"]).alias("name")).collect()}
+    assert named == {1: "run", 2: '""', 3: None, 4: None, 5: "a b", 6: "x"}
+    found = spark.createDataFrame([("run", 7), ("run", 8), ("x", 9)], "name string, answer long")
+    assert rows(N.routed(questions, {"callers": lambda q: q.join(found, "name")})) == [(1, "callers", 7), (1, "callers", 8), (6, "callers", 9)]
+
+
+def test_packets(spark, rows):
+    tasks = spark.createDataFrame([(1, "repair b_x then b_x and a_x"), (2, ""), (3, None), (4, "unknown_x")], "task long, text string")
+    named = spark.createDataFrame([(10, "a_x"), (11, "b_x"), (12, "b_x"), (13, "c")], "id long, name string")
+    calls = spark.createDataFrame([(10, 11), (11, 13), (13, 10), (13, 13)], "src long, dst long")
+    got = rows(N.packets(tasks, named, calls, top=1))
+    assert got == sorted([(1, 11, "find", 11, 0), (1, 11, "caller", 10, 1), (1, 11, "callee", 13, 1), (1, 11, "impact", 10, 1), (1, 11, "impact", 13, 2), (1, 11, "affected", 13, 1), (1, 11, "affected", 10, 2)])
+    assert rows(N.packets(tasks.limit(0), named, calls)) == []
+
+
+def test_swept(spark, rows):
+    files = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (4, "a", "x"), (4, "b", None), (7, "a", "x"), (7, "b", None)], "snapshot_id long, path string, hash string")
+    chosen = files.select("snapshot_id").where("snapshot_id <> 2")
+    assert [tuple(r) for r in N.swept(files, chosen).orderBy("snapshot_id", "path").collect()] == [(1, "a", "x", False), (4, "a", "x", True), (4, "b", None, False), (7, "a", "x", True), (7, "b", None, False)]
