@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, lines, neardup, packing, quality, rules, secrets, sstable, urls
+from . import decontam, langid, lines, merkle, neardup, packing, pieces, quality, ranked, rules, secrets, sql, sstable, urls
 from .common import bounded_batches
 
 
-def _vocabulary() -> str:
+def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +79,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(_read(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.count(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_packing, op3_decontamination, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls, op10_near_duplicates)
+    found = (
+        op1_line_dedup, op2_packing, op3_decontamination, op4_quality, op5_secrets, op6_language, op7_rules, op8_token_shards, op9_urls, op10_near_duplicates,
+        op11_ranked_search, op12_token_counts, op13_manifest,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_ranked_search": sql.RANKED, "op13_manifest": sql.MERKLE}
