@@ -2,8 +2,9 @@
 
 Each term's k-th greatest impact is stored with it. That many documents have at least this score, so the greatest of an item's
 terms is a bound that its k-th score can't be under. Terms whose greatest impacts together stay below the bound can bring no
-document into the result alone: they generate no candidates. The other terms do, by a join on postings; the k-th of their partial
-scores raises the bound, and what can still reach it is scored exactly with the terms that were left out.
+document into the result alone: they generate no candidates. The other terms do, by a join on postings: first on one part in
+SEEDED of the documents, whose k-th partial score raises the bound and so leaves fewer terms, then on all of them. The k-th of
+the partial scores raises the bound once more, and what can still reach it is scored exactly with the terms that were left out.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import SALTS, coded_words, drop_table, shuffles_removed, small, table, text_slices
 
+#: One part in so many of the documents raises the bound before all of them are looked at.
+SEEDED = 16
+#: Terms are left out while they add less than this share of the bound: any share up to 1 is safe, a small one leaves more terms,
+#: a large one more documents that can still reach the bound.
+SPARED = 0.25
 #: Each byte of UTF-8 as it counts in terms: ASCII letters lower-cased, other ASCII but digits a space, the rest as it is.
 _TERM_BYTES = np.array([i + 32 if 65 <= i <= 90 else i if i >= 128 or 97 <= i <= 122 or 48 <= i <= 57 else 32 for i in range(256)], dtype=np.uint8)
 
@@ -63,6 +69,25 @@ def kth_bounds(rows: DataFrame, by: str, value: str, k: int) -> DataFrame:
     return counts.withColumn("_low", F.when(reached, F.col("_low"))).groupBy(by).agg(F.sum("_n").alias("df"), F.max("_top").alias("top"), F.coalesce(F.max("_low"), F.lit(0)).alias("kth"))
 
 
+def _split(of_item: DataFrame) -> DataFrame:
+    """Terms of items (item, tid, w, top, below, least) that lead, and `spare`: what the others add to a score at most."""
+    split = of_item.withColumn("leads", F.col("below") >= F.col("least") * SPARED)
+    spare = F.coalesce(F.sum(F.when(~F.col("leads"), F.col("top"))).over(Window.partitionBy("item")), F.lit(0))
+    return split.withColumn("spare", spare)
+
+
+def _parts(postings: DataFrame, of_item: DataFrame) -> DataFrame:
+    """(item, row, part, spare): the scores of leading terms, where the others can still lift them to the bound."""
+    leading = of_item.where("leads").select("item", "tid", "w")
+    sums = postings.join(small(leading), "tid").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("part"))
+    bounds = of_item.select("item", "least", "spare").distinct()
+    return sums.join(small(bounds), "item").where("part + spare >= least").drop("least")
+
+
+def _raised(parts: DataFrame, k: int) -> DataFrame:
+    return kth_bounds(parts, "item", "part", k).select("item", F.col("kth").alias("raised"))
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     """item_id, rank (from 1), doc_id and score of the k documents (doc_id, text) that fit each item (item_id, text) best.
 
@@ -83,13 +108,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     # one scan of the texts: the postings of terms that are asked, and a row without term for each document
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc"), "text")
     found = counted_terms(rows, "doc").join(small(terms), "term", "left").where("tid is not null or term is null")
-    postings = table(found.select("doc.row", "doc.doc_id", "n", "tid", "tf"), "postings")
+    # the id stands in the document's own row only
+    own_id = F.when(F.col("tid").isNull(), F.col("doc.doc_id")).alias("doc_id")
+    postings = table(found.select("doc.row", own_id, "n", "tid", "tf"), "postings")
+    doc_ids = postings.where("tid is null").select("row", "doc_id")
     with shuffles_removed(spark):
         n_docs, n_terms = postings.where("tid is null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # beyond 64 bits while it is multiplied, not after
     m = F.expr(f"50 + (cast(50 * n as decimal(20, 0)) * {n_docs}) div {max(n_terms, 1)}")
     impact = F.expr("(1000000000 * tf) div (1000 * tf + 20 * m)").alias("impact")
-    postings = postings.where("tid is not null").withColumn("m", m.cast("long")).select("row", "doc_id", "tid", impact)
+    postings = postings.where("tid is not null").withColumn("m", m.cast("long")).select("row", "tid", impact)
 
     weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2.0 * F.col("df") + 1)))
     stored = kth_bounds(postings, "tid", "impact", k).withColumn("w", weight)
@@ -98,22 +126,19 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     of_item = asked.join(item_ids, F.col("item_id").eqNullSafe(F.col("of_item"))).join(terms, "term").join(stored, "tid")
     whole, upward = Window.partitionBy("item"), Window.partitionBy("item").orderBy("top", "tid")
     of_item = of_item.select("item", "tid", "w", "top", F.max("kth").over(whole).alias("least"), F.sum("top").over(upward).alias("below"))
-    of_item = of_item.withColumn("leads", F.col("below") >= F.col("least"))
-    spare = F.coalesce(F.sum(F.when(~F.col("leads"), F.col("top"))).over(whole), F.lit(0))
-    of_item = table(of_item.withColumn("spare", spare).drop("top", "below"), "item-terms")
-
-    leading = of_item.where("leads").drop("leads")
-    parts = postings.join(small(leading), "tid").groupBy("item", "row").agg(
-        F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("impact")).alias("part"), F.first("least").alias("least"), F.first("spare").alias("spare")
-    )
-    parts = table(parts.where("part + spare >= least").drop("least"), "parts")
-    raised = kth_bounds(parts, "item", "part", k).select("item", F.col("kth").alias("raised"))
-    left = table(parts.join(small(raised), "item").where("part + spare >= raised").drop("spare", "raised"), "candidates")
+    of_item = table(of_item, "item-terms")
+    seeds = _parts(postings.where(F.pmod(F.xxhash64("row"), F.lit(SEEDED)) == 0), _split(of_item))
+    raised = table(_raised(seeds, k), "seeds")
+    of_item = of_item.join(small(raised), "item", "left").withColumn("least", F.greatest("least", "raised")).drop("raised")
+    of_item = table(_split(of_item), "item-terms")
+    parts = table(_parts(postings, of_item), "parts")
+    left = parts.join(small(_raised(parts, k)), "item").where("part + spare >= raised").drop("spare", "raised")
+    left = table(left.join(doc_ids, "row"), "candidates")
     drop_table(parts)
 
     others = of_item.where("not leads").select("item", "tid", "w")
     looked_up = table(left.select("item", "row").join(small(others), "item"), "looked-up")
-    added = postings.select("row", "tid", "impact").join(small(looked_up), ["row", "tid"]).groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("added"))
+    added = postings.join(small(looked_up), ["row", "tid"]).groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("added"))
     scored = left.join(added, ["item", "row"], "left").withColumn("score", F.col("part") + F.coalesce("added", F.lit(0))).where("score > 0")
     # an item's best k of each salted part, then of all
     order = [F.desc("score"), F.asc_nulls_first("doc_id"), F.col("row")]
