@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import range_join
@@ -89,3 +91,54 @@ def explored(edges: DataFrame, node: int) -> DataFrame:
     further = edges.join(callees.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
     named = lambda rows, section: rows.select(F.lit(section).alias("section"), "id")
     return named(callers, "caller").unionByName(named(callees, "callee")).unionByName(named(further, "chain"))
+
+
+def halvings(first: int, least: int = 2) -> list[int]:
+    """The lengths that a list is cut to until its answer fits: half of the last one, and none once it was `least` or fewer."""
+    found = [first]
+    while found[-1] > 0:
+        found.append(found[-1] // 2 if found[-1] > least else 0)
+    return found
+
+
+#: What a cut answer ends with (fixed values).
+PARTIAL = "\n... [Output truncated due to token budget]\n"
+CUT = "\n... [Output truncated due to --token-budget]"
+
+
+def _first_that_fits(states: Column, render: Callable[[Column], Column], tokens: Column) -> Column:
+    """The first state whose answer has at most four bytes a token; the last one's answer cut to that, less 60 characters, if none."""
+    answers = F.transform(states, render)
+    fitting = F.get(F.filter(answers, lambda a: F.octet_length(a) <= 4 * tokens), F.lit(0))
+    cut = F.concat(F.substring(F.element_at(answers, -1), F.lit(1), F.greatest(4 * tokens - 60, F.lit(0))), F.lit(CUT))
+    return F.coalesce(fitting, cut)
+
+
+def fitted_summary(head: Column, items: Column, tail: Column, tokens: Column, most: int = CAPS["normal"]) -> Column:
+    """head, the items a line each, and tail: an answer of at most four bytes a token. The list is capped, then halved until the
+    answer fits, then left out; what is cut says so at its end, and an answer that fits nevertheless not is cut as text."""
+    title = lambda some: F.when(F.size(some) > 0, F.concat(F.lit("Entry Points:\n"), F.array_join(F.transform(some, lambda x: F.concat(F.lit("  - "), x, F.lit("\n"))), ""), F.lit("\n"))).otherwise("")
+
+    def render(n: Column) -> Column:
+        some = F.slice(items, F.lit(1), n)
+        return F.concat(head, title(some), tail, F.when((F.size(items) > most) | (n < most), PARTIAL).otherwise(""))
+
+    return _first_that_fits(F.array(*(F.lit(n) for n in halvings(most))), render, tokens)
+
+
+def fitted_symbol(head: Column, source: Column, callers: Column, callees: Column, tokens: Column, most: int = CAPS["normal"], lines: int = 40) -> Column:
+    """head, source, callers and callees of a symbol as an answer of at most four bytes a token: the source's lines are halved first
+    (left out from five down), then both lists together (from two down), then the text is cut."""
+    states = [(s, most) for s in halvings(lines, 5)] + [(0, c) for c in halvings(most)[1:]]
+    listed = lambda name, some: F.when(F.size(some) > 0, F.concat(F.lit(f"{name}:\n"), F.array_join(F.transform(some, lambda x: F.concat(F.lit("  - "), x, F.lit("\n"))), ""))).otherwise("")
+    text = F.split(source, "\n")
+
+    def render(state: Column) -> Column:
+        some = F.slice(text, F.lit(1), state["lines"])
+        body = F.when(F.size(some) > 0, F.concat(F.lit("Source:\n"), F.array_join(some, "\n"), F.lit("\n"))).otherwise("")
+        cut = (F.size(text) > lines) | (F.size(callers) > most) | (F.size(callees) > most) | (state["lines"] < lines)
+        cap = F.least(state["list"], F.lit(most))
+        return F.concat(head, body, listed("Callers", F.slice(callers, F.lit(1), cap)), listed("Callees", F.slice(callees, F.lit(1), cap)), F.when(cut, PARTIAL).otherwise(""))
+
+    array = F.array(*(F.struct(F.lit(s).alias("lines"), F.lit(c).alias("list")) for s, c in states))
+    return _first_that_fits(array, render, tokens)
