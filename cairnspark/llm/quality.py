@@ -109,8 +109,8 @@ def score(
     known = known.where(~held).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = known.count()
     keep = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 30))
-    # a repeated document trains once
-    rows = stats.join(known.where(keep), "doc_id").groupBy("doc_id").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    # a repeated document trains once; of several texts the least statistics, whichever task comes first
+    rows = stats.join(known.where(keep), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     sample = rows.orderBy("doc_id").toPandas()
     x = np.array(sample["x"].tolist(), dtype=np.float32).reshape(-1, len(FEATURES))
     forest = fit(x, sample["y"].to_numpy(dtype=np.float64))

@@ -3,7 +3,9 @@
 Hosts are nodes; an edge goes from a host to each host that its pages link to, and from a host to its parent domain. Trust
 starts at hosts whose pages the rules mostly allow and follows the edges; distrust starts at hosts whose pages the rules
 mostly block and goes against them (who links to a blocked host is suspect). Both are personalised PageRanks in which every
-seed restarts with a mass of its own, so what a host gets does not depend on how many other hosts there are.
+seed restarts with a mass of its own, so what a host gets does not depend on how many other hosts there are. A step of either
+is weighted by the linking host's own share of links: trust is what its links hand on, distrust is what its links lead to. So a
+linker's distrust does not shrink with the number of others that link to the same blocked host.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ class Rule:
 #: Fixed rules of the query.
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
+#: Share of a rank that goes on over the edges.
+DAMPING = 0.85
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,23 +71,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = 12) -> DataFrame:
     """(host, trust, distrust): personalised PageRanks from seeds (host, trust, distrust); edges (src, dst, n) carry trust
-    forward and distrust backward. A seed restarts with its own mass, whatever the number of seeds. What a host without edges
-    holds is not handed on. Ranks are tables every fourth round."""
-    ways = chained(
-        [edges.select(F.lit("trust").alias("kind"), "src", "dst", "n"), edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")]
-    )
-    out = ways.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    ways = table(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total") * damping).alias("share")), "host-edges")
-    start = table(seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, rank)")).where("rank > 0"), "seeds")
+    forward and distrust backward, each by dst's share of all links of src. A seed restarts with its own mass, whatever the number
+    of seeds. What a host without edges holds is not handed on. Ranks are tables every fourth round."""
+    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
+    shares = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total") * damping).alias("share"))
+    both = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "share") for kind, a, b in (("trust", "src", "dst"), ("distrust", "dst", "src"))))).alias("w")
+    ways = table(shares.select(both).select("w.*"), "host-edges")
+    start = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, rank)")).where("rank > 0")
+    start = table(start.select("host", "kind", (F.col("rank") * (1 - damping)).alias("rank")), "seeds")
     ranks, kept = start, []
     for i in range(rounds):
         moved = ways.join(ranks.select(F.col("host").alias("src"), "kind", "rank"), ["kind", "src"]).select(
             F.col("dst").alias("host"), "kind", (F.col("rank") * F.col("share")).alias("rank")
         )
-        again = start.select("host", "kind", (F.col("rank") * (1 - damping)).alias("rank"))
-        ranks = moved.unionByName(again).groupBy("host", "kind").agg(F.sum("rank").alias("rank"))
+        ranks = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("rank").alias("rank"))
         if i % 4 == 3:
             ranks = table(ranks, "ranks")
             kept.append(ranks)
@@ -92,12 +96,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, least: float = 1e-4) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, share: float = 0.1) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for pages (page_id, url, html).
 
-    The longest rule that fits decides. Without one a page is blocked when its host's distrust is over its trust and over
-    `least` (of the mass of one seed, which is 1), and allowed otherwise; so are pages without a host. Null html has no links; repeated rows are judged one by one;
-    other columns don't matter; an empty table gives no rows.
+    The longest rule that fits decides. Without one a page is blocked when its host's distrust is over its trust and at least that
+    of a host which has `share` of its links to blocked hosts, and allowed otherwise; so are pages without a host. Both are
+    shares of a host's own links, so neither the number of hosts nor that of links to a blocked one changes them. Null html
+    and null urls have no links; html of any length is read whole, by one expression; repeated rows are judged one by one, and
+    of equal ranks trust wins; other columns don't matter; an empty table gives no rows.
     """
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     placed = placed.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
@@ -108,7 +114,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, least: float = 1e-4)
     )
     seeds = shares.select("host", (F.col("allowed") >= 0.5).cast("double").alias("trust"), (F.col("blocked") > 0.5).cast("double").alias("distrust"))
     ranks = propagate(host_edges(pages), seeds)
-    by_rank = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") > least), "block").otherwise("allow")
+    by_rank = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= share * DAMPING * (1 - DAMPING)), "block").otherwise("allow")
     return placed.join(ranks, "host", "left").select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(verdict, by_rank).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),

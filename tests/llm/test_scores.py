@@ -251,15 +251,16 @@ def test_host_ranks_by_plain_iteration(spark):
     seeds = {"h0": (1.0, 0.0), "h1": (0.0, 1.0), "h2": (1.0, 0.0), "h3": (0.0, 1.0), "h4": (0.0, 0.0)}
 
     def plain(kind):
-        ways = edges if kind == 0 else {(b, a): n for (a, b), n in edges.items()}
         out = Counter()
-        for (a, _), n in ways.items():
+        for (a, _), n in edges.items():
             out[a] += n
-        rank = {h: s[kind] for h, s in seeds.items()}
+        rank = {h: 0.15 * s[kind] for h, s in seeds.items()}
         for _ in range(12):
             following = {h: 0.15 * s[kind] for h, s in seeds.items()}
-            for (a, b), n in ways.items():
-                following[b] = following.get(b, 0.0) + 0.85 * rank.get(a, 0.0) * n / out[a]
+            for (a, b), n in edges.items():
+                # both by the linking host's own share of links
+                here, there = (a, b) if kind == 0 else (b, a)
+                following[there] = following.get(there, 0.0) + 0.85 * rank.get(here, 0.0) * n / out[a]
             rank = following
         return rank
 
@@ -273,6 +274,18 @@ def test_host_ranks_by_plain_iteration(spark):
         assert got.get(h, (0.0, 0.0)) == pytest.approx((trust.get(h, 0.0), distrust.get(h, 0.0)), abs=1e-12)
 
 
+@pytest.mark.parametrize("n", [10, 1000, 5000])
+def test_linkers_of_a_blocked_host_are_blocked_however_many(spark, n):
+    """Linkers with all, half and a fiftieth of their links to the one blocked host."""
+    made = spark.range(n).withColumn("k", F.col("id") % 3)
+    link = lambda host, times: F.repeat(F.lit(f'<a href="http://{host}/1">x</a>'), times)
+    html = F.when(F.col("k") == 0, link("bad.net", 1)).when(F.col("k") == 1, F.concat(link("bad.net", 1), link("other.test", 1))).otherwise(F.concat(link("bad.net", 1), link("other.test", 49)))
+    pages = made.select("id", F.concat(F.lit("http://h"), "id", F.lit(".test/")).alias("url"), html.alias("html"))
+    bad = spark.createDataFrame([(n, "http://bad.net/1", None), (n + 1, "http://other.test/", None)], "page_id long, url string, html string")
+    out = urls.judge(bad.unionByName(pages.withColumnRenamed("id", "page_id"))).where(f"page_id < {n}").groupBy((F.col("page_id") % 3).alias("k"), "verdict").count().collect()
+    assert {(r["k"], r["verdict"]) for r in out} == {(0, "block"), (1, "block"), (2, "allow")}
+
+
 def test_equal_rules_and_repeated_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x", None)] * 3 + [(None, None, None)], "page_id long, url string, html string")
     tied = [urls.Rule("allow", "net", "/"), urls.Rule("block", "net", "/")]
