@@ -29,8 +29,10 @@ LEAST_IDF, ANCHOR = 0.01, 8
 _CELLS, _TABLE = 256, 1 << 12
 #: Share of an item's words in common order that is a leak, and that is one when the answer stands there too.
 LEAK, LEAK_WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
-#: Items that are compared at once; more are handled in blocks of so many.
-ITEMS_AT_ONCE = 20_000
+#: Words from which an answer is looked for wherever it stands; a shorter one only in passages that are near its item.
+LEAST_ANSWER = 3
+#: Items that are compared at once; more are handled in blocks of so many. Passages of either side in one product of matrices.
+ITEMS_AT_ONCE, PRODUCT = 20_000, 4096
 
 
 def word_hashes(texts: pa.Array) -> list[np.ndarray]:
@@ -205,6 +207,16 @@ def _rolled(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _anchors(texts: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes of the first words of texts, ANCHOR at most, and the texts they are of, by number of words; empty ones have none."""
+    anchors = {}
+    for width in {min(ANCHOR, len(w)) for w in texts} - {0}:
+        of = np.array([i for i, w in enumerate(texts) if min(ANCHOR, len(w)) == width])
+        hashes = np.array([_rolled(texts[i][:width], width)[0] for i in of])
+        anchors[width] = np.sort(hashes), of[np.argsort(hashes, kind="stable")]
+    return anchors
+
+
 def _anchored(words: list[np.ndarray], anchors: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
     """(text, item, place) where the first words of an item stand as they are; anchors: sorted hashes and items by number of words."""
     flat, ends = np.concatenate(words), np.cumsum([len(w) for w in words])
@@ -232,11 +244,9 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
         item_tables, lists = _tables(texts), [w.tolist() for w in texts]
         # the last cell stays empty, for places without a word
         cell = np.where(asked_words != none, asked_words & np.uint32(_CELLS - 1), _CELLS).astype(np.int32)
-        anchors = {}
-        for width in {min(ANCHOR, len(w)) for w in texts}:
-            of = np.array([i for i, w in enumerate(texts) if min(ANCHOR, len(w)) == width])
-            hashes = np.array([_rolled(texts[i][:width], width)[0] for i in of])
-            anchors[width] = np.sort(hashes), of[np.argsort(hashes, kind="stable")]
+        anchors = _anchors(texts)
+        answers = [a if len(a) >= LEAST_ANSWER else a[:0] for _, _, a in items]
+        answer_anchors = _anchors(answers)
         for batch, words in _word_lists(batches):
             hits: list[dict[int, float]] = [{} for _ in words]
             values, filled, owner = blocks(words)
@@ -245,32 +255,45 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
                 vectors, first = passages(_places(values, filled), owner, padded)
                 there = _passage_words(values, filled, owner, first, 0)
                 begin = np.searchsorted(owner, np.arange(len(words)))
-                for i in range(0, len(vectors), 4096):
-                    row, q = np.divmod(np.flatnonzero(vectors[i : i + 4096] @ asked.T >= least), len(asked))
-                    part = there[i : i + 4096]
+                for i in range(0, len(vectors), PRODUCT):
+                    part = there[i : i + PRODUCT]
                     held_words = np.zeros((len(part), _CELLS + 1), dtype=np.uint8)
                     held_words[np.arange(len(part))[:, None], part & np.uint32(_CELLS - 1)] = 1
-                    held_words, start = held_words.ravel(), row.astype(np.int32) * np.int32(_CELLS + 1)
-                    for j in range(0, len(row), 8192):
-                        p, k = row[j : j + 8192] + i, q[j : j + 8192]
-                        may = held_words.take(start[j : j + 8192, None] + cell[k]).sum(axis=1, dtype=np.uint8) >= LEAST_SHARED * asked_size[k]
-                        p, k = p[may], k[may]
-                        good = _shared(asked_words[k], there[p]) >= LEAST_SHARED * asked_size[k]
-                        doc = owner[first[p[good]]]
-                        found.update(zip(doc.tolist(), asked_item[k[good]].tolist(), ((first[p[good]] - begin[doc]) * BLOCK).tolist(), strict=True))
+                    held_words = held_words.ravel()
+                    for c in range(0, len(asked), PRODUCT):
+                        near = vectors[i : i + PRODUCT] @ asked[c : c + PRODUCT].T >= least[c : c + PRODUCT]
+                        row, q = np.divmod(np.flatnonzero(near), near.shape[1])
+                        start, q = row.astype(np.int32) * np.int32(_CELLS + 1), q + c
+                        for j in range(0, len(row), 8192):
+                            p, k = row[j : j + 8192] + i, q[j : j + 8192]
+                            may = held_words.take(start[j : j + 8192, None] + cell[k]).sum(axis=1, dtype=np.uint8) >= LEAST_SHARED * asked_size[k]
+                            p, k = p[may], k[may]
+                            good = _shared(asked_words[k], there[p]) >= LEAST_SHARED * asked_size[k]
+                            doc = owner[first[p[good]]]
+                            found.update(zip(doc.tolist(), asked_item[k[good]].tolist(), ((first[p[good]] - begin[doc]) * BLOCK).tolist(), strict=True))
                 found.update(_anchored(words, anchors))
-            for doc, item, at in found:
-                _, text, answer = items[item]
-                region = words[doc][max(0, at - len(text)) : at + BLOCKS * BLOCK + len(text)]
+            def checked(doc: int, item: int, region: np.ndarray, least: float) -> None:
+                text = texts[item]
                 known = region[item_tables[item][region & np.uint32(_TABLE - 1)]]  # other words are in no common subsequence
                 # the subsequence is no longer than the item's words that stand there
                 standing = set(known.tolist())
-                most = sum(w in standing for w in lists[item]) / len(text)
-                if most < LEAK_WITH_ANSWER or most < LEAK and not (len(answer) and _contains(region, answer)):
-                    continue
-                ratio = subsequence(text, known) / len(text)
-                if ratio >= LEAK or ratio >= LEAK_WITH_ANSWER and len(answer) and _contains(region, answer):
-                    hits[doc][items[item][0]] = max(ratio, hits[doc].get(items[item][0], 0.0))
+                if sum(w in standing for w in lists[item]) / len(text) >= least:
+                    ratio = subsequence(text, known) / len(text)
+                    if ratio >= least:
+                        hits[doc][items[item][0]] = max(ratio, hits[doc].get(items[item][0], 0.0))
+
+            for doc, item, at in found:
+                _, text, answer = items[item]
+                region = words[doc][max(0, at - len(text)) : at + BLOCKS * BLOCK + len(text)]
+                short = 0 < len(answer) < LEAST_ANSWER and _contains(region, answer)
+                checked(doc, item, region, LEAK_WITH_ANSWER if short else LEAK)
+            # where an answer stands, its item needs less: in as many words as it has, and a few
+            for doc, item, at in _anchored(words, answer_anchors) if len(values) else ():
+                _, text, answer = items[item]
+                end, room = at + len(answer), len(text) + max(4, len(text) // 4)
+                if end <= len(words[doc]) and (words[doc][at:end] == answer).all():
+                    last = len(answer) <= len(text) and (text[len(text) - len(answer) :] == answer).all()
+                    checked(doc, item, words[doc][max(0, (end if last else at) - room) : end if last else end + room], LEAK_WITH_ANSWER)
             listed = pa.array([sorted(h) for h in hits], type=pa.list_(pa.int64()))
             best = pa.array([max(h.values(), default=0.0) for h in hits], type=pa.float64())
             columns = [batch.column("doc_id"), batch.column("text_hash"), listed, best]
@@ -283,7 +306,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None)
     """doc_id, text_hash, item_ids (sorted ids of items that leaked into it), overlap (best share of an item, 0 to 1) for each row of docs
     (doc_id, text) against benchmark (item_id, text, and an answer column if named; else an item's last words are its answer).
 
-    A null or empty text has no leak; long texts are searched whole; items without words, or with a null id, are not looked for, and
+    A leak has LEAK of an item's words in common order with it, near a passage whose cosine and words are near the item's, or
+    LEAK_WITH_ANSWER of them in about as many words as the item has, where its answer stands (answers of LEAST_ANSWER words or
+    more are looked for everywhere). A null or empty text has no leak; long texts are searched whole; items without words, or with a null id, are not looked for, and
     of items that fit equally well all are named; repeated rows are judged one by one; other columns are not looked at; an
     empty table gives no rows. Items come to the driver in blocks of ITEMS_AT_ONCE.
     """

@@ -144,6 +144,42 @@ def test_leaks(spark, odd_docs, no_docs):
     assert all(r["item_ids"] == [] for r in decontam.find_leaks(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("share,with_answer", [(0.5, True), (0.6, True), (0.75, False), (0.75, True)])
+def test_recall_of_leaks_at_the_limits(spark, share, with_answer):
+    """Items of frequent words at any offset, as many words kept as the limit asks for, the others replaced by frequent ones. Every
+    window of every document is compared, so what should be found is known; other documents have no window that is a leak."""
+    r = random.Random(int(share * 100) + with_answer)
+    words = [f"w{k}" for k in range(3000)]
+    text = lambda n: r.choices(words, [1 / (k + 3) for k in range(3000)], k=n)
+    items = [text(24) for _ in range(120)]
+    rows, wanted = [], {}
+    for i, item in enumerate(items):
+        keep = set(range(20, 24)) if with_answer else set()
+        keep |= set(r.sample([k for k in range(23 if not with_answer else 20) if k not in keep], round(24 * share) - len(keep)))
+        leak = [w if k in keep else r.choice(words[:300]) for k, w in enumerate(item)]
+        rows.append((i, " ".join(text(r.randint(0, 90)) + leak + text(r.randint(0, 90)))))
+    rows += [(1000 + i, " ".join(text(150))) for i in range(200)]
+    lcs = lambda a, b: decontam.subsequence(hashes[a], b)
+    hashes = decontam.word_hashes(pa.array([" ".join(x) for x in items]))
+    for doc, t in rows:
+        own = decontam.word_hashes(pa.array([t]))[0]
+        asked = [doc] if doc < 1000 else range(0, 120, 10)
+        wanted[doc] = {i for i in asked for at in range(0, max(1, len(own) - 23)) if lcs(i, own[at : at + 24]) >= (0.5 if with_answer else 0.75) * 24}
+    got = {x["doc_id"]: set(x["item_ids"]) for x in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    assert all(wanted[i] == {i} for i in range(120))
+    assert sum(i in got[i] for i in range(120)) >= 0.9 * 120
+    assert not any(got[1000 + i] for i in range(200))
+
+
+def test_short_items_are_not_found_in_unrelated_texts(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda n: " ".join(r.choices(words, [1 / (k + 3) for k in range(400)], k=n))
+    docs = spark.createDataFrame([(i, text(300)) for i in range(300)], "doc_id long, text string")
+    found = decontam.find_leaks(docs, spark.createDataFrame([(i, text(12)) for i in range(60)], "item_id long, text string"))
+    assert sum(len(x["item_ids"]) for x in found.collect()) <= 3
+
+
 def test_item_blocks_do_not_change_leaks(spark, monkeypatch):
     items = [(i, prose(900 + i, 30)) for i in range(6)]
     docs = spark.createDataFrame([(i, f"{prose(i, 60)} {t} {items[0][1]}") for i, t in items] + [(9, None)], "doc_id long, text string")
