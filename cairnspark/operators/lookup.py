@@ -66,9 +66,17 @@ def with_all_labels(labels: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return found.where(F.col("n") == n).select("entity_id")
 
 
-def chunks(rows: DataFrame, path_part: str | None = None, kind: str | None = None, least: int | None = None, limit: int | None = None) -> DataFrame:
-    """Chunks by optional predicates in order of file and place."""
+def chunks(
+    rows: DataFrame, path_part: str | None = None, kind: str | None = None, least: int | None = None, limit: int | None = None,
+    symbol: str | None = None, span: tuple[str, int, int] | None = None,
+) -> DataFrame:
+    """Chunks by optional predicates in order of file and place: a part of the path, kind, least size, the symbol's name, and the
+    span (file, byte_start, byte_end) that a chunk covers exactly."""
     wanted = []
+    if symbol is not None:
+        wanted.append(F.col("symbol_name") == symbol)
+    if span is not None:
+        wanted.append((F.col("file_path") == span[0]) & (F.col("byte_start") == span[1]) & (F.col("byte_end") == span[2]))
     if path_part is not None:
         wanted.append(F.col("file_path").contains(path_part))
     if kind is not None:

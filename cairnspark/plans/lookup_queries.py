@@ -156,7 +156,7 @@ def _(spark, d):
     return p.where(L.is_live(condition, ["PROMO", "SMALL"])).select(F.col("p_partkey").alias("id"))
 
 
-@query("p26_json_condition", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 90""")
+@query("x1_json_filter", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 90""")
 def _(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
     return read(spark, d, "events").select("event_id", k.alias("k")).where("k >= 90")

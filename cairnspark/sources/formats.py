@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.shell import shell_split, useful_flags
+
 
 def numbered_lines(files: DataFrame) -> DataFrame:
     """(file, n, line) of files (file, content)."""
@@ -28,20 +30,25 @@ def lcov(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def lsif_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Of an LSIF dump: the last package's name and the numbers of document and symbol vertices."""
+    """Of an LSIF dump: the last package's name and the numbers of document and symbol vertices. A dump without a package is an error
+    when the row is read."""
     rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("v", F.from_json("value", "type string, label string, name string"))
     rows = rows.where("v.type = 'vertex'")
-    return rows.agg(
-        F.max_by("v.name", F.when(F.col("v.label") == "package", F.col("n"))).alias("package"),
+    sums = rows.agg(
+        F.max_by("v.name", F.when(F.col("v.label") == "package", F.col("n"))).alias("package"), F.count_if(F.col("v.label") == "package").alias("packages"),
         F.count_if(F.col("v.label") == "document").alias("documents"), F.count_if(F.col("v.label") == "symbol").alias("symbols"),
     )
+    named = F.when(F.col("packages") > 0, F.col("package")).otherwise(F.raise_error(F.lit(f"no package in {path}")).cast("string"))
+    return sums.select(named.alias("package"), "documents", "symbols")
 
 
 def compile_flags(spark: SparkSession, path: str) -> DataFrame:
-    """(file, flags) of a compile_commands.json: include paths, defines and the language standard."""
+    """(file, flags) of a compile_commands.json: the flags that compile a file alone, of its arguments or its split command. A relative
+    file is below its entry's directory."""
     rows = spark.read.json(path, multiLine=True, schema="directory string, file string, command string, arguments array<string>")
-    words = F.coalesce("arguments", F.filter(F.split("command", r"\s+"), lambda x: x != ""))
-    return rows.select("file", F.filter(words, lambda x: x.rlike("^-(I|D|std=|isystem|include)")).alias("flags"))
+    words = F.coalesce("arguments", shell_split(F.col("command")))
+    whole = F.when(F.col("file").startswith("/") | F.col("directory").isNull(), F.col("file")).otherwise(F.concat(F.regexp_replace("directory", "/+$", ""), F.lit("/"), "file"))
+    return rows.select(whole.alias("file"), useful_flags(words).alias("flags"))
 
 
 def mir_blocks(lines: DataFrame) -> DataFrame:
@@ -59,14 +66,22 @@ def mir_blocks(lines: DataFrame) -> DataFrame:
 
 
 def llvm_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of LLVM IR text: blocks (file, function, label, terminator, targets) and calls (file, function, callee)."""
+    """Of LLVM IR text: blocks (file, function, label, terminator, targets) and calls (file, function, callee). A switch is conditional
+    whatever its cases, an invoke is a call with its two ways on as targets; both may spread over lines."""
     fn = F.nullif(F.regexp_extract("line", r'^define .*?@"?([\w.$]+)"?\(', 1), F.lit(""))
     label = F.nullif(F.regexp_extract("line", r"^([\w.$-]+):", 1), F.lit(""))
     named = lines.withColumn("function", _carried(lines, F.when(F.col("line").startswith("}"), F.lit("")).otherwise(fn)))
     named = named.withColumn("label", _carried(lines, F.when(fn.isNotNull(), "entry").otherwise(label))).where("function is not null and function <> ''")
-    op = F.regexp_extract("line", r"^\s+(ret|br|switch|unreachable|invoke)\b", 1)
-    ends = named.where(op != "").select("file", "function", "label", op.alias("op"), F.regexp_extract_all("line", F.lit(r'label %"?([\w.$-]+)'), 1).alias("targets"))
-    kind = F.when(F.col("op") == "ret", "return").when(F.col("op") == "unreachable", "unreachable").when(F.size("targets") > 1, "conditional").otherwise("fallthrough")
+    op = F.regexp_extract("line", r"^\s+(?:%[\w.$-]+ *= *)?(ret|br|switch|indirectbr|unreachable|invoke|resume)\b", 1)
+    # a terminator's targets may stand on the lines below it, up to the end of its block
+    began = _carried(named, F.when(F.col("label").isNotNull() & (op != ""), F.struct("label", op.alias("op"))))
+    marked = named.withColumn("began", began).where("began is not null and began.label = label")
+    ends = marked.groupBy("file", "function", "label").agg(F.max("began.op").alias("op"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    ends = ends.withColumn("targets", F.regexp_extract_all("text", F.lit(r'label %"?([\w.$-]+)'), 1))
+    kind = (
+        F.when(F.col("op").isin("ret", "resume"), "return").when(F.col("op") == "unreachable", "unreachable").when(F.col("op") == "invoke", "call")
+        .when(F.col("op").isin("switch", "indirectbr") | (F.size("targets") > 1), "conditional").otherwise("fallthrough")
+    )
     calls = named.select("file", "function", F.regexp_extract("line", r'\b(?:call|invoke)\b[^@]*@"?([\w.$]+)"?\(', 1).alias("callee")).where("callee <> ''")
     return ends.select("file", "function", "label", kind.alias("terminator"), "targets"), calls
 

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cairnspark.operators import context as C, paths as P
+from cairnspark.operators import context as C, paths as P, resolve as V
 from cairnspark.sources import rust as R
 
 
@@ -121,3 +121,25 @@ def test_rust_relations(spark, rows):
     )
     known = spark.createDataFrame([(3, "f", "S"), (2, "f", "S"), (5, "f", "T1"), (9, "other", "Send")], "id long, file string, name string")
     assert rows(R.implements(found, known)) == [(2, 5, "IMPLEMENTS")]
+
+
+def test_paths_resolve_in_stages(spark):
+    stored = [(1, "src/a.rs"), (2, "/w/lib/b.rs"), (3, "x/same.rs"), (4, "y/same.rs"), (5, "/here/c.rs"), (6, "./d//e.rs"), (7, "src/a.rs")]
+    asked = {
+        "src/a.rs": (1, 1), "lib/b.rs": (2, 2), "/w/src/a.rs": (1, 3), "c.rs": (5, 4), "/else/d/e.rs": (6, 5), "e.rs": (6, 5), "b.rs": (2, 5), "same.rs": None, "x/same.rs": (3, 1),
+        "d/../d/e.rs": (6, 1), "ame.rs": None, "": None, "/w": None, "/else/w/lib/b.rs": None, "a.rs": (1, 5),
+    }
+    found = V.resolve_paths(spark.createDataFrame(stored, "id long, path string"), spark.createDataFrame([(q,) for q in [*asked, None]], "query string"), "/w", "/here")
+    assert {r["query"]: (r["id"], r["stage"]) for r in found.collect()} == {q: v for q, v in asked.items() if v}
+    without = V.resolve_paths(spark.createDataFrame(stored, "id long, path string"), spark.createDataFrame([("lib/b.rs",)], "query string"))
+    assert [(r["id"], r["stage"]) for r in without.collect()] == [(2, 5)]
+
+
+def test_references_between_projects(spark, rows):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (4, 2, 0.7)], "a long, b long, cosine double")
+    known = spark.createDataFrame([(1, "p", "f"), (2, "q", "f"), (3, "r", "g"), (4, "r", "f")], "id long, project string, name string")
+    both = V.cross_references(pairs)
+    asked = spark.createDataFrame([(1,), (2,), (9,)], "symbol long")
+    assert rows(V.analogues(both, known, asked, limit=1)) == [(1, 2, "q", "f", 0.9, 1), (2, 1, "p", "f", 0.9, 1)]
+    assert rows(V.analogues(both, known, asked, project="r")) == [(1, 3, "r", "g", 0.8, 1), (2, 4, "r", "f", 0.7, 1)]
+    assert rows(V.compared_projects(both, known, "f", ["p", "q", "r"])) == [("p", 1, 2, 0.9), ("q", 2, 2, 0.9), ("r", 4, 2, 0.7)]

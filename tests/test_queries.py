@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from cairnspark.plans import graph_queries, lookup_queries, text_queries  # noqa: F401
-from cairnspark.plans import answer_queries, context_queries, path_queries, search_queries, source_queries, stream_queries  # noqa: F401
+from cairnspark.plans import answer_queries, context_queries, detail_queries, path_queries, search_queries, source_queries, stream_queries  # noqa: F401
 from cairnspark.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

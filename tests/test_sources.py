@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cairnspark.functions import text as X
@@ -54,6 +56,11 @@ def test_mir_and_llvm(spark, rows):
     ends, calls = R.llvm_facts(R.numbered_lines(spark.createDataFrame([("f", ir)], "file string, content string")))
     assert rows(ends) == [("f", "main", "a", "return", []), ("f", "main", "b", "unreachable", []), ("f", "main", "entry", "conditional", ["a", "b"])]
     assert rows(calls) == [("f", "main", "helper")]
+    ir = "define void @g() {\n  switch i32 %x, label %d [\n    i32 0, label %a\n    i32 1, label %b\n  ]\na:\n  %v = invoke i32 @may()\n    to label %b unwind label %e\nb:\n  br label %d\nd:\n  ret void\ne:\n  resume { i8* } %z\n}\n"
+    ends, calls = R.llvm_facts(R.numbered_lines(spark.createDataFrame([("f", ir)], "file string, content string")))
+    found = {r["label"]: (r["terminator"], r["targets"]) for r in ends.collect()}
+    assert found == {"entry": ("conditional", ["d", "a", "b"]), "a": ("call", ["b", "e"]), "b": ("fallthrough", ["d"]), "d": ("return", []), "e": ("return", [])}
+    assert rows(calls) == [("f", "g", "may")]
 
 
 def test_imports_lsif_flags(spark, rows, tmp_path):
@@ -64,8 +71,11 @@ def test_imports_lsif_flags(spark, rows, tmp_path):
     dump.write_text("\n".join(json.dumps(x) for x in ({"type": "vertex", "label": "package", "name": "p"}, {"type": "vertex", "label": "document"}, {"type": "edge", "label": "contains"})))
     assert rows(R.lsif_summary(spark, str(dump))) == [("p", 1, 0)]
     commands = tmp_path / "compile_commands.json"
-    commands.write_text(json.dumps([{"directory": "/", "file": "a.c", "command": "cc -Iinc -DX=1 -O2 -c a.c"}]))
-    assert rows(R.compile_flags(spark, str(commands))) == [("a.c", ["-Iinc", "-DX=1"])]
+    commands.write_text(json.dumps([{"directory": "/", "file": "a.c", "command": "cc -Iinc -DX=1 -I 'a b' -O2 -c a.c"}]))
+    assert rows(R.compile_flags(spark, str(commands))) == [("/a.c", ["-Iinc", "-DX=1", "-I", "a b"])]
+    dump.write_text(json.dumps({"type": "vertex", "label": "document"}))
+    with pytest.raises(Exception, match="no package"):
+        R.lsif_summary(spark, str(dump)).collect()
 
 
 def test_text_functions(spark):
