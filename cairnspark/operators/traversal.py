@@ -17,9 +17,11 @@ from ..plans.storage import drop_table, table
 HOPS = 4
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, depth) reached over edges (src, dst) from seeds (node), seeds at depth 0, by least number of hops up to `most`."""
-    steps = table(edges.select(F.col("src").alias("node"), "dst").distinct(), "steps")
+def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, stored: bool = False) -> DataFrame:
+    """(node, depth) reached over edges (src, dst) from seeds (node), seeds at depth 0, by least number of hops up to `most`. Edges are
+    written once for all rounds, unless they are `stored` already."""
+    steps = edges.select(F.col("src").alias("node"), "dst")
+    steps = steps if stored else table(steps.distinct(), "steps")
     frontier = table(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reached")
     known, depth = [frontier], 0
     while not frontier.isEmpty() and (most is None or depth < most):
@@ -33,20 +35,20 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
         depth += hops
         # what the last hop added is all that can lead on
         frontier = new.where(F.col("depth") == depth)
-    drop_table(steps)
+    if not stored:
+        drop_table(steps)
     return reduce(DataFrame.unionByName, known)
 
 
-
 def flipped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def dead(edges: DataFrame, entries: DataFrame) -> DataFrame:
+def dead(edges: DataFrame, entries: DataFrame, stored: bool = False) -> DataFrame:
     """Nodes of the call graph that no entry reaches: (node)."""
-    edges = table(edges, "calls")
+    edges = edges if stored else table(edges, "calls")
     universe = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return universe.join(reach(edges, entries).select("node"), "node", "left_anti")
+    return universe.join(reach(edges, entries, stored=True).select("node"), "node", "left_anti")
 
 
 def blast(edges: DataFrame, of_file: DataFrame, target: DataFrame) -> DataFrame:
@@ -82,14 +84,18 @@ def _trim(edges: DataFrame) -> DataFrame:
 
 
 def _colours(edges: DataFrame) -> DataFrame:
-    """(node, colour): the least node that reaches each node, itself included."""
-    edges = table(edges, "core-edges")
+    """(node, colour): the least node that reaches each node over stored edges, itself included."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     current = table(nodes.withColumn("colour", F.col("node")).withColumn("changed", F.lit(True)), "colours")
     while True:
-        # only a node whose colour changed can change others
-        moved = current.where("changed").select("node", "colour").join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
-        better = current.drop("changed").join(moved, "node", "left").withColumn("better", F.col("new") < F.col("colour"))
+        # only a node whose colour changed can change others; two hops are one table
+        moved = current.where("changed").select("node", "colour")
+        found = []
+        for _ in range(2):
+            moved = moved.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
+            found.append(moved)
+        new = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("colour").alias("new"))
+        better = current.drop("changed").join(new, "node", "left").withColumn("better", F.col("new") < F.col("colour"))
         following = table(better.select("node", F.least("colour", "new").alias("colour"), F.coalesce("better", F.lit(False)).alias("changed")), "colours")
         busy = not following.where("changed").isEmpty()
         drop_table(current)
@@ -110,7 +116,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         src, dst = colours.select(F.col("node").alias("src"), F.col("colour").alias("cs")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))
         inner = table(core.join(src, "src").join(dst, "dst").where("cs = cd").select("src", "dst"), "inner")
         seeds = colours.where("node = colour").select("node")
-        back = reach(flipped(inner), seeds).select("node").join(colours, "node")
+        back = reach(flipped(inner), seeds, stored=True).select("node").join(colours, "node")
         part = table(back.select("node", F.col("colour").alias("scc")), "components")
         found.append(part)
         gone = part.select("node")

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..operators import metrics as M, temporal as T, traversal as A
 from .catalog import query
 from .model import blocks, hops, read, sites, symbols, versions
+from .storage import table
 
 
 def _edges(spark, d):
@@ -17,9 +18,18 @@ def _node(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "node long")
 
 
+def _stored(spark, d):
+    """The edges as a table, for queries that read them several times, and its least caller as one row."""
+    e = table(_edges(spark, d), "calls")
+    return e, _first(e)
+
+
+def _first(edges):
+    return edges.agg(F.min("src").alias("node"))
+
+
 def _least(spark, d):
-    """The least caller of a graph, as a one-row table."""
-    return _edges(spark, d).agg(F.min("src").alias("node"))
+    return _first(_edges(spark, d))
 
 
 _START = "start AS (SELECT min(src) AS node FROM hop)"
@@ -29,20 +39,22 @@ _BACK = f"WITH RECURSIVE {_START}, r AS (SELECT node FROM start UNION SELECT h.s
 
 @query("a1_reachable", f"{_FORWARD} SELECT s.id, s.file_path, s.name FROM r JOIN sym s ON s.id = r.node WHERE r.node NOT IN (SELECT node FROM start)")
 def _(spark, d):
-    start = _least(spark, d)
-    found = A.reach(_edges(spark, d), start).where("depth > 0").select(F.col("node").alias("id"))
+    e, start = _stored(spark, d)
+    found = A.reach(e, start, stored=True).where("depth > 0").select(F.col("node").alias("id"))
     return symbols(spark, d).join(found, "id").select("id", "file_path", "name")
 
 
 @query("a2_reverse_reachable", f"{_BACK} SELECT s.id, s.file_path, s.name FROM r JOIN sym s ON s.id = r.node WHERE r.node NOT IN (SELECT node FROM start)")
 def _(spark, d):
-    found = A.reach(A.flipped(_edges(spark, d)), _least(spark, d)).where("depth > 0").select(F.col("node").alias("id"))
+    e, start = _stored(spark, d)
+    found = A.reach(A.flipped(e), start, stored=True).where("depth > 0").select(F.col("node").alias("id"))
     return symbols(spark, d).join(found, "id").select("id", "file_path", "name")
 
 
 @query("a3_dead_code", f"{_FORWARD} SELECT s.id, s.file_path, s.name, 'unreachable from the entry' AS reason FROM (SELECT src AS node FROM hop UNION SELECT dst FROM hop) u JOIN sym s ON s.id = u.node WHERE u.node NOT IN (SELECT node FROM r)")
 def dead_code(spark, d):
-    found = A.dead(_edges(spark, d), _least(spark, d)).select(F.col("node").alias("id"))
+    e, start = _stored(spark, d)
+    found = A.dead(e, start, stored=True).select(F.col("node").alias("id"))
     return symbols(spark, d).join(found, "id").select("id", "file_path", "name", F.lit("unreachable from the entry").alias("reason"))
 
 
@@ -110,9 +122,9 @@ def _(spark, d):
 
 @query("a10_slice_statistics", f"{_FORWARD}, b AS (SELECT node FROM start UNION SELECT h.src FROM b JOIN hop h ON h.dst = b.node) SELECT 'forward' AS direction, count(*) - 1 AS control_dependencies, CAST(0 AS BIGINT) AS data_dependencies FROM r UNION ALL SELECT 'backward', count(*) - 1, 0 FROM b")
 def _(spark, d):
-    e, start = _edges(spark, d), _least(spark, d)
-    one = A.reach(e, start).where("depth > 0").agg(F.lit("forward").alias("direction"), F.count("*").alias("control_dependencies"), F.lit(0).cast("long").alias("data_dependencies"))
-    two = A.reach(A.flipped(e), start).where("depth > 0").agg(F.lit("backward").alias("direction"), F.count("*").alias("control_dependencies"), F.lit(0).cast("long").alias("data_dependencies"))
+    e, start = _stored(spark, d)
+    one = A.reach(e, start, stored=True).where("depth > 0").agg(F.lit("forward").alias("direction"), F.count("*").alias("control_dependencies"), F.lit(0).cast("long").alias("data_dependencies"))
+    two = A.reach(A.flipped(e), start, stored=True).where("depth > 0").agg(F.lit("backward").alias("direction"), F.count("*").alias("control_dependencies"), F.lit(0).cast("long").alias("data_dependencies"))
     return one.unionByName(two)
 
 
