@@ -25,12 +25,13 @@ BLOCK_CLASSES, BLOCK_GRAMS = 2048, 1_500_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows per band with which `most` hashes find a pair at the threshold with the wanted chance."""
+    """(bands, rows): the most rows per band with which `most` hashes find a pair at the threshold with the wanted chance. It is an
+    error if no number of rows does."""
     for rows in range(most, 0, -1):
         bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
         if bands * rows <= most:
             return bands, rows
-    return most, 1
+    raise ValueError(f"{most} hashes can't find a pair at {threshold} with a chance of {recall}")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -126,6 +126,8 @@ def test_bands_reach_their_recall():
     for t, recall in ((0.8, 0.999), (0.5, 0.95), (0.9, 0.99)):
         bands, rows = neardup.choose_bands(t, recall)
         assert bands * rows <= neardup.MAX_HASHES and 1 - (1 - t**rows) ** bands >= recall
+    with pytest.raises(ValueError):
+        neardup.choose_bands(0.05, 0.999999)
 
 
 def test_leaks(spark, odd_docs, no_docs):
@@ -215,6 +217,26 @@ def test_pipeline_keeps_what_its_stages_keep(spark, tmp_path, odd_docs):
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "packing"]
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No documents at all; and nulls, empty texts, repeated rows, a long text and columns with the names that stages use inside."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, row string, text_hash long, kept_id long, grouped boolean, of_id long, rejected string"
+    rows = [(i, "\n".join(prose(10 * i + k, 40) for k in range(3)), "en", "s", "r", 1, 2, True, 3, "x") for i in range(8)]
+    rows += [(3, rows[3][1], "en", "s", "other", 1, 2, True, 3, "x"), (20, None, None, None, None, None, None, None, None, None), (21, "", "en", "s", "r", 1, 2, False, 3, "x")]
+    rows += [(22, prose(500, 120_000), "en", "s", "r", 1, 2, True, 3, "x")]
+    for name, found, kept in (("none", [], set()), ("odd", rows, {*range(8), 22})):
+        folder = tmp_path / name
+        spark.createDataFrame(found, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(0, prose(901, 40))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in cp.STAGES[:-1]:
+            docs = common.table(stage(spark, docs, str(folder)), "stage")
+            assert docs.columns == schema.replace(" long", "").replace(" string", "").replace(" boolean", "").split(", ")
+        assert {r["doc_id"] for r in docs.collect()} - {21} == kept
+        assert {r["doc_id"] for r in cp.run(spark, str(folder)).collect()} - {21} == kept
+
+
 def test_leaks_without_their_rarest_words(spark):
     # a paraphrase replaces the rare words (a quarter of an item) and keeps the rest in order
     r = random.Random(5)
