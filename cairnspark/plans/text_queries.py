@@ -102,7 +102,7 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.substring("text", 11, 40).alias("part"))
 
 
-_ASKED = "CASE turn % 8 WHEN 0 THEN 'Who calls ' WHEN 1 THEN 'callees of ' WHEN 2 THEN 'show CFG of ' WHEN 3 THEN 'blast-zone ' WHEN 4 THEN 'what breaks with ' WHEN 5 THEN 'most complex ' WHEN 6 THEN 'look for ' ELSE '' END || role || ' ' || substring(text, 1, 60)"
+_ASKED = "CASE turn % 8 WHEN 0 THEN 'Who calls ' WHEN 1 THEN 'callees of ' WHEN 2 THEN 'show CFG of ' WHEN 3 THEN 'blast-zone ' WHEN 4 THEN 'what breaks with ' WHEN 5 THEN 'most complex ' WHEN 6 THEN 'look for ' ELSE '' END || role || ' ' || text"
 
 
 def _intent_sql():
@@ -132,9 +132,9 @@ def _(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), stable.alias("stable"))
 
 
-@query("f4_line_of_offset", "SELECT doc_id, CAST(length(substring(text, 1, 200)) - length(replace(substring(text, 1, 200), chr(10), '')) + 1 AS BIGINT) AS line FROM documents")
+@query("f4_line_of_offset", "SELECT doc_id, CAST(length(substring(text, 1, length(text) * 2 // 3)) - length(replace(substring(text, 1, length(text) * 2 // 3), chr(10), '')) + 1 AS BIGINT) AS line FROM documents")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", X.line_of(F.col("text"), F.lit(200)).cast("long").alias("line"))
+    return read(spark, d, "documents").select("doc_id", X.line_of(F.col("text"), F.expr("cast(length(text) * 2 div 3 as int)")).cast("long").alias("line"))
 
 
 @query(
@@ -158,7 +158,7 @@ def _(spark, d):
 
 @query("f5_hashed_embedding")
 def _(spark, d):
-    return S.hashed_embedding(read(spark, d, "benchmark"), "item_id", "text")
+    return S.hashed_embedding(read(spark, d, "documents"), "doc_id", "text")
 
 
 @query("f7_embed_text", "SELECT p_partkey AS id, p_type || chr(10) || p_name || chr(10) || p_brand || chr(10) || repeat('x', least(p_size * 100, 1024)) AS text FROM part")

@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
 Each stage works on all that its predecessor kept and takes (spark, docs, sf_dir); all but the last return the columns of
-documents.
+documents, whatever further columns there are and however they are named. A text of any length is read whole by one task, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,17 +14,21 @@ from cairnspark.llm.common import bounded_batches, small, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification doesn't reject; it learns from the languages that documents have."""
+    """Documents that language identification doesn't reject; it learns from the languages that documents have. Null texts and texts
+    without a letter go; repeated rows are judged one by one and so stay or go together; a null lang only means not to learn from it."""
     bounded_batches(spark)
     judged = langid.identify(docs, langid.train(docs), carry=True)
     return judged.where(~F.col("rejected")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stay elsewhere; a document all of whose lines do goes."""
+    """Documents without the lines that stay elsewhere; a document all of whose lines do goes. Documents without lines that aren't
+    blank stay as they are, null and empty ones too; of repeated rows one keeps its lines. n_chars, if there, is counted anew."""
     bounded_batches(spark)
     left = lines.deduped(docs).where((F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines")))
-    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return left.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
@@ -46,7 +51,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaked."""
+    """Documents into which no benchmark item leaked. Null and empty texts have no leak and stay; rows with one id and text go together,
+    also where the id is null; without items all stay."""
     bounded_batches(spark)
     leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("item_ids") > 0)
     leaks = table(leaks.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).distinct(), "leaks")
@@ -56,7 +62,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left as pieces of training sequences."""
+    """The documents that are left as pieces of training sequences; a null text counts as empty, and each row is a document."""
     bounded_batches(spark)
     import public_tokenizers
 
