@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import content as C
 from ..operators import answers as A
 from .catalog import query
-from .model import hops, read, symbols
+from .model import blocks, hops, read, symbols
 
 
 def _named(spark, d):
@@ -80,3 +81,44 @@ def _(spark, d):
     day = F.dayofyear("ts").cast("long").alias("snapshot_id")
     files = read(spark, d, "events").groupBy(day, F.col("user_id").cast("string").alias("path")).agg(F.md5(F.max("event_type")).alias("hash"))
     return A.swept(files, files.select("snapshot_id").where("snapshot_id % 3 <> 1"))
+
+
+@query(
+    "v5_all_routes",
+    """WITH RECURSIVE q AS (SELECT s_suppkey AS ask, s_suppkey % 9 AS k FROM supplier), top AS (SELECT id FROM sym ORDER BY size DESC, id LIMIT 5),
+      up AS (SELECT ask, ask AS id, 0 AS d FROM q WHERE k = 5 UNION SELECT ask, h.src, d + 1 FROM up JOIN hop h ON h.dst = id WHERE d < 2), down AS (SELECT ask, ask AS id, 0 AS d FROM q WHERE k = 6 UNION SELECT ask, h.dst, d + 1 FROM down JOIN hop h ON h.src = id WHERE d < 2),
+      r AS (SELECT min(src) AS node FROM hop WHERE src IN (SELECT dst FROM hop)), f AS (SELECT node FROM r UNION SELECT h.dst FROM f JOIN hop h ON h.src = node), b AS (SELECT node FROM r UNION SELECT h.src FROM b JOIN hop h ON h.dst = node),
+      t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS t FROM documents),
+      w AS (SELECT doc_id, CAST(len(list_filter(t, lambda x: x = 'the')) AS DOUBLE) AS tf, len(t) AS l, (SELECT avg(len(t)) FROM t) AS m FROM t),
+      s AS (SELECT doc_id FROM w WHERE tf > 0 ORDER BY round(-greatest(ln(((SELECT count(*) FROM w) - (SELECT count(*) FROM w WHERE tf > 0) + 0.5) / ((SELECT count(*) FROM w WHERE tf > 0) + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)), 6), doc_id LIMIT 5)
+      SELECT ask, 'find' AS intent, ask AS answer FROM q JOIN sym ON id = ask WHERE k = 0 UNION ALL SELECT ask, 'callers', src FROM q JOIN hop ON dst = ask WHERE k = 1 UNION ALL SELECT ask, 'callees', dst FROM q JOIN hop ON src = ask WHERE k = 2
+      UNION ALL SELECT ask, 'cfg', CAST(turn AS BIGINT) FROM q JOIN conversations ON conv_id = ask JOIN sym ON id = ask WHERE k = 3 UNION ALL SELECT ask, 'complex', id FROM q, top WHERE k = 4 UNION ALL SELECT DISTINCT ask, 'impact', id FROM up WHERE id <> ask
+      UNION ALL SELECT DISTINCT ask, 'blast_zone', id FROM down WHERE id <> ask UNION ALL SELECT ask, 'cycles', (SELECT min(node) FROM f WHERE node IN (SELECT node FROM b)) FROM q WHERE k = 7 UNION ALL SELECT ask, 'search', doc_id FROM q, s WHERE k = 8""",
+)
+def _(spark, d):
+    name, kind = F.concat(F.lit("part_"), F.col("s_suppkey").cast("string")), F.col("s_suppkey") % 9
+    asked = {0: "where is '", 1: "Who calls '", 2: "callees of '", 3: "show CFG of '", 5: "what breaks with '", 6: "blast-zone of '"}
+    question = F.when(kind == 4, "show the most complex functions").when(kind == 7, "which circular calls are there").when(kind == 8, "look for 'the'")
+    for k, text in asked.items():
+        question = question.when(kind == k, F.concat(F.lit(text), name, F.lit("'")))
+    questions = read(spark, d, "supplier").select(F.col("s_suppkey").alias("ask"), question.alias("question"))
+    texts = C.load(spark, C.build(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
+    return A.routed(questions, A.standard(_named(spark, d), _calls(spark, d), blocks(spark, d), texts, depth=2))
+
+
+@query(
+    "s23_catalog",
+    """WITH e AS (SELECT file_path AS project, kind, count(*) AS n FROM sym GROUP BY 1, 2), g AS (SELECT s.file_path AS project, s.kind, count(*) AS n FROM hop JOIN sym s ON s.id = src WHERE s.size % 2 = 0 GROUP BY 1, 2),
+      c AS (SELECT DISTINCT file_path AS project FROM sym WHERE price > 1900), p AS (SELECT DISTINCT file_path AS project FROM sym UNION SELECT 'none'),
+      es AS (SELECT project, sum(n) AS n, string_agg(kind || '=' || n, ',' ORDER BY n DESC, kind) AS k FROM e GROUP BY 1), gs AS (SELECT project, sum(n) AS n, string_agg(kind || '=' || n, ',' ORDER BY n DESC, kind) AS k FROM g GROUP BY 1)
+      SELECT p.project, concat_ws(',', CASE WHEN c.project IS NOT NULL THEN 'code_chunks' END, CASE WHEN gs.n > 0 THEN 'graph_edges' END, CASE WHEN es.n > 0 THEN 'graph_entities' END) AS tables, CAST(coalesce(es.n, 0) AS BIGINT) AS entities, CAST(coalesce(gs.n, 0) AS BIGINT) AS edges,
+      coalesce(es.k, '') AS entity_kinds, coalesce(gs.k, '') AS edge_kinds, concat_ws(',', CASE WHEN es.n > 0 AND gs.n > 0 THEN 'find,refs,calls,navigate,context' END, CASE WHEN c.project IS NOT NULL THEN 'chunks,slice' END) AS capabilities
+      FROM p LEFT JOIN es USING (project) LEFT JOIN gs USING (project) LEFT JOIN c ON c.project = p.project""",
+)
+def _(spark, d):
+    s = symbols(spark, d).withColumnRenamed("file_path", "project")
+    edges = _calls(spark, d).join(s.where("size % 2 = 0").select(F.col("id").alias("src"), "project", "kind"), "src")
+    registered = s.select("project").distinct().unionByName(spark.createDataFrame([("none",)], "project string"))
+    found = A.catalogued(registered, {"graph_entities": s, "graph_edges": edges, "code_chunks": s.where("price > 1900")})
+    listed = [F.array_join(c, ",").alias(c) for c in ("tables", "entity_kinds", "edge_kinds", "capabilities")]
+    return found.select("project", "entities", "edges", *listed)
