@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import shared_path, table, text_slices
@@ -31,8 +31,8 @@ from .tokens import encoder as open_encoder
 MAGIC = b"CSST0001"
 FOOTER = struct.Struct("<6QI8s")
 BLOCK_BYTES, BITS_PER_KEY, END_ID = 128 << 10, 10, 2
-#: Bytes of text for each shard.
-SHARD_BYTES = 16 << 20
+#: Least bytes of text for each shard, and most shards; beyond their product shards grow with the input.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 15
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -223,13 +223,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
 
     A null or empty text is its end id alone, a null id sorts first, repeated ids stay apart (ordered by a hash of the text),
     other columns are not looked at; an empty table gives no shard; a long text is one entry, whole. A shard holds about
-    SHARD_BYTES of text. A task writes a file of its own name and only files of
+    SHARD_BYTES of text, or an even part of all of it where that would make more than MOST_SHARDS. A task writes a file of its own name and only files of
     finished tasks are in the manifest, so a task that runs twice does no harm.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "shards")
     if shards is None:
-        shards = -(-(docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // SHARD_BYTES) or 1
+        shards = min(MOST_SHARDS, -(-(docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // SHARD_BYTES) or 1)
     ordered = (
         docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
         .repartitionByRange(shards, "doc_id", "tie")
@@ -242,14 +242,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """All documents of the shards in a manifest: doc_id, start (ids of all documents before it), ids (u32 bytes).
 
-    The driver holds one row per shard, as it does for the files of any table.
+    Where a shard begins is a running sum over the manifest's rows, of which there are MOST_SHARDS at most; the shards are then
+    dealt out to as many tasks.
     """
-    rows, before = [], 0
-    for r in sorted(manifest.select("shard", "uri", "n_tokens").collect()):
-        rows.append((r["uri"], before))
-        before += r["n_tokens"]
-    schema = "uri string, before long"
-    listed = spark.createDataFrame(rows, schema) if rows else spark.createDataFrame([], schema)
+    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    listed = manifest.select("uri", F.coalesce(before, F.lit(0)).alias("before")).repartition(max(1, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.binary())
@@ -265,7 +262,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if out:
                     yield _batch(out, kinds)
 
-    return listed.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, ids binary")
+    return listed.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def _batch(rows: list[tuple], kinds: tuple) -> pa.RecordBatch:
