@@ -166,6 +166,7 @@ def identify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataF
     A text that is null or has no letter is 'und' with score 0 and rejected, and so is every text when there is no model.
     Otherwise lang_pred is the language of the nearest centroid (the first of equals), and `rejected` says that the text has
     LEAST_NGRAMS or more and is farther from it than the centroid's limit at its length. Repeated rows are judged one by one; other columns are not looked at.
+    A text of any length counts whole, in one task; an empty table gives no rows.
     """
 
     named_by = "row" if carry else "doc_id"

@@ -203,7 +203,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text and any other columns) with one line per component, and n_lines and n_dropped before `text` changes.
 
     Two lines are linked when the Jaccard similarity of their sets of 10-character shingles is `threshold` or more; equal lines
-    are. Of each component the line stays that is first by doc_id (nulls first), then by a hash of the text, then by place. Blank lines
+    are. A character is a unit of UTF-16, so one from U+10000 on counts as two, and a shingle may begin or end inside it. Of each component the line stays that is first by doc_id (nulls first), then by a hash of the text, then by place. Blank lines
     always stay, and so do nulls: a null text stays null, an empty one empty. Rows with the same doc_id and text are one
     document and are all treated alike; other rows with the same doc_id are documents of their own. Long lines and texts are taken
     whole. An empty table gives no rows. The result has the columns of docs with the new text, and _n_lines (lines

@@ -134,8 +134,9 @@ def pack(
     """Pack docs (doc_id, text) into sequences of at most `window` tokens; one row per piece.
 
     Columns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty text is a document of its end
-    id alone; repeated rows are packed one by one; other columns are not looked at. An empty table gives no rows. `window`
-    must be a power of two.
+    id alone; repeated rows are packed one by one; other columns are not looked at. An empty table gives no rows. A text of
+    any length is cut by one task; of pieces of one length, which is placed where goes by their order. `window` must be a power
+    of two.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")

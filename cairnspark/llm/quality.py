@@ -101,7 +101,8 @@ def score(
 
     Rows for which `held_out` (a column over doc_id) is true never train. Null and empty texts have statistics of zero and a
     score like any other; an id with several labels counts with the largest; null labels and ids train nothing; without any
-    label every score is the constant 0.5. Other columns of docs are not looked at.
+    label every score is the constant 0.5. A text of any length is counted whole by one task, repeated rows are scored one by
+    one, and an empty table gives no rows. Other columns of docs are not looked at.
     """
     held = F.lit(False) if held_out is None else held_out
     stats = table(docs.select("doc_id", "text").mapInArrow(_statistics, "doc_id long, x array<float>"), "statistics")

@@ -168,6 +168,8 @@ def judge(docs: DataFrame, refs: References | None = None, most: tuple[float, fl
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, and
     either shorter than the guard, without references, or within `most` (see MOST_DISTANCE) of the nearest language in both distances. A null or empty text has no words and fails; repeated rows are judged one by one; other columns don't matter.
+    A text of any length counts whole, in one task; of languages that are equally near the first by name counts; an empty table
+    gives no rows. With `least_words` at base_failed's 50 the guard saves no text; a greater one does.
     """
     measured = measure(docs, references(docs) if refs is None else refs, most[1])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
