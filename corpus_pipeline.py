@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stay elsewhere; a document all of whose lines do goes. Documents without lines that aren't
-    blank stay as they are, null and empty ones too; of repeated rows one keeps its lines. n_chars, if there, is counted anew."""
+    blank stay as they are, null and empty ones too; rows with one id and text are treated alike. n_chars, if there, is counted anew."""
     bounded_batches(spark)
     left = lines.deduped(docs).where((F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     changed = {"text": F.col("text")}
