@@ -27,6 +27,14 @@ def bounded_batches(spark: SparkSession, rows: int = 3000, size: str = "16m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Between the steps of a long job: drop the driver's garbage, in Python and in the JVM, so that its heap shrinks and Spark's
+    cleaner removes the broadcasts and shuffle files of plans that are gone."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text, for splits that must be the same everywhere; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

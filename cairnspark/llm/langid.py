@@ -149,14 +149,17 @@ def train(docs: DataFrame, held_out: Column | None = None, max_rows: int = MAX_T
     for lang, n in sizes.items():
         keep |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, share / n) * (1 << 30)))
     rows = known.where(keep).mapInArrow(_count, "doc_id long, lang string, x binary").toArrow().combine_chunks()
-    flat = b"".join(x.as_buffer() for x in rows.column("x"))
-    counts = np.frombuffer(flat, dtype=np.uint16).reshape(-1, WIDTH)
     # the same order however Spark dealt the rows
     ids = np.asarray(pc.fill_null(rows.column("doc_id"), -(1 << 63)))
-    order = np.lexsort((np.array([zlib.crc32(x) for x in counts], dtype=np.int64), ids))
-    languages = [rows.column("lang")[int(i)].as_py() for i in order]
+    order = np.lexsort((np.array([zlib.crc32(x.as_buffer()) for x in rows.column("x")], dtype=np.int64), ids))
+    # one copy of the sample beside Arrow's: it is the largest thing on the driver
+    counts, languages = np.empty((len(order), WIDTH), dtype=np.float32), []
+    for at, i in enumerate(order.tolist()):
+        counts[at] = np.frombuffer(rows.column("x")[i].as_buffer(), dtype=np.uint16)
+        languages.append(rows.column("lang")[i].as_py())
     del rows
-    return fit(languages, counts[order].astype(np.float32))
+    pa.default_memory_pool().release_unused()
+    return fit(languages, counts)
 
 
 def identify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFrame:
