@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.joins import cosine
 from .text import tokens
+from .vectors import nearest_of_all
 
 
 def prefix_hits(symbols: DataFrame, prefix: str, k: int) -> DataFrame:
@@ -43,15 +43,10 @@ def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest of each query (qid, qvec) among vectors (id, vec) by cosine: qid, id, similarity, rank.
-
-    A query's best k are kept per salted part first, so no task ranks the whole table for a query; queries are a stated set.
-    """
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("qid", "id", F.round(cosine(F.col("vec"), F.col("qvec")), 6).alias("similarity"), F.pmod(F.hash("id"), F.lit(32)).alias("part"))
-    inner = Window.partitionBy("qid", "part").orderBy(F.desc("similarity"), "id")
-    some = pairs.withColumn("_n", F.row_number().over(inner)).where(F.col("_n") <= k)
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
-    return some.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "id", "similarity", "rank")
+    """Exact k nearest of each query (qid, qvec) among vectors (id, vec) by cosine rounded to six places, ties by id: qid, id,
+    similarity, rank. Both sides are cut into parts that meet as products of matrices, so neither is sent around whole; queries
+    are a stated set. A stored index (functions.vectors) reads less."""
+    return nearest_of_all(vectors, queries, k)
 
 
 def hashed_embedding(rows: DataFrame, ident: str, text: str, dimension: int = 128) -> DataFrame:

@@ -176,6 +176,16 @@ def nearest(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     return found.select("qid", "id", "similarity", "rank")
 
 
+def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The same without an index: every vector (id, vec) meets every query (qid, qvec) in products of matrices. A zero vector has
+    similarity 0; null ones are left out."""
+    rows = vectors.where("vec is not null").select(F.lit(0).cast("long").alias("cell"), "id", F.col("vec").cast("array<double>").alias("vec"))
+    whole = VectorIndex(rows, np.zeros((1, 1)), np.zeros(1), np.array([rows.count()]), 1)
+    ids = {n: t.dataType.simpleString() for n, t in (("qid", queries.schema["qid"]), ("id", vectors.schema["id"]))}
+    asked = queries.where("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("qvec"), F.lit(0).cast("long").alias("cell"))
+    return _scored(whole, asked, k, f"qid {ids['qid']}, id {ids['id']}, similarity double").select("qid", "id", "similarity", "rank")
+
+
 def projection_shape(threshold: float, recall: float, bits: int) -> int:
     """Tables of `bits` random signs each with which vectors at the threshold share a bucket with the wanted recall."""
     same = (1 - acos(threshold) / pi) ** bits

@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnspark.llm import decontam, langid, lines, neardup, packing
-from cairnspark.llm.common import bounded_batches, small, table
+from cairnspark.llm.common import bounded_batches, let_go, small, table
+
+
+def _begin(spark: SparkSession) -> None:
+    bounded_batches(spark)
+    let_go(spark)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification doesn't reject; it learns from the languages that documents have. Null texts and texts
     without a letter go; repeated rows are judged one by one and so stay or go together; a null lang only means not to learn from it."""
-    bounded_batches(spark)
+    _begin(spark)
     judged = langid.identify(docs, langid.train(docs), carry=True)
     return judged.where(~F.col("rejected")).select("row.*")
 
@@ -24,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stay elsewhere; a document all of whose lines do goes. Documents without lines that aren't
     blank stay as they are, null and empty ones too; rows with one id and text are treated alike. n_chars, if there, is counted anew."""
-    bounded_batches(spark)
+    _begin(spark)
     left = lines.deduped(docs).where((F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
@@ -37,7 +42,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with that id and text the one with the least hash of its other columns stays. Documents without words all stay.
     """
-    bounded_batches(spark)
+    _begin(spark)
     found = neardup.join(docs, keep_root=True)
     first = F.min(F.struct(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))).alias("of")
     kept = table(found.where("root is not null").groupBy("root").agg(first).select("of.*", F.lit(True).alias("grouped")), "kept")
@@ -53,7 +58,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaked. Null and empty texts have no leak and stay; rows with one id and text go together,
     also where the id is null; without items all stay."""
-    bounded_batches(spark)
+    _begin(spark)
     leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("item_ids") > 0)
     leaks = table(leaks.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).distinct(), "leaks")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
@@ -63,7 +68,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left as pieces of training sequences; a null text counts as empty, and each row is a document."""
-    bounded_batches(spark)
+    _begin(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
