@@ -14,7 +14,7 @@ from ..operators.joins import upsert
 MUTATIONS = ("create", "modify", "remove", "any", "other")
 
 
-def event_files(spark: SparkSession, folder: str, schema: str, files: int | None = 1000, size: str | None = None) -> DataFrame:
+def event_files(spark: SparkSession, folder: str, schema: str, files: int = 1000, size: int | None = None) -> DataFrame:
     """A stream of the event files (JSON lines) of a folder: those that are there come first, in micro-batches of at most `files`
     files, or of about `size` bytes if given, then what arrives."""
     bound = ("maxBytesPerTrigger", size) if size else ("maxFilesPerTrigger", files)

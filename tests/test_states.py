@@ -52,7 +52,7 @@ def test_reconciliation_and_rings_over_restarts(spark, place):
         arrive(f"{i}.json", [{"path": p, "seq": s, "hash": h} for p, s, h in looks[3 * i : 3 * i + 3]][::-1])
         files = W.event_files(spark, str(folder / "in"), "path string, seq long, hash string")
         S.written(S.reconciled_live(files), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-        events = W.event_files(spark, str(folder / "in"), "path string, seq long, hash string", size="1m").selectExpr("path as key", "seq", "coalesce(hash, '-') as event")
+        events = W.event_files(spark, str(folder / "in"), "path string, seq long, hash string", size=1 << 20).selectExpr("path as key", "seq", "coalesce(hash, '-') as event")
         S.written(S.last_events(events, 3), f"{folder}/rings", f"{folder}/ring-checkpoint").awaitTermination()
     found = {(r["path"], r["seq"]): r["outcome"] for r in spark.read.parquet(f"{folder}/rows").collect()}
     assert found == {
