@@ -53,11 +53,16 @@ def resolve_qualified(names: DataFrame, symbols: DataFrame, separator: str = "::
     cut = F.regexp_replace("wanted", f"^((crate|super|self){separator})+", "")
     last = F.element_at(F.split("wanted", separator), -1)
     asked = names.select(F.col("name").alias("wanted"), F.col("file").alias("from_file"))
-    keyed = asked.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), k.alias("key")) for i, k in enumerate((F.col("wanted"), cut, last))))).alias("k"))
-    by_key = symbols.select("id", F.col("file").alias("to_file"), F.explode(F.array(*(F.struct(F.col(c).alias("key"), F.lit(c == "fqn").alias("full")) for c in ("fqn", "name")))).alias("s"))
-    found = keyed.join(by_key, F.col("k.key") == F.col("s.key")).where("s.full or k.rank = 2")
-    chosen = first_by(found, ["wanted", "from_file"], [F.col("k.rank"), F.when(F.col("to_file") == F.col("from_file"), 0).otherwise(1), F.col("id")])
-    return chosen.select(F.col("wanted").alias("name"), F.col("from_file").alias("file"), F.col("id").alias("target"))
+    tried = ((0, F.col("wanted"), True), (1, cut, True), (2, last, True), (2, last, False))
+    keyed = asked.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), k.alias("key"), F.lit(full).alias("full")) for i, k, full in tried))).alias("k")).select("wanted", "from_file", "k.*")
+    by_key = symbols.select("id", F.col("file").alias("from_file"), F.explode(F.array(*(F.struct(F.col(c).alias("key"), F.lit(c == "fqn").alias("full")) for c in ("fqn", "name")))).alias("s"))
+    # one row per key and file, and one per key: a name that many ask for and many have is no product of the two
+    local = by_key.groupBy("s.key", "s.full", "from_file").agg(F.min("id").alias("local_id"))
+    anywhere = by_key.groupBy("s.key", "s.full").agg(F.min("id").alias("any_id"))
+    found = keyed.join(anywhere, ["key", "full"]).join(local, ["key", "full", "from_file"], "left")
+    best = F.struct("rank", F.col("local_id").isNull().alias("far"), F.coalesce("local_id", "any_id").alias("id"))
+    chosen = found.groupBy("wanted", "from_file").agg(F.min(best).alias("best"))
+    return chosen.select(F.col("wanted").alias("name"), F.col("from_file").alias("file"), F.col("best.id").alias("target"))
 
 
 def call_pairs(edges: DataFrame) -> DataFrame:
