@@ -24,7 +24,11 @@ _ASKED = f"""d AS (SELECT doc_id AS id, {_TOKENS.format("coalesce(text, '')")} A
 def _asked(spark, d):
     t = C.index_tokens(F.col("text"))
     at = lambda i: F.element_at(t, i)
-    one = F.struct((F.col("item_id") * 2).alias("qid"), F.concat(F.lit('"'), F.upper(at(1)), F.lit(", "), at(2), F.lit('" '), at(4)).alias("query"))
+    # capitals ask for the same word where they lead back to it; those of ß are SS. Spark takes lower(upper(x)) for lower(x), so a
+    # space is put between the two
+    back = F.lower(F.concat(F.upper(at(1)), F.lit(" ")))
+    capitals = F.when(back == F.concat(at(1), F.lit(" ")), F.upper(at(1))).otherwise(at(1))
+    one = F.struct((F.col("item_id") * 2).alias("qid"), F.concat(F.lit('"'), capitals, F.lit(", "), at(2), F.lit('" '), at(4)).alias("query"))
     two = F.struct((F.col("item_id") * 2 + 1).alias("qid"), F.concat_ws(" ", at(3), at(1)).alias("query"))
     return read(spark, d, "benchmark").select(F.explode(F.array(one, two)).alias("q")).select("q.*")
 

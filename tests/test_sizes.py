@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnspark.operators import joins as J
+from cairnspark.plans import search_queries as Q
 
 
 def most_rows(df):
@@ -32,3 +33,12 @@ def test_qualified_names_that_many_ask_for_and_many_have(spark):
     assert {(r["file"], r["target"]) for r in found.collect()} == {(f"f{i}", i if i < 7 else 0) for i in range(9)}
     mixed = spark.createDataFrame([("super::f3::new", None), ("crate::new", "f5"), ("f2::new", "f1"), ("none", "f1")], "name string, file string")
     assert {tuple(r) for r in J.resolve_qualified(mixed, symbols).collect()} == {("super::f3::new", None, 3), ("crate::new", "f5", 5), ("f2::new", "f1", 2)}
+
+
+def test_asked_words_with_sharp_s(spark, tmp_path):
+    rows = [(1, "Erßie entech x y"), (2, "Ab entech x y")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "erßie entech y"), (8, "ab entech y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = {r["qid"]: r["query"] for r in Q._asked(spark, str(tmp_path)).collect()}
+    assert asked[2] == '"erßie, entech" y' and asked[4] == '"AB, entech" y'
+    assert {(r["qid"], r["id"]) for r in Q._hits(spark, str(tmp_path)).collect()} >= {(2, 7), (4, 8)}
