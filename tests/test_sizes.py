@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnspark.functions import content as C
 from cairnspark.operators import joins as J
 from cairnspark.plans import search_queries as Q
 
@@ -35,6 +36,13 @@ def test_qualified_names_that_many_ask_for_and_many_have(spark):
     assert {tuple(r) for r in J.resolve_qualified(mixed, symbols).collect()} == {("super::f3::new", None, 3), ("crate::new", "f5", 5), ("f2::new", "f1", 2)}
 
 
+def test_equal_questions_are_searched_once(spark):
+    index = C.load(spark, C.build(spark.range(400).select("id", F.lit("the code").alias("text"))))
+    found = C.search(index, spark.range(300).select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, "the code").otherwise("CODE, the").alias("query")), 2)
+    assert most_rows(found) <= 2000
+    assert {tuple(r)[:3] for r in found.collect()} == {(q, i, i + 1) for q in range(300) for i in range(2)}
+
+
 def test_asked_words_with_sharp_s(spark, tmp_path):
     rows = [(1, "Erßie entech x y"), (2, "Ab entech x y")]
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
