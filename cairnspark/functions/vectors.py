@@ -186,6 +186,27 @@ def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _scored(whole, asked, k, f"qid {ids['qid']}, id {ids['id']}, similarity double").select("qid", "id", "similarity", "rank")
 
 
+def similar_to(vectors: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cosine) of the asked vectors (id) and all vectors (id, part, vec) of other parts with a cosine at or over the threshold,
+    exact; ids unique. Both are cut into parts of about PART, and a part of each is one product of matrices, so with few asked the
+    vectors are read once. Zero and null vectors are similar to none."""
+    rows = vectors.where("part is not null and vec is not null and exists(vec, x -> x <> 0)").select("id", "part", "vec")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "part")}
+    queries = table(rows.join(asked.select("id").distinct(), "id", "left_semi"), "asked-vectors")
+    n_rows, n_asked = (max(1, -(-x.count() // PART)) for x in (rows, queries))
+    dealt = lambda x, n, other, m, at: x.withColumn(at, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = dealt(queries, n_asked, "two", n_rows, "one"), dealt(rows, n_rows, "one", n_asked, "two")
+
+    def run(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(others):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+        near = _units(some["vec"]) @ _units(others["vec"]).T
+        i, j = np.nonzero((near >= threshold) & (some["part"].to_numpy()[:, None] != others["part"].to_numpy()[None, :]))
+        return pd.DataFrame({"a": some["id"].to_numpy()[i], "b": others["id"].to_numpy()[j], "cosine": near[i, j]})
+
+    return left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInPandas(run, f"a {kinds['id']}, b {kinds['id']}, cosine double")
+
+
 def projection_shape(threshold: float, recall: float, bits: int) -> int:
     """Tables of `bits` random signs each with which vectors at the threshold share a bucket with the wanted recall."""
     same = (1 - acos(threshold) / pi) ** bits

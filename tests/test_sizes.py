@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnspark.functions import content as C
+from cairnspark.functions import content as C, vectors as V
 from cairnspark.operators import joins as J
 from cairnspark.plans import search_queries as Q
 
@@ -50,3 +50,9 @@ def test_asked_words_with_sharp_s(spark, tmp_path):
     asked = {r["qid"]: r["query"] for r in Q._asked(spark, str(tmp_path)).collect()}
     assert asked[2] == '"erßie, entech" y' and asked[4] == '"AB, entech" y'
     assert {(r["qid"], r["id"]) for r in Q._hits(spark, str(tmp_path)).collect()} >= {(2, 7), (4, 8)}
+
+
+def test_references_of_the_asked_only(spark):
+    rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 1, [1.0, 0.1]), (3, 1, [0.0, 1.0]), (4, 0, [1.0, 0.0]), (5, None, [1.0, 0.0]), (6, 2, None), (7, 2, [0.0, 0.0])], "id long, part int, vec array<float>")
+    found = {(r["a"], r["b"]) for r in V.similar_to(rows, spark.createDataFrame([(1,), (3,), (7,)], "id long"), 0.05).collect()}
+    assert found == {(1, 2)}
