@@ -32,8 +32,9 @@ def statements(files: DataFrame) -> DataFrame:
     )
 
 
-def impl_relations(files: DataFrame) -> DataFrame:
+def impl_relations(files: DataFrame, modules: bool = True) -> DataFrame:
     """(file, line, module, type_name, trait_name) of every impl in Rust files (file, content), trait_name null for inherent ones.
+    Without `modules` there is no module, and where blocks begin and end isn't looked at.
 
     Generic parameters, bounds and attributes are left out of names. module is the path of the mod blocks around, joined by ::, empty
     outside all. What stands in comments and strings is no impl.
@@ -49,6 +50,8 @@ def impl_relations(files: DataFrame) -> DataFrame:
     impls = impls.select(
         "file", "at", "line", F.trim(F.element_at(two, -1)).alias("type_name"), F.when(F.size(two) > 1, F.trim(F.regexp_replace(F.get(two, F.lit(0)), "^!", ""))).alias("trait_name")
     )
+    if not modules:
+        return impls.select("file", "line", "type_name", "trait_name")
     mods = heads.where(F.col("head").rlike(r"\bmod \w+$")).select("file", F.col("at").alias("begin"), F.col("depth").alias("level"), F.regexp_extract("head", r"\bmod (\w+)$", 1).alias("name"))
     closing = found.where("mark = '}'").select("file", F.col("at").alias("close"), (F.col("depth") - 1).alias("level"))
     ends = mods.join(closing, ["file", "level"]).where("close > begin").groupBy("file", "begin", "level", "name").agg(F.min("close").alias("end"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairnspark.functions import content as C, vectors as V
 from cairnspark.operators import joins as J
 from cairnspark.plans import search_queries as Q
+from cairnspark.sources import rust as R
 
 
 def most_rows(df):
@@ -56,3 +57,9 @@ def test_references_of_the_asked_only(spark):
     rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 1, [1.0, 0.1]), (3, 1, [0.0, 1.0]), (4, 0, [1.0, 0.0]), (5, None, [1.0, 0.0]), (6, 2, None), (7, 2, [0.0, 0.0])], "id long, part int, vec array<float>")
     found = {(r["a"], r["b"]) for r in V.similar_to(rows, spark.createDataFrame([(1,), (3,), (7,)], "id long"), 0.05).collect()}
     assert found == {(1, 2)}
+
+
+def test_impl_relations_without_modules(spark):
+    files = spark.createDataFrame([("a.rs", "mod m { impl T for S { fn f() {} } }\nimpl S {}\n")], "file string, content string")
+    plain, whole = R.impl_relations(files, modules=False), R.impl_relations(files)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, whole.drop("module").collect())) and len(plain.collect()) == 2
