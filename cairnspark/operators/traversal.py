@@ -131,6 +131,7 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def condense(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (node, scc) of all supernodes, and the distinct edges (src, dst) between them."""
+    edges = table(edges.select("src", "dst"), "calls")
     scc = cycles(edges)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     members = table(nodes.join(scc, "node", "left").select("node", F.coalesce("scc", "node").alias("scc")), "members")
