@@ -112,7 +112,8 @@ def _scored(index: VectorIndex, probed: DataFrame, k: int, own: str) -> DataFram
     sized = asked.withColumn("parts", parts)
     # at most as many as there are cells; the folders of all others are not read
     read = [r["cell"] for r in asked.collect()]
-    left = index.rows.where(F.col("cell").isin(read)).join(sized, "cell").select("cell", "id", "vec", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)).alias("qpart"))
+    # a folder's number is read as int, and int and long keys of one value fall into different partitions of a cogroup
+    left = index.rows.where(F.col("cell").isin(read)).join(sized, "cell").select(F.col("cell").cast("long").alias("cell"), "id", "vec", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)).alias("qpart"))
     right = probed.join(sized, "cell").select("cell", "qid", "qvec", F.pmod(F.xxhash64("qid"), F.col("qparts")).cast("int").alias("qpart"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

@@ -63,3 +63,15 @@ def test_impl_relations_without_modules(spark):
     files = spark.createDataFrame([("a.rs", "mod m { impl T for S { fn f() {} } }\nimpl S {}\n")], "file string, content string")
     plain, whole = R.impl_relations(files, modules=False), R.impl_relations(files)
     assert sorted(map(str, plain.collect())) == sorted(map(str, whole.drop("module").collect())) and len(plain.collect()) == 2
+
+
+def test_vector_index_over_several_partitions(spark):
+    rows = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i + i)).alias("vec"))
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        found = {tuple(r)[:2] for r in V.nearest(V.load(spark, V.build(rows)), queries, 3, exact=True).collect()}
+    finally:
+        spark.conf.unset(setting)
+    assert found == {tuple(r)[:2] for r in V.nearest_of_all(rows, queries, 3).collect()}
