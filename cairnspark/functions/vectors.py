@@ -9,7 +9,7 @@ from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.storage import drop_table, shared_path, table
 
@@ -18,14 +18,40 @@ FITTED_ON = 20_000
 MOST_CELLS = 2048
 #: Vectors and queries that meet in one product of matrices.
 PART = 4096
+#: Rows of a product of matrices that are looked at in one piece.
+STRIPE = 256
 
 
 def _units(rows: pd.Series) -> np.ndarray:
-    x = np.stack(rows.to_numpy()).astype(np.float64)
+    return as_units(np.stack(rows.to_numpy()), len(rows))
+
+
+def as_units(flat: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of n vectors of one length, one after the other, as a matrix of unit vectors; zero ones stay zero."""
+    x = flat.reshape(n, -1).astype(np.float64)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
 
 
+def products_over(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, product) of all rows of x and rows of y with a product at or over the threshold; a stripe of x at a time."""
+    found = []
+    for at in range(0, len(x), STRIPE):
+        near = (x[at : at + STRIPE] @ y.T).ravel()
+        k = np.flatnonzero(near >= threshold)
+        found.append((k + at * len(y), near[k]))
+    k, near = (np.concatenate(f) for f in zip(*found, strict=True))
+    return *np.divmod(k, len(y)), near
+
+
+def stored_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """A table of vectors (id, part, vec) in blocks of about `size`: block, and arrays id, part and vec, which holds all numbers in
+    a row. Pairs of blocks are read from it, so that a vector is shuffled once however many others it meets."""
+    n = max(1, -(-rows.count() // size))
+    listed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "part", "vec")).alias("r"))
+    return table(listed.select("block", "r.id", "r.part", F.flatten("r.vec").alias("vec")), "blocks")
+
+
 def _centres(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Spherical k-means; a cell that loses all its vectors keeps its centre."""
     c = x[np.random.default_rng(seed).choice(len(x), cells, replace=False)]
@@ -208,6 +234,11 @@ def similar_to(vectors: DataFrame, asked: DataFrame, threshold: float) -> DataFr
     return left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInPandas(run, f"a {kinds['id']}, b {kinds['id']}, cosine double")
 
 
+def four_places(x: Column) -> Column:
+    """A positive number to four places, halves up; F.round goes through decimals, which takes longer than the product itself."""
+    return F.floor(x * 1e4 + 0.5) / 1e4
+
+
 def projection_shape(threshold: float, recall: float, bits: int) -> int:
     """Tables of `bits` random signs each with which vectors at the threshold share a bucket with the wanted recall."""
     same = (1 - acos(threshold) / pi) ** bits

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.vectors import as_units, products_over, stored_blocks
 from .lookup import first_by
 
 
@@ -138,30 +141,27 @@ def similar_in_blocks(vectors: DataFrame, threshold: float, block: int = 2048) -
     """All pairs (a, b, cosine) of vectors (id, part, vec) of different parts, the lesser part first, with a cosine at or over the threshold.
 
     Every vector meets every other one, so work grows with the square of their number: vectors are cut into blocks, and two
-    blocks at a time are one product of matrices. Zero and null vectors are similar to none.
+    blocks at a time are one product of matrices. A block is one row of a table, and pairs of its rows are read from there, so
+    each vector is shuffled once. Zero and null vectors are similar to none.
     """
-    import numpy as np
-    import pandas as pd
-
-    rows = vectors.where("vec is not null").select("id", "part", F.col("vec").cast("array<double>").alias("vec"))
-    n = max(1, -(-rows.count() // block))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = own.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x, part, ident = np.stack(f["vec"].to_numpy()), np.unique(f["part"].to_numpy(), return_inverse=True)[1], f["id"].to_numpy()
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
-        one, two = np.flatnonzero(f["own"] == f["lo"]), np.flatnonzero(f["own"] == f["hi"])
-        near = x[one] @ x[two].T
-        i, j = np.nonzero((near >= threshold) & (part[one][:, None] != part[two][None, :]))
-        value, i, j = near[i, j], one[i], two[j]
-        turned = part[i] > part[j]
-        # inside one block each pair comes both ways
-        keep = ~turned if f["lo"].iloc[0] == f["hi"].iloc[0] else np.ones(len(i), dtype=bool)
-        return pd.DataFrame({"a": ident[np.where(turned, j, i)], "b": ident[np.where(turned, i, j)], "cosine": value})[keep]
-
-    return dealt.groupBy("lo", "hi").applyInPandas(run, "a long, b long, cosine double")
+    rows = vectors.where("part is not null and vec is not null and exists(vec, x -> x <> 0)").select("id", "part", "vec")
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = stored_blocks(rows, block)
+    side = lambda at: blocks.select(*(F.col(c).alias(f"{at}_{c}") for c in ("block", "id", "part", "vec")))
+    met = side("one").hint("shuffle_replicate_nl").join(side("two"), F.col("one_block") <= F.col("two_block"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                i, j, cosine = products_over(as_units(r.one_vec, len(r.one_id)), as_units(r.two_vec, len(r.two_id)), threshold)
+                p, q = np.asarray(r.one_part)[i], np.asarray(r.two_part)[j]
+                # inside one block each pair comes both ways
+                keep = np.flatnonzero(p < q if r.one_block == r.two_block else p != q)
+                i, j, turned = i[keep], j[keep], (p > q)[keep]
+                one, two = np.asarray(r.one_id)[i], np.asarray(r.two_id)[j]
+                yield pd.DataFrame({"a": np.where(turned, two, one), "b": np.where(turned, one, two), "cosine": cosine[keep]})
+
+    return met.mapInPandas(run, f"a {kind}, b {kind}, cosine double")
 
 
 def cosine(x: Column, y: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.vectors import four_places
 from ..operators import joins as J, lookup as L
 from ..sources.files import skip_reason
 from .catalog import query
@@ -400,7 +401,7 @@ def _(spark, d):
 def _(spark, d):
     e = read(spark, d, "embeddings")
     found = J.similar_in_blocks(e.select(F.col("vec_id").alias("id"), F.col("label").alias("part"), F.col("embedding").alias("vec")), 0.2)
-    return found.select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return found.select("a", "b", four_places(F.col("cosine")).alias("cosine"))
 
 
 @query("j21_parent_snapshot", "SELECT c.child, max(s.snapshot_id) AS parent FROM (SELECT DISTINCT snapshot_id + 1 AS child FROM ver) c JOIN (SELECT DISTINCT snapshot_id FROM ver) s ON s.snapshot_id < c.child GROUP BY 1")

@@ -75,3 +75,13 @@ def test_vector_index_over_several_partitions(spark):
     finally:
         spark.conf.unset(setting)
     assert found == {tuple(r)[:2] for r in V.nearest_of_all(rows, queries, 3).collect()}
+
+
+def test_pairs_of_blocks_without_copies_of_vectors(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 3).alias("part"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i + i)).alias("vec"))
+    odd = spark.createDataFrame([(900, None, [1.0] * 8), (901, 1, None), (902, 2, [0.0] * 8)], "id long, part long, vec array<double>")
+    found = J.similar_in_blocks(rows.unionByName(odd), 0.99, block=20)
+    want = {(r["a"], r["b"]) for r in J.similar_in_blocks(rows, 0.99).collect()}
+    assert want and {(r["a"], r["b"]) for r in found.collect()} == want and found.count() == len(want)
+    # every vector met a copy of each other block before
+    assert most_rows(found) <= 2 * 400
