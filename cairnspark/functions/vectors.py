@@ -234,6 +234,33 @@ def similar_to(vectors: DataFrame, asked: DataFrame, threshold: float) -> DataFr
     return left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInPandas(run, f"a {kinds['id']}, b {kinds['id']}, cosine double")
 
 
+def similar_in_blocks(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """All pairs (a, b, cosine) of vectors (id, part, vec) of different parts, the lesser part first, with a cosine at or over the threshold.
+
+    Every vector meets every other one, so work grows with the square of their number: vectors are cut into blocks, and two
+    blocks at a time are one product of matrices. A block is one row of a table, and pairs of its rows are read from there, so
+    each vector is shuffled once. Zero and null vectors are similar to none.
+    """
+    rows = vectors.where("part is not null and vec is not null and exists(vec, x -> x <> 0)").select("id", "part", "vec")
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = stored_blocks(rows, block)
+    side = lambda at: blocks.select(*(F.col(c).alias(f"{at}_{c}") for c in ("block", "id", "part", "vec")))
+    met = side("one").hint("shuffle_replicate_nl").join(side("two"), F.col("one_block") <= F.col("two_block"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                i, j, cosine = products_over(as_units(r.one_vec, len(r.one_id)), as_units(r.two_vec, len(r.two_id)), threshold)
+                p, q = np.asarray(r.one_part)[i], np.asarray(r.two_part)[j]
+                # inside one block each pair comes both ways
+                keep = np.flatnonzero(p < q if r.one_block == r.two_block else p != q)
+                i, j, turned = i[keep], j[keep], (p > q)[keep]
+                one, two = np.asarray(r.one_id)[i], np.asarray(r.two_id)[j]
+                yield pd.DataFrame({"a": np.where(turned, two, one), "b": np.where(turned, one, two), "cosine": cosine[keep]})
+
+    return met.mapInPandas(run, f"a {kind}, b {kind}, cosine double")
+
+
 def four_places(x: Column) -> Column:
     """A positive number to four places, halves up; F.round goes through decimals, which takes longer than the product itself."""
     return F.floor(x * 1e4 + 0.5) / 1e4
@@ -250,9 +277,12 @@ def similar_by_projection(vectors: DataFrame, threshold: float, recall: float =
     threshold; of pairs right at the threshold at least `recall` are found, of nearer ones more, and each pair once.
 
     A bucket is a table's signs against random planes. Buckets are cut into blocks, two of which are one product of matrices, and
-    pairs are verified there by their whole vectors; a pair is kept in the first table that has it in one bucket only.
+    pairs are verified there by their whole vectors; a pair is kept in the first table that has it in one bucket only. Where there
+    are as many tables as buckets of one, they would compare more pairs than there are, and all pairs are compared instead.
     """
     tables = projection_shape(threshold, recall, bits)
+    if tables >= 1 << bits:
+        return similar_in_blocks(vectors, threshold, block)
     rows = vectors.where("vec is not null and exists(vec, x -> x <> 0)").select("id", "part", F.col("vec").cast("array<double>").alias("vec"))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "part")}
 

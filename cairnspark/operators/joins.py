@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import as_units, products_over, stored_blocks
+from ..functions.vectors import similar_in_blocks  # noqa: F401  a join, and what projections fall back to
 from .lookup import first_by
 
 
@@ -137,33 +135,6 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
     return old.unionByName(new.join(old.select(*keys).distinct(), list(keys), "left_anti"))
 
 
-def similar_in_blocks(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """All pairs (a, b, cosine) of vectors (id, part, vec) of different parts, the lesser part first, with a cosine at or over the threshold.
-
-    Every vector meets every other one, so work grows with the square of their number: vectors are cut into blocks, and two
-    blocks at a time are one product of matrices. A block is one row of a table, and pairs of its rows are read from there, so
-    each vector is shuffled once. Zero and null vectors are similar to none.
-    """
-    rows = vectors.where("part is not null and vec is not null and exists(vec, x -> x <> 0)").select("id", "part", "vec")
-    kind = rows.schema["id"].dataType.simpleString()
-    blocks = stored_blocks(rows, block)
-    side = lambda at: blocks.select(*(F.col(c).alias(f"{at}_{c}") for c in ("block", "id", "part", "vec")))
-    met = side("one").hint("shuffle_replicate_nl").join(side("two"), F.col("one_block") <= F.col("two_block"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                i, j, cosine = products_over(as_units(r.one_vec, len(r.one_id)), as_units(r.two_vec, len(r.two_id)), threshold)
-                p, q = np.asarray(r.one_part)[i], np.asarray(r.two_part)[j]
-                # inside one block each pair comes both ways
-                keep = np.flatnonzero(p < q if r.one_block == r.two_block else p != q)
-                i, j, turned = i[keep], j[keep], (p > q)[keep]
-                one, two = np.asarray(r.one_id)[i], np.asarray(r.two_id)[j]
-                yield pd.DataFrame({"a": np.where(turned, two, one), "b": np.where(turned, one, two), "cosine": cosine[keep]})
-
-    return met.mapInPandas(run, f"a {kind}, b {kind}, cosine double")
-
-
 def cosine(x: Column, y: Column) -> Column:
     """Cosine of two arrays of numbers, by built-in array functions; 0 if one is zero."""
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, p: s + p)

@@ -72,4 +72,4 @@ def _(spark, d):
 @query("j20_projected", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COSINE}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label < b.label WHERE {_COSINE} >= 0.35")
 def _(spark, d):
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("part"), F.col("embedding").alias("vec"))
-    return V.similar_by_projection(rows, 0.35, recall=0.99999, bits=5).select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return V.similar_by_projection(rows, 0.35, recall=0.99999, bits=5).select("a", "b", V.four_places(F.col("cosine")).alias("cosine"))

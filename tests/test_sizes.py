@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cairnspark.functions import content as C, vectors as V
@@ -85,3 +86,15 @@ def test_pairs_of_blocks_without_copies_of_vectors(spark):
     assert want and {(r["a"], r["b"]) for r in found.collect()} == want and found.count() == len(want)
     # every vector met a copy of each other block before
     assert most_rows(found) <= 2 * 400
+
+
+def test_projections_that_would_compare_more_than_all_pairs(spark):
+    x = np.random.default_rng(3).standard_normal((300, 64))
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, part long, vec array<double>")
+    assert V.projection_shape(0.35, 0.99999, 5) >= 1 << 5
+    found = V.similar_by_projection(rows, 0.35, recall=0.99999, bits=5)
+    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    want = {(i, j) for i, j in zip(*np.nonzero(near >= 0.35), strict=True) if i % 3 < j % 3}
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) > 20
+    # each vector stood in every table before
+    assert most_rows(found) <= 2 * 300
