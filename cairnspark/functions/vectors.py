@@ -44,6 +44,17 @@ def products_over(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.nd
     return *np.divmod(k, len(y)), near
 
 
+def _most(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, value) of the k greatest of each row, the first of equals."""
+    last = max(0, near.shape[1] - k)
+    i, j = np.nonzero(near >= np.partition(near, last, axis=1)[:, last, None])
+    order = np.lexsort((j, -near[i, j], i))
+    i, j = i[order], j[order]
+    # a row's own places, of which equals of the k-th may be too many
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], near[i[keep], j[keep]]
+
+
 def stored_blocks(rows: DataFrame, size: int) -> DataFrame:
     """A table of vectors (id, part, vec) in blocks of about `size`: block, and arrays id, part and vec, which holds all numbers in
     a row. Pairs of blocks are read from it, so that a vector is shuffled once however many others it meets."""
@@ -147,9 +158,11 @@ def _scored(index: VectorIndex, probed: DataFrame, k: int, own: str) -> DataFram
             return pd.DataFrame({"qid": [], "id": [], "similarity": []})
         order = np.argsort(rows["id"].to_numpy(), kind="stable")
         x, ident, qid = _units(rows["vec"])[order], rows["id"].to_numpy()[order], queries["qid"].to_numpy()
-        near = np.round(_units(queries["qvec"]) @ x.T, 6)
-        best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"qid": np.repeat(qid, best.shape[1]), "id": ident[best].ravel(), "similarity": np.take_along_axis(near, best, axis=1).ravel()})
+        asked, found = _units(queries["qvec"]), []
+        for at in range(0, len(asked), STRIPE):
+            i, j, near = _most(np.round(asked[at : at + STRIPE] @ x.T, 6), k)
+            found.append(pd.DataFrame({"qid": qid[at + i], "id": ident[j], "similarity": near}))
+        return pd.concat(found)
 
     keys = ["cell", "part", "qpart"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, own)

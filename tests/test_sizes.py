@@ -98,3 +98,19 @@ def test_projections_that_would_compare_more_than_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) > 20
     # each vector stood in every table before
     assert most_rows(found) <= 2 * 300
+
+
+def test_nearest_holds_stripes_of_queries_only():
+    near = np.round(np.random.default_rng(1).random((40, 300)), 2)
+    i, j, value = V._most(near, 10)
+    best = np.argsort(-near, axis=1, kind="stable")[:, :10]
+    assert j.tolist() == best.ravel().tolist() and i.tolist() == np.repeat(np.arange(40), 10).tolist() and (value == near[i, j]).all()
+    assert len(V._most(near[:, :4], 10)[0]) == 160
+
+
+def test_nearest_over_several_stripes(spark, monkeypatch):
+    rows = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.round(F.sin(F.col("id") % 90 * i + i), 1)).alias("vec"))
+    queries = rows.where("id % 9 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    want = {tuple(r) for r in V.nearest_of_all(rows, queries, 5).collect()}
+    monkeypatch.setattr(V, "STRIPE", 7)
+    assert {tuple(r) for r in V.nearest_of_all(rows, queries, 5).collect()} == want and len(want) == 34 * 5
