@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -102,16 +103,13 @@ def pattern(edges: DataFrame, nodes: DataFrame, legs: Sequence[tuple[str, str, s
 
 
 def orphans(references: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """Reference nodes without a REFERENCES edge and Call nodes without a CALLER or a CALLS edge: id, problem."""
-    def lacking(rows: DataFrame, side: str, kind: str, problem: str) -> DataFrame:
-        there = edges.where(F.col("edge_type") == kind).select(F.col(side).alias("id"))
-        return rows.select("id").join(there, "id", "left_anti").withColumn("problem", F.lit(problem))
-
-    return (
-        lacking(references, "from_id", "REFERENCES", "no target")
-        .unionByName(lacking(calls, "to_id", "CALLER", "no caller"))
-        .unionByName(lacking(calls, "from_id", "CALLS", "no callee"))
-    )
+    """Reference nodes without a REFERENCES edge and Call nodes without a CALLER or a CALLS edge: id, problem. Edges are read once and
+    come to one row per node and type before the join."""
+    wanted = ((references, "REFERENCES", "no target"), (calls, "CALLER", "no caller"), (calls, "CALLS", "no callee"))
+    needed = reduce(DataFrame.unionByName, (rows.select("id", F.lit(kind).alias("edge_type"), F.lit(problem).alias("problem")) for rows, kind, problem in wanted))
+    end = F.when(F.col("edge_type") == "CALLER", F.col("to_id")).otherwise(F.col("from_id"))
+    there = edges.where(F.col("edge_type").isin([kind for _, kind, _ in wanted])).select(end.alias("id"), "edge_type").distinct()
+    return needed.join(there, ["id", "edge_type"], "left_anti").select("id", "problem")
 
 
 def compared(expected: DataFrame, current: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -360,14 +360,12 @@ def _(spark, d):
       UNION ALL SELECT o_orderkey, 'no target' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
 )
 def _(spark, d):
-    from .model import hops
-
-    h = hops(spark, d)
-    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.lit(-1).cast("long").alias("to_id"), F.lit("REFERENCES").alias("edge_type"))
-    calls = h.select(F.lit(-1).cast("long").alias("from_id"), F.col("callee").alias("to_id"), F.lit("CALLER").alias("edge_type"))
-    made = h.select(F.col("caller").alias("from_id"), F.lit(-1).cast("long").alias("to_id"), F.lit("CALLS").alias("edge_type"))
+    edge = lambda start, to, kind: F.struct(start.cast("long").alias("from_id"), to.cast("long").alias("to_id"), F.lit(kind).alias("edge_type"))
+    lines = read(spark, d, "lineitem").select(edge(F.col("l_orderkey"), F.lit(-1), "REFERENCES").alias("e"))
+    # both edges of a call from one pass over the sites
+    calls = sites(spark, d).select(F.explode(F.array(edge(F.lit(-1), F.col("callee"), "CALLER"), edge(F.col("caller"), F.lit(-1), "CALLS"))).alias("e"))
     refs, parts = read(spark, d, "orders").select(F.col("o_orderkey").alias("id")), symbols(spark, d)
-    return J.orphans(refs, parts, lines.unionByName(calls).unionByName(made))
+    return J.orphans(refs, parts, lines.unionByName(calls).select("e.*"))
 
 
 _DIFF = """SELECT coalesce(e.k, c.k) AS k, e.v AS expected, c.v AS current, CASE WHEN c.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'extra' WHEN e.v IS NOT DISTINCT FROM c.v THEN 'ok' ELSE 'changed' END AS status

@@ -114,3 +114,12 @@ def test_nearest_over_several_stripes(spark, monkeypatch):
     want = {tuple(r) for r in V.nearest_of_all(rows, queries, 5).collect()}
     monkeypatch.setattr(V, "STRIPE", 7)
     assert {tuple(r) for r in V.nearest_of_all(rows, queries, 5).collect()} == want and len(want) == 34 * 5
+
+
+def test_orphans_of_nodes_with_many_edges(spark):
+    edges = spark.range(3000).select((F.col("id") % 3).alias("from_id"), (F.col("id") % 2 + 5).alias("to_id"), F.element_at(F.array(*map(F.lit, ("REFERENCES", "CALLER", "CALLS", "OTHER"))), (F.col("id") % 4 + 1).cast("int")).alias("edge_type"))
+    nodes = spark.createDataFrame([(0,), (5,), (6,), (9,)], "id long")
+    found = J.orphans(nodes, nodes, edges)
+    assert {tuple(r) for r in found.collect()} == {(n, "no target") for n in (5, 6, 9)} | {(n, "no caller") for n in (0, 5, 9)} | {(n, "no callee") for n in (5, 6, 9)}
+    # edges come to one row per node before they are sorted for the join
+    assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
