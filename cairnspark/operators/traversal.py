@@ -6,6 +6,7 @@ the shared folder, so plans stay short and a lost executor costs one round. Noth
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,6 +16,14 @@ from ..plans.storage import drop_table, table
 
 #: Hops that one round of a frontier loop takes before its result is written.
 HOPS = 4
+#: Where edges have up to this many ends (counted first), sets of nodes are sent to the edges; otherwise both are shuffled.
+SENT = 1_500_000
+
+
+def _sender(edges: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What marks sets of nodes (src, dst of stored edges) to be sent to the edges, if they are few enough."""
+    ends = edges.agg(*(F.approx_count_distinct(c) for c in edges.columns)).first()
+    return F.broadcast if max(ends) <= SENT else lambda nodes: nodes
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, stored: bool = False) -> DataFrame:
@@ -24,10 +33,11 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, stored: b
     steps = steps if stored else table(steps.distinct(), "steps")
     frontier = table(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reached")
     known, depth = [frontier], 0
+    sent = _sender(steps)
     while not frontier.isEmpty() and (most is None or depth < most):
         hops, moved, found = HOPS if most is None else min(HOPS, most - depth), frontier.select("node"), []
         for i in range(1, hops + 1):
-            moved = steps.join(moved, "node").select(F.col("dst").alias("node")).distinct()
+            moved = steps.join(sent(moved), "node").select(F.col("dst").alias("node")).distinct()
             found.append(moved.withColumn("depth", F.lit(depth + i).cast("long")))
         new = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("depth").alias("depth"))
         new = table(new.join(reduce(DataFrame.unionByName, known).select("node"), "node", "left_anti"), "reached")
@@ -69,11 +79,11 @@ def blast(edges: DataFrame, of_file: DataFrame, target: DataFrame) -> DataFrame:
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges whose ends both have edges in and out, which all edges of a cycle have; self loops are not looked at."""
     current = table(edges.where("src <> dst").distinct(), "core")
-    n = current.count()
+    n, sent = current.count(), _sender(current.select("src", "dst"))
     while n:
         has_in = current.select(F.col("dst").alias("src")).distinct()
         has_out = current.select(F.col("src").alias("dst")).distinct()
-        smaller = table(current.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi"), "core")
+        smaller = table(current.join(sent(has_in), "src", "left_semi").join(sent(has_out), "dst", "left_semi"), "core")
         left = smaller.count()
         drop_table(current)
         current = smaller
@@ -87,12 +97,13 @@ def _colours(edges: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches each node over stored edges, itself included."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     current = table(nodes.withColumn("colour", F.col("node")).withColumn("changed", F.lit(True)), "colours")
+    sent = _sender(edges.select("src", "dst"))
     while True:
         # only a node whose colour changed can change others; two hops are one table
         moved = current.where("changed").select("node", "colour")
         found = []
         for _ in range(2):
-            moved = moved.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
+            moved = edges.select(F.col("src").alias("node"), "dst").join(sent(moved), "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
             found.append(moved)
         new = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("colour").alias("new"))
         better = current.drop("changed").join(new, "node", "left").withColumn("better", F.col("new") < F.col("colour"))

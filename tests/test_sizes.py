@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cairnspark.functions import content as C, vectors as V
-from cairnspark.operators import joins as J
+from cairnspark.operators import joins as J, traversal as A
 from cairnspark.plans import search_queries as Q
 from cairnspark.sources import rust as R
 
@@ -123,3 +123,10 @@ def test_orphans_of_nodes_with_many_edges(spark):
     assert {tuple(r) for r in found.collect()} == {(n, "no target") for n in (5, 6, 9)} | {(n, "no caller") for n in (0, 5, 9)} | {(n, "no callee") for n in (5, 6, 9)}
     # edges come to one row per node before they are sorted for the join
     assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_nodes_are_sent_to_edges(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
+    assert A._sender(edges) is F.broadcast
+    monkeypatch.setattr(A, "SENT", 1)
+    assert A._sender(edges) is not F.broadcast and {tuple(r) for r in A.cycles(edges).collect()} == {(1, 1), (2, 1)}
