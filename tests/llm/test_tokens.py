@@ -33,6 +33,17 @@ def test_cached_ids_are_exact(vocabulary, exact):
     assert np.frombuffer(marked, "<u4").tolist() == [87, 220, 50256, 331]
 
 
+def test_signs_and_line_feeds_cost_no_words_of_their_own(vocabulary, exact):
+    texts = ["", *(f"of stone{a} und Stein{a}\nStein{a} \x00x\x00 Übel{a}\nÜbel \u180e\n'{a}" for a in ("", ".", ",", "$$$", "!!", "...", "_", "'", "'s", "\x00", "\n\n"))]
+    encoder = Encoder(vocabulary)
+    for part in (texts, texts[::-1], [x + "\n" + x for x in texts]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(part))] == exact(part)
+    encoder = Encoder(vocabulary)
+    encoder.encode(pa.array([f"of stone{a} stone{a}\nStein{a}" for a in ("", ".", ",", "$$$", "!!", "...", "&&&")]))
+    # of, stone, Stein after a line feed, and six tails
+    assert len(encoder._spaced) == 9
+
+
 def test_windows_are_filled_as_far_as_lengths_allow():
     # 20 + 19 + 12 + 12 = 63 is the fullest, not 32
     rows = packing.plan({20: 1, 12: 2, 19: 1}, 64)
