@@ -25,8 +25,9 @@ BLOCK, BLOCKS, FEATURES, RANK = 8, 3, 1 << 14, 64
 LEAST_COSINE, LEAST_SHARED = 0.4, 0.4
 #: Least weight of a feature, however frequent; first words of an item that are looked for as they are.
 LEAST_IDF, ANCHOR = 0.01, 8
-#: Cells of a passage's table of words, which rules most pairs out before words are compared; cells of an item's table of words.
-_CELLS, _TABLE = 256, 1 << 12
+#: Bits of a passage's set of words, which rule most pairs out before words are compared; cells of an item's table of words, and of
+#: the table of anchors.
+_BITS, _TABLE, _ANCHORS = 512, 1 << 12, 1 << 16
 #: Share of an item's words in common order that is a leak, and that is one when the answer stands there too.
 LEAK, LEAK_WITH_ANSWER, ANSWER_WORDS = 0.75, 0.5, 4
 #: Words from which an answer is looked for wherever it stands; a shorter one only in passages that are near its item.
@@ -192,6 +193,37 @@ def _shared(asked: np.ndarray, there: np.ndarray) -> np.ndarray:
     return (asked[:, :, None] == there[:, None, :]).any(axis=2).sum(axis=1)
 
 
+def _bits(words: np.ndarray, empty: int) -> np.ndarray:
+    """A set of bits for each row of words, as whole numbers of 64."""
+    cells = np.zeros((len(words), _BITS + 8), dtype=bool)
+    cells[np.arange(len(words))[:, None], np.where(words != empty, words & np.uint32(_BITS - 1), _BITS)] = True
+    return np.packbits(cells[:, :_BITS], axis=1).view(np.uint64)
+
+
+def _common_bits(one: np.ndarray, i: np.ndarray, two: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """How many bits the rows i of one and k of two have in common; each column is taken by itself."""
+    total = np.zeros(len(i), dtype=np.uint16)
+    for x, y in zip(one, two, strict=True):
+        total += np.bitwise_count(x[i] & y[k])
+    return total
+
+
+def _standing(flat: np.ndarray, first: np.ndarray, last: np.ndarray, item: np.ndarray, tables: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
+    """How many words of each region flat[first:last] may be words of its item."""
+    sizes, flat_tables = last - first, tables.ravel()
+    out = np.zeros(len(sizes), dtype=np.int64)
+    group = np.cumsum(sizes) // cells
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        n = sizes[a:b]
+        before = np.cumsum(n) - n
+        at = np.repeat(first[a:b] - before, n) + np.arange(int(n.sum()))
+        hit = flat_tables[np.repeat(item[a:b] * _TABLE, n) + (flat[at] & np.uint32(_TABLE - 1))]
+        summed = np.r_[0, np.cumsum(hit)]
+        out[a:b] = summed[before + n] - summed[before]
+    return out
+
+
 def _tables(words: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(words), _TABLE), dtype=bool)
     for table_of, own in zip(out, words, strict=True):
@@ -220,12 +252,17 @@ def _anchors(texts: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]
 def _anchored(words: list[np.ndarray], anchors: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
     """(text, item, place) where the first words of an item stand as they are; anchors: sorted hashes and items by number of words."""
     flat, ends = np.concatenate(words), np.cumsum([len(w) for w in words])
+    low = np.uint64(_ANCHORS - 1)
     for width, (hashes, of) in anchors.items():
-        rolled = _rolled(flat, width)
+        rolled, may = _rolled(flat, width), np.zeros(_ANCHORS, dtype=bool)
+        may[hashes & low] = True
+        places = np.flatnonzero(may[rolled & low])
+        rolled = rolled[places]
         first, last = np.searchsorted(hashes, rolled), np.searchsorted(hashes, rolled, side="right")
-        for i in np.flatnonzero(last > first).tolist():
+        for j in np.flatnonzero(last > first).tolist():
+            i = int(places[j])
             doc = int(np.searchsorted(ends, i, side="right"))
-            for item in of[first[i] : last[i]].tolist():
+            for item in of[first[j] : last[j]].tolist():
                 yield doc, item, i - int(ends[doc]) + len(words[doc])
 
 
@@ -242,8 +279,10 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
         asked_size = (asked_words != none).sum(axis=1)
         least = (LEAST_COSINE * np.sqrt(asked_size / (BLOCKS * BLOCK))).astype(np.float32)
         item_tables, lists = _tables(texts), [w.tolist() for w in texts]
-        # the last cell stays empty, for places without a word
-        cell = np.where(asked_words != none, asked_words & np.uint32(_CELLS - 1), _CELLS).astype(np.int32)
+        # words that share a bit with another of their passage are counted as there
+        asked_bits = _bits(asked_words, none)
+        least_bits = LEAST_SHARED * asked_size - (asked_size - np.bitwise_count(asked_bits).sum(axis=1))
+        asked_bits, lengths = np.ascontiguousarray(asked_bits.T), np.array([len(w) for w in texts])
         anchors = _anchors(texts)
         answers = [a if len(a) >= LEAST_ANSWER else a[:0] for _, _, a in items]
         answer_anchors = _anchors(answers)
@@ -257,17 +296,14 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
                 begin = np.searchsorted(owner, np.arange(len(words)))
                 for i in range(0, len(vectors), PRODUCT):
                     part = there[i : i + PRODUCT]
-                    held_words = np.zeros((len(part), _CELLS + 1), dtype=np.uint8)
-                    held_words[np.arange(len(part))[:, None], part & np.uint32(_CELLS - 1)] = 1
-                    held_words = held_words.ravel()
+                    bits = np.ascontiguousarray(_bits(part, none).T)
                     for c in range(0, len(asked), PRODUCT):
                         near = vectors[i : i + PRODUCT] @ asked[c : c + PRODUCT].T >= least[c : c + PRODUCT]
                         row, q = np.divmod(np.flatnonzero(near), near.shape[1])
-                        start, q = row.astype(np.int32) * np.int32(_CELLS + 1), q + c
-                        for j in range(0, len(row), 8192):
-                            p, k = row[j : j + 8192] + i, q[j : j + 8192]
-                            may = held_words.take(start[j : j + 8192, None] + cell[k]).sum(axis=1, dtype=np.uint8) >= LEAST_SHARED * asked_size[k]
-                            p, k = p[may], k[may]
+                        q = q + c
+                        may = np.flatnonzero(_common_bits(bits, row, asked_bits, q) >= least_bits[q])
+                        for j in range(0, len(may), 8192):
+                            p, k = row[may[j : j + 8192]] + i, q[may[j : j + 8192]]
                             good = _shared(asked_words[k], there[p]) >= LEAST_SHARED * asked_size[k]
                             doc = owner[first[p[good]]]
                             found.update(zip(doc.tolist(), asked_item[k[good]].tolist(), ((first[p[good]] - begin[doc]) * BLOCK).tolist(), strict=True))
@@ -282,7 +318,14 @@ def _search(items: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray):
                     if ratio >= least:
                         hits[doc][items[item][0]] = max(ratio, hits[doc].get(items[item][0], 0.0))
 
-            for doc, item, at in found:
+            # no subsequence is longer than the words of the item that its region may hold
+            doc_of, item_of, at_of = np.array(sorted(found), dtype=np.int64).reshape(-1, 3).T
+            sizes = np.array([len(w) for w in words], dtype=np.int64)
+            base, n = (np.cumsum(sizes) - sizes)[doc_of], lengths[item_of]
+            first, last = np.maximum(at_of - n, 0), np.minimum(at_of + BLOCKS * BLOCK + n, sizes[doc_of])
+            held_there = _standing(np.concatenate(words), base + first, base + last, item_of, item_tables)
+            may = held_there / n >= np.array([LEAK_WITH_ANSWER if 0 < len(a) < LEAST_ANSWER else LEAK for _, _, a in items])[item_of]
+            for doc, item, at in zip(doc_of[may].tolist(), item_of[may].tolist(), at_of[may].tolist(), strict=True):
                 _, text, answer = items[item]
                 region = words[doc][max(0, at - len(text)) : at + BLOCKS * BLOCK + len(text)]
                 short = 0 < len(answer) < LEAST_ANSWER and _contains(region, answer)

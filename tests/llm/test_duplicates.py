@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -326,3 +327,23 @@ def test_pipeline_join_of_documents_without_ids(spark, tmp_path):
     kept = got.collect()
     assert sorted((r["doc_id"], r["text"] == rows[4][1]) for r in kept if r["doc_id"] is not None) == [(4, True)]
     assert sorted(len(r["text"]) > 0 for r in kept if r["doc_id"] is None) == [False, False, True]
+
+
+def test_pairs_ruled_out_in_bulk_are_no_leaks():
+    r = np.random.default_rng(3)
+    words, empty = r.integers(0, 300, (80, 24)).astype(np.uint32) * np.uint32(77_777), 0xFFFFFFFF
+    asked = np.where(r.random((80, 24)) < 0.2, np.uint32(empty), words[:, r.integers(0, 24, 24)])
+    k = r.integers(0, 80, 2000)
+    bits, asked_bits = (np.ascontiguousarray(decontam._bits(x, empty).T) for x in (words, asked))
+    i = np.where(r.random(2000) < 0.5, k, r.integers(0, 80, 2000))
+    doubled = (asked != empty).sum(axis=1) - np.bitwise_count(asked_bits).sum(axis=0)
+    assert (decontam._common_bits(bits, i, asked_bits, k) + doubled[k] >= decontam._shared(np.where(asked == empty, 1, asked)[k], words[i])).all()
+    items = [r.integers(0, 60, n).astype(np.uint32) for n in (1, 5, 40)]
+    flat, tables = r.integers(0, 90, 700).astype(np.uint32), decontam._tables(items)
+    first = r.integers(0, 700, 60)
+    last, item = np.minimum(first + r.integers(0, 200, 60), 700), r.integers(0, 3, 60)
+    for cells in (1, 300, 1 << 20):
+        counted = decontam._standing(flat, first, last, item, tables, cells)
+        assert counted.tolist() == [int(np.isin(flat[a:b], items[q]).sum()) for a, b, q in zip(first, last, item, strict=True)]
+    assert all(n >= decontam.subsequence(items[q], flat[a:b]) for a, b, q, n in zip(first, last, item, counted, strict=True))
+    assert not len(decontam._standing(flat, first[:0], last[:0], item[:0], tables))
