@@ -63,7 +63,7 @@ def _hashed(lines: DataFrame) -> DataFrame:
 def _buckets(least: DataFrame, bands: int, kind: int) -> DataFrame:
     """(node, n, copies, buckets): a hash for each band whose places are all filled."""
     of = ([f"m{b * ROWS + r}" for r in range(ROWS)] for b in range(bands))
-    hashes = (F.when(F.expr(" and ".join(f"{m} is not null" for m in band)), F.xxhash64(F.lit(kind), F.lit(b), *band)) for b, band in enumerate(of))
+    hashes = (F.when(F.greatest(*band) < F.lit(_ALL), F.xxhash64(F.lit(kind), F.lit(b), *band)) for b, band in enumerate(of))
     return least.select("node", "n", "copies", F.array_compact(F.array(*hashes)).alias("buckets"))
 
 
@@ -76,8 +76,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     whole = PLACES * PER_PLACE
     within = F.col("h") * F.col("n") < F.lit(_ALL * whole)
     # the first shingle of each line stays, to count lines
-    thinned = _hashed(lines).where(within | (F.col("i") == 1)).withColumn("place", F.when(within, F.col("h") % PLACES))
-    filled = table(_buckets(_count_and_least(thinned, [F.when(F.col("place") == k, F.col("h")) for k in range(PLACES)]), BANDS, 0), "places")
+    thinned = _hashed(lines).where(within | (F.col("i") == 1)).withColumn("place", F.when(within, F.col("h") % PLACES).otherwise(PLACES).cast("int"))
+    # whole numbers throughout, with _ALL for an empty place: a null would be asked for in each place of each row
+    filled = table(_buckets(_count_and_least(thinned, [F.when(F.col("place") == k, F.col("h")).otherwise(F.lit(_ALL)) for k in range(PLACES)]), BANDS, 0), "places")
     lacking = filled.where((F.col("n") > whole) & (F.size("buckets") < LEAST_BANDS)).select("node")
     short = F.length("line") < whole + SHINGLE
     flags = small(lacking).withColumn("lacking", F.lit(True))
@@ -101,7 +102,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough by their full shingle sets."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    sizes = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
+    n, m = F.size("x"), F.size("y")
+    # the smaller set is all that two lines can have in common
+    may = F.least(n, m) * 1000 >= round(threshold * 1000) * F.greatest(n, m)
+    sizes = pairs.join(one, "a").join(two, "b").where(may).select("a", "b", n.alias("n"), m.alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
     return table(sizes, "verified").where(_alike(F.col("common"), F.col("n"), F.col("m"), threshold)).select("a", "b")
 
 
@@ -169,6 +173,18 @@ def similar_lines(placed: DataFrame, sets: DataFrame, signed: DataFrame, thresho
     return components(links.unionByName(more), "line-links")
 
 
+def _filled_lines(text: Column) -> Column:
+    """Lines of a text that are not blank. Where none begins with a blank or is empty, each is one."""
+    # a line that is not blank is the start of the text or a line feed, blanks and what is not blank
+    counted = F.regexp_count(text, F.lit(r"(?:^|\n)[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"))
+    blanks = [F.lit(x) for x in " \t\n\x0b\x0c\r"]
+    doubtful = (text == "") | F.endswith(text, F.lit("\n"))
+    for x in blanks:
+        doubtful = doubtful | F.startswith(text, x) | F.contains(text, F.concat(F.lit("\n"), x))
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(doubtful, counted).otherwise(feeds + 1)
+
+
 def deduped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """row (a struct with the columns of docs), text (the new one), n_lines, n_dropped for each row of docs; see dedup()."""
     lines = table(occurrences(docs), "lines")
@@ -191,8 +207,7 @@ def deduped(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
     parts = F.split("row.text", "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    # a line that is not blank is the start of the text or a line feed, blanks and what is not blank
-    n_lines = F.coalesce(F.regexp_count("row.text", F.lit(r"(?:^|\n)[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]")), F.lit(0)).cast("long")
+    n_lines = F.coalesce(_filled_lines(F.col("row.text")), F.lit(0)).cast("long")
     return joined.select(
         "row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"),
         n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),

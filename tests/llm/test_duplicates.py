@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cairnspark.llm import common, decontam, lines, neardup
 
@@ -347,3 +348,16 @@ def test_pairs_ruled_out_in_bulk_are_no_leaks():
         assert counted.tolist() == [int(np.isin(flat[a:b], items[q]).sum()) for a, b, q in zip(first, last, item, strict=True)]
     assert all(n >= decontam.subsequence(items[q], flat[a:b]) for a, b, q, n in zip(first, last, item, counted, strict=True))
     assert not len(decontam._standing(flat, first[:0], last[:0], item[:0], tables))
+
+
+def test_lines_that_are_not_blank_are_counted_without_reading_each(spark):
+    r = random.Random(4)
+    texts = ["", None, "\n", "a", " a", "a\n", "a\n b\n\u00a0\n\u2003", "é\nß", "a\r\n\r\nb"] + ["".join(r.choice(["a", "b ", "\n", "\n", " ", "\t", "\r", "\x0b", "\x0c", "\u3000"][: r.choice([3, 10])]) for _ in range(r.randint(0, 8))) for _ in range(400)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", lines._filled_lines(F.col("t")).alias("n")).collect()
+    assert {x["i"]: x["n"] for x in got} == {i: None if t is None else sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in t.split("\n")) for i, t in enumerate(texts)}
+
+
+def test_a_band_with_an_empty_place_has_no_bucket(spark):
+    rows = spark.createDataFrame([(1, 300, 1, 5), (2, 300, 1, 5), (2, 300, 0, 7)], "node long, n int, i int, h long")
+    least = lines._count_and_least(rows, [F.when(F.col("h") % 8 == k, F.col("h")).otherwise(F.lit(lines._ALL)) for k in (5, 7, 5) * 8])
+    assert {x["node"]: (x["copies"], len(x["buckets"])) for x in lines._buckets(least, 8, 0).collect()} == {1: (1, 0), 2: (1, 8)}
