@@ -11,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..plans.storage import drop_table, shared_path, shuffles_removed, table  # noqa: F401  the operators import them from here
+from ..plans import storage
+from ..plans.storage import drop_table, shared_path, shuffles_removed  # noqa: F401  the operators import them from here
 
 
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
@@ -27,6 +28,23 @@ def bounded_batches(spark: SparkSession, rows: int = 3000, size: str = "16m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: Tables after which the driver's garbage is dropped, and those since then.
+TABLES_TO_LET_GO = 4
+_tables_since = 0
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """storage.table(), after which the driver's JVM drops its garbage every few tables: plans, task results and broadcasts of an operator
+    of many steps would otherwise fill the whole heap before it is collected, and the heap wouldn't shrink again."""
+    global _tables_since
+    written = storage.table(df, name)
+    _tables_since += 1
+    if _tables_since >= TABLES_TO_LET_GO:
+        _tables_since = 0
+        df.sparkSession._jvm.System.gc()
+    return written
+
+
 def let_go(spark: SparkSession) -> None:
     """Between the steps of a long job: drop the driver's garbage, in Python and in the JVM, so that its heap shrinks and Spark's
     cleaner removes the broadcasts and shuffle files of plans that are gone."""

@@ -361,3 +361,18 @@ def test_a_band_with_an_empty_place_has_no_bucket(spark):
     rows = spark.createDataFrame([(1, 300, 1, 5), (2, 300, 1, 5), (2, 300, 0, 7)], "node long, n int, i int, h long")
     least = lines._count_and_least(rows, [F.when(F.col("h") % 8 == k, F.col("h")).otherwise(F.lit(lines._ALL)) for k in (5, 7, 5) * 8])
     assert {x["node"]: (x["copies"], len(x["buckets"])) for x in lines._buckets(least, 8, 0).collect()} == {1: (1, 0), 2: (1, 8)}
+
+
+def test_tables_of_a_long_operator_let_the_driver_go(monkeypatch):
+    calls = []
+
+    class Df:
+        class sparkSession:  # noqa: N801
+            class _jvm:  # noqa: N801
+                class System:
+                    gc = staticmethod(lambda: calls.append(1))
+
+    monkeypatch.setattr(common.storage, "table", lambda df, name: df)
+    for _ in range(3 * common.TABLES_TO_LET_GO):
+        lines.table(Df(), "any")
+    assert len(calls) == 3
