@@ -77,8 +77,8 @@ def signatures(lines: DataFrame) -> DataFrame:
     within = F.col("h") * F.col("n") < F.lit(_ALL * whole)
     # the first shingle of each line stays, to count lines
     thinned = _hashed(lines).where(within | (F.col("i") == 1)).withColumn("place", F.when(within, F.col("h") % PLACES).otherwise(PLACES).cast("int"))
-    # whole numbers throughout, with _ALL for an empty place: a null would be asked for in each place of each row
-    filled = table(_buckets(_count_and_least(thinned, [F.when(F.col("place") == k, F.col("h")).otherwise(F.lit(_ALL)) for k in range(PLACES)]), BANDS, 0), "places")
+    # by its filter a row touches the one minimum that it may change
+    filled = table(_buckets(_count_and_least(thinned, [F.col("h")] * PLACES, "place"), BANDS, 0), "places")
     lacking = filled.where((F.col("n") > whole) & (F.size("buckets") < LEAST_BANDS)).select("node")
     short = F.length("line") < whole + SHINGLE
     flags = small(lacking).withColumn("lacking", F.lit(True))
@@ -87,9 +87,14 @@ def signatures(lines: DataFrame) -> DataFrame:
     return filled.unionByName(table(_buckets(second, OWN_BANDS, 1), "functions")).drop("n")
 
 
-def _count_and_least(rows: DataFrame, values: list[Column]) -> DataFrame:
-    least = (F.min(value).alias(f"m{k}") for k, value in enumerate(values))
-    return rows.groupBy("node").agg(F.first("n").alias("n"), F.count(F.when(F.col("i") == 1, 1)).alias("copies"), *least)
+def _count_and_least(rows: DataFrame, values: list[Column], place: str | None = None) -> DataFrame:
+    """(node, n, copies, m0, m1, ...): the least of each value; with `place`, over the rows whose place is the value's number, or else _ALL."""
+    least = [F.min(value).alias(f"m{k}") for k, value in enumerate(values)]
+    if place:
+        least = [F.expr(f"min(_value{k}) filter (where {place} = {k})").alias(f"m{k}") for k in range(len(values))]
+        rows = rows.select("*", *(value.alias(f"_value{k}") for k, value in enumerate(values)))
+    summed = rows.groupBy("node").agg(F.first("n").alias("n"), F.count(F.when(F.col("i") == 1, 1)).alias("copies"), *least)
+    return summed.select("node", "n", "copies", *(F.coalesce(f"m{k}", F.lit(_ALL)).alias(f"m{k}") for k in range(len(values))))
 
 
 def _alike(common: Column, n: Column, m: Column, threshold: float) -> Column:

@@ -363,6 +363,18 @@ def test_a_band_with_an_empty_place_has_no_bucket(spark):
     assert {x["node"]: (x["copies"], len(x["buckets"])) for x in lines._buckets(least, 8, 0).collect()} == {1: (1, 0), 2: (1, 8)}
 
 
+def test_least_hashes_of_places(spark):
+    r = random.Random(6)
+    rows = [(r.randrange(4), 9, r.randrange(3), r.randrange(1 << 32), r.randrange(6)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "node long, n int, i int, h long, place int")
+    got = lines._count_and_least(df, [F.col("h")] * 5, "place").collect()
+    for x in got:
+        own = [y for y in rows if y[0] == x["node"]]
+        assert [x[f"m{k}"] for k in range(5)] == [min([y[3] for y in own if y[4] == k], default=lines._ALL) for k in range(5)]
+        assert x["copies"] == sum(y[2] == 1 for y in own)
+    assert len(got) == len({y[0] for y in rows})
+
+
 def test_tables_of_a_long_operator_let_the_driver_go(monkeypatch):
     calls = []
 
