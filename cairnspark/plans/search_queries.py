@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import content as C, vectors as V
 from .catalog import query
 from .model import read
+from .storage import table
 
+#: Up to so many questions are sent to the texts.
+FEW = 100_000
 _TOKENS = "list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 #: Two queries for each benchmark item: a phrase with a word, and two words.
 _ASKED = f"""d AS (SELECT doc_id AS id, {_TOKENS.format("coalesce(text, '')")} AS t FROM documents), bt AS (SELECT item_id, {_TOKENS.format("text")} AS t FROM benchmark),
@@ -52,7 +55,10 @@ def _(spark, d):
 )
 def _(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return _hits(spark, d).where("rank = 1").join(_asked(spark, d), "qid").join(docs, "id").select("qid", C.excerpt(F.col("text"), F.col("query")).alias("excerpt"))
+    first = table(_hits(spark, d).where("rank = 1").join(_asked(spark, d), "qid").select("qid", "id", "query"), "first-hits")
+    # a row for each question; few are sent to the texts, which are then not shuffled
+    first = F.broadcast(first) if first.count() <= FEW else first
+    return docs.join(first, "id").select("qid", C.excerpt(F.col("text"), F.col("query")).alias("excerpt"))
 
 
 _COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions import content as C, vectors as V
 from cairnspark.operators import joins as J, traversal as A
-from cairnspark.plans import search_queries as Q, storage
+from cairnspark.plans import catalog, search_queries as Q, storage
 from cairnspark.sources import rust as R
 
 
@@ -170,3 +170,17 @@ def test_phrases_of_three_words(spark):
     index = C.load(spark, C.build(spark.createDataFrame(rows, "id long, text string")))
     phrases = spark.createDataFrame([(0, ["x", "y", "z"]), (1, ["x", "x", "x"]), (2, ["z", "q", "x"]), (3, ["y", "z"])], "u long, unit array<string>")
     assert {tuple(r) for r in C.phrase_hits(index, phrases).collect()} == {(0, 1, 5, 1), (0, 3, 7, 1), (1, 4, 4, 2), (3, 1, 5, 1), (3, 3, 7, 3)}
+
+
+def test_excerpts_without_a_shuffle_of_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "Alpha beta gamma delta"), (2, "no such words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "x " * i + "alpha, beta gamma delta") for i in range(7, 60)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalog.QUERIES["f2_excerpts"](spark, str(tmp_path))
+        rows = {tuple(r) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {(q, "x " * 7 + "alpha, beta gamma delta") for q in (2, 3)}
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
