@@ -127,12 +127,17 @@ def cycles(edges: DataFrame) -> DataFrame:
         src, dst = colours.select(F.col("node").alias("src"), F.col("colour").alias("cs")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))
         inner = table(core.join(src, "src").join(dst, "dst").where("cs = cd").select("src", "dst"), "inner")
         seeds = colours.where("node = colour").select("node")
-        back = reach(flipped(inner), seeds, stored=True).select("node").join(colours, "node")
-        part = table(back.select("node", F.col("colour").alias("scc")), "components")
+        back = reach(flipped(inner), seeds, stored=True)
+        part = table(back.select("node").join(colours, "node").select("node", F.col("colour").alias("scc")), "components")
+        for done in (inner, back, colours):
+            drop_table(done)
         found.append(part)
         gone = part.select("node")
         left = core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        core = _trim(left)
+        smaller = _trim(left)
+        drop_table(core)
+        core = smaller
+    drop_table(core)
     if not found:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
     every = reduce(DataFrame.unionByName, found)

@@ -184,3 +184,13 @@ def test_excerpts_without_a_shuffle_of_texts(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == {(q, "x " * 7 + "alpha, beta gamma delta") for q in (2, 3)}
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_cycles_leave_their_members_only(spark):
+    # two rounds: 3 and 4 are reached from the least node, so they have its colour first
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 6)], "src long, dst long")
+    before = stored(spark)
+    found = A.cycles(edges)
+    # edges of each round, colours and what was reached stood there to the end
+    assert {n.rsplit("-", 1)[0] for n in stored(spark) - before} == {"components"}
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
